@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from .ctw import op10_ctw_scores
 from .jaccard import op8_ngram_jaccard
+from .licenses import op7_license_scan
+from .mixing import OP1_SQL, op1_mix_sources
+from .quality import op9_quality_fertility
+from .tokencount import op4_token_counts
 
-QUERIES = {f.__name__: f for f in (op8_ngram_jaccard,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_token_counts, op7_license_scan, op8_ngram_jaccard, op9_quality_fertility, op10_ctw_scores)}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}

@@ -88,8 +88,11 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each lower-cased word, equal for equal bytes wherever they stand."""
+AS_IS = np.arange(256, dtype=np.uint8)
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """64-bit hash of each span after the byte table ``fold``, equal for equal bytes wherever they stand."""
     out = np.empty(len(starts), _U)
     at = 0
     while at < len(starts):
@@ -101,15 +104,15 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         index = place + np.repeat(s - first, size)
         place -= np.repeat(first, size)
         total = np.zeros(len(place) + 1, _U)
-        np.cumsum(BYTE[LOWER[data[index]]] * PLACE[place & (SLOTS - 1)], out=total[1:])
+        np.cumsum(BYTE[fold[data[index]]] * PLACE[place & (SLOTS - 1)], out=total[1:])
         out[at:to] = mix(total[first + size] - total[first] + size.astype(_U))
         at = to
     return out
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, ranges = spans(data, offsets)
-    return hashes(data, starts, ends), ranges
+    return hashes(data, starts, ends, fold), ranges
 
 
 def windows(words: np.ndarray, ranges: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,5 +162,12 @@ def lists(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
 
 
+def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of a per-byte mask over each row."""
+    total = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
