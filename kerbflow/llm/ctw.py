@@ -21,7 +21,7 @@ from .workspace import Workspace
 
 _U = np.uint64
 DEPTH = 4
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 32 << 20
 END = 10
 HALF = math.log(0.5)
 _SMALL = 4096

@@ -125,11 +125,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     token, level = frequent_tokens(docs, k, "text")
     kind = "doc long, n long, cls long, p1 array<long>, p2 array<int>, p3 array<int>"
-    profile = work.table(docs.mapInArrow(_profiles(k, num, den, "text", "doc", token, level), kind), "profile")
-
+    full = work.table(docs.mapInArrow(_profiles(k, num, den, "text", "doc", token, level), kind), "full")
+    profile = work.table(full.select("doc", "n", "cls"), "profile")
     classes = profile.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc").alias("doc"))
-    first = profile.where("n > 0").join(classes.select("cls", F.col("doc").alias("least")), "cls").where("doc <=> least")
+    first = full.where("n > 0").join(classes.select("cls", F.col("doc").alias("least")), "cls").where("doc <=> least")
     first = work.table(first.dropDuplicates(["cls"]).select("cls", "n", "p1", "p2", "p3"), "classes")
+    work.drop("full")
     tokens = first.select(F.explode("p1").alias("token"), "cls", "n")
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     tokens = work.table(tokens.join(shared, "token"), "tokens")
@@ -145,14 +146,18 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if step:
             bucket = bucket.where(F.col("c") > 2)
             bucket = work.table(bucket, f"bucket-{step}")
+            tokens = work.table(tokens.join(bucket.select("token"), "token"), f"tokens-{step}")
+            placed = tokens.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+            work.drop("tokens" if step == 1 else f"tokens-{step - 1}")
             left, members = bucket.agg(F.sum(F.expr("c * (c - 1) div 2")), F.sum("c")).first()
             if not left:
                 break
             last = step == ROUNDS or left <= 4 * members
+            print("DEBUG", step, left, members, bucket.count())
         else:
             last = False
         if last:
-            mine = placed.join(bucket.select("token"), "token").repartition("token")
+            mine = placed.repartition("token")
             pairs = mine.alias("x").join(mine.alias("y"), "token").where("x.cls < y.cls and x.comp <> y.comp").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
         else:
             pairs = placed.join(bucket.select("token", F.col("pick.cls").alias("a"), F.col("pick.comp").alias("ca"), F.col("pick.n").alias("na")), "token")
@@ -165,6 +170,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         side = lambda x: first.select(F.col("cls").alias(x), F.col("p2").alias(f"p2{x}"), F.col("p3").alias(f"p3{x}"))
         near = pairs.join(side("a"), "a").join(side("b"), "b").where("arrays_overlap(p2a, p2b) and arrays_overlap(p3a, p3b)").select("a", "b", "na", "nb")
         near = work.table(near, f"near-{step}")
+        print("DEBUG pairs", pairs.count(), "near", near.count(), "tokens", tokens.count())
         ids = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
         wanted = classes.join(ids, "cls").select("doc").distinct()
         sets = docs.join(wanted, docs.doc.eqNullSafe(wanted.doc), "left_semi").select("text").mapInArrow(_sets(k, "text"), "cls long, tokens array<long>")
@@ -177,6 +183,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         comp = work.table(components(links, work, f"stars-{step}"), f"comp-{step}")
         tested = work.table(near.select("a", "b") if tested is None else near.select("a", "b").union(tested), f"tested-{step}")
         work.drop(f"sets-{step}")
+        work.settle()
         if last:
             break
     out = profile.select("doc", "n", "cls")
