@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import textkernel as K
 from .components import components
@@ -27,6 +27,7 @@ BLOCK = 1 << 22
 FREQUENT = 1000
 #: Frequent tokens in the order table: at most this many, the most frequent first. Others count as rare; results stay.
 TABLE = 1 << 18
+#: Rounds of comparing buckets with one member each, while these still leave a quarter less to compare.
 ROUNDS = 3
 
 
@@ -71,6 +72,22 @@ def _ranks(h: np.ndarray, token: np.ndarray, level: np.ndarray, order: int) -> n
     return key
 
 
+def _sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 bytes a set: tokens are dealt to 64 parts, each with the sum of its tokens' bytes. A token that only one of two
+    sets holds changes one part, so the parts that differ are no more than the tokens that do."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    byte = (K.mix(h ^ K.STEP[50]) >> _U(56)).astype(np.float64)
+    parts = np.bincount(row * 64 + (h & _U(63)).astype(np.int64), weights=byte, minlength=64 * (len(at) - 1))
+    return (parts.astype(np.int64) & 255).astype(np.uint8).view(_U)
+
+
+def _differing(a: str, b: str) -> str:
+    """SQL for the number of sketch bytes in which two sets differ."""
+    z = [f"({a}[{i}] ^ {b}[{i}])" for i in range(8)]
+    folded = ["(" + " | ".join(f"shiftrightunsigned({x}, {k})" for k in range(8)) + ")" for x in z]  # bit 0 of a byte: any bit of it
+    return " + ".join(f"bit_count({x} & {0x0101010101010101}L)" for x in folded)
+
+
 def _profiles(k: int, num: int, den: int, column: str, key: str, token: np.ndarray, level: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in K.rows(batches, column):
@@ -84,17 +101,20 @@ def _profiles(k: int, num: int, den: int, column: str, key: str, token: np.ndarr
                 for a, b, p, q in zip(at[:-1].tolist(), at[1:].tolist(), out[:-1].tolist(), out[1:].tolist()):
                     if q > p:
                         s = h[a:b]
-                        chosen[p:q] = s[np.argpartition(rank[a:b], q - p - 1)[: q - p]] if q - p < b - a else s
+                        r = rank[a:b]
+                        some = np.argpartition(r, q - p - 1)[: q - p] if q - p < b - a else np.arange(b - a)
+                        chosen[p:q] = s[some[np.argsort(r[some])]] if order == 0 else s[some]
                 prefix.append(chosen)
             yield pa.record_batch(
                 [
                     batch.column(batch.schema.get_field_index(key)),
                     pa.array(n, pa.int64()),
                     pa.array(K.signed(K.set_sums(h, at, 1)), pa.int64()),
+                    K.lists(K.signed(_sketches(h, at)), 8 * np.arange(len(n) + 1), pa.int64()),
                     K.lists(K.signed(prefix[0]), out, pa.int64()),
                     *(K.lists((p >> _U(32)).astype(np.uint32).view(np.int32), out, pa.int32()) for p in prefix[1:]),
                 ],
-                ["doc", "n", "cls", "p1", "p2", "p3"],
+                ["doc", "n", "cls", "sketch", "p1", "p2", "p3"],
             )
 
     return run
@@ -124,53 +144,61 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     work = Workspace(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     token, level = frequent_tokens(docs, k, "text")
-    kind = "doc long, n long, cls long, p1 array<long>, p2 array<int>, p3 array<int>"
+    kind = "doc long, n long, cls long, sketch array<long>, p1 array<long>, p2 array<int>, p3 array<int>"
     full = work.table(docs.mapInArrow(_profiles(k, num, den, "text", "doc", token, level), kind), "full")
     profile = work.table(full.select("doc", "n", "cls"), "profile")
     classes = profile.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc").alias("doc"))
     first = full.where("n > 0").join(classes.select("cls", F.col("doc").alias("least")), "cls").where("doc <=> least")
-    first = work.table(first.dropDuplicates(["cls"]).select("cls", "n", "p1", "p2", "p3"), "classes")
+    first = work.table(first.dropDuplicates(["cls"]).select("cls", "n", "sketch", "p1", "p2", "p3"), "classes")
     work.drop("full")
-    tokens = first.select(F.explode("p1").alias("token"), "cls", "n")
+    tokens = first.select(F.posexplode("p1").alias("i", "token"), "cls", "n")
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    tokens = work.table(tokens.join(shared, "token"), "tokens")
-
-    tested = links = comp = None
+    # the first common token of a pair bounds its overlap: neither tokens before it nor those that no other class
+    # holds are common, so m = size - tokens of no other class - shared tokens before this one
+    mine = Window.partitionBy("cls", "n")
+    size = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
+    bound = F.col("n") - size + F.count("*").over(mine) - F.row_number().over(mine.orderBy("i")) + 1
+    tokens = tokens.join(shared, "token").withColumn("m", bound).where(f"{den} * m >= {num} * n").select("token", "cls", "n", "m")
+    tokens = work.table(tokens, "tokens-0")
+    tested = links = comp = before = None
     for step in range(ROUNDS + 1):
         if comp is None:
             placed = tokens.withColumn("comp", F.col("cls"))
         else:
             placed = tokens.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        pick = F.min(F.struct((F.xxhash64("cls", F.lit(step)) if step else F.col("n")).alias("o"), "cls", "comp", "n"))
+        pick = F.min(F.struct((F.xxhash64("cls", F.lit(step)) if step else F.col("n")).alias("o"), "cls", "comp", "n", "m"))
         bucket = placed.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), pick.alias("pick")).where("low < high")
         if step:
             bucket = bucket.where(F.col("c") > 2)
             bucket = work.table(bucket, f"bucket-{step}")
             tokens = work.table(tokens.join(bucket.select("token"), "token"), f"tokens-{step}")
             placed = tokens.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-            work.drop("tokens" if step == 1 else f"tokens-{step - 1}")
+            work.drop(f"tokens-{step - 1}")
             left, members = bucket.agg(F.sum(F.expr("c * (c - 1) div 2")), F.sum("c")).first()
             if not left:
                 break
-            last = step == ROUNDS or left <= 4 * members
-            print("DEBUG", step, left, members, bucket.count())
+            last = step == ROUNDS or left <= 8 * members or (before and 4 * left > 3 * before)
+            before = left
         else:
             last = False
         if last:
-            mine = placed.repartition("token")
-            pairs = mine.alias("x").join(mine.alias("y"), "token").where("x.cls < y.cls and x.comp <> y.comp").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+            # near misses of a large group are told apart by their sketches, inside the join
+            mine = placed.join(first.select("cls", "sketch"), "cls")
+            most = f"x.n + y.n - 2 * (({num} * (x.n + y.n) + {num + den - 1}) div {num + den})"
+            could = f"x.cls < y.cls and x.comp <> y.comp and {num + den} * least(x.m, y.m) >= {num} * (x.n + y.n) and {_differing('x.sketch', 'y.sketch')} <= {most}"
+            pairs = mine.alias("x").join(mine.alias("y"), F.expr(f"x.token = y.token and {could}"))
+            pairs = pairs.select(*(F.col(f"{t}.{c}").alias(n) for t, c, n in (("x", "cls", "a"), ("y", "cls", "b"), ("x", "n", "na"), ("y", "n", "nb"), ("x", "m", "ma"), ("y", "m", "mb"))))
         else:
-            pairs = placed.join(bucket.select("token", F.col("pick.cls").alias("a"), F.col("pick.comp").alias("ca"), F.col("pick.n").alias("na")), "token")
-            pairs = pairs.where("cls <> a and comp <> ca").select("a", F.col("cls").alias("b"), "na", F.col("n").alias("nb"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb"))
-        pairs = pairs.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").distinct()
+            pairs = placed.join(bucket.select("token", F.col("pick.cls").alias("a"), F.col("pick.comp").alias("ca"), F.col("pick.n").alias("na"), F.col("pick.m").alias("ma")), "token")
+            pairs = pairs.where("cls <> a and comp <> ca").select("a", F.col("cls").alias("b"), "na", F.col("n").alias("nb"), "ma", F.col("m").alias("mb"))
+        pairs = pairs.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb) and {num + den} * least(ma, mb) >= {num} * (na + nb)")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         # orders 2 and 3, before any set is read
         side = lambda x: first.select(F.col("cls").alias(x), F.col("p2").alias(f"p2{x}"), F.col("p3").alias(f"p3{x}"))
         near = pairs.join(side("a"), "a").join(side("b"), "b").where("arrays_overlap(p2a, p2b) and arrays_overlap(p3a, p3b)").select("a", "b", "na", "nb")
         near = work.table(near, f"near-{step}")
-        print("DEBUG pairs", pairs.count(), "near", near.count(), "tokens", tokens.count())
         ids = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
         wanted = classes.join(ids, "cls").select("doc").distinct()
         sets = docs.join(wanted, docs.doc.eqNullSafe(wanted.doc), "left_semi").select("text").mapInArrow(_sets(k, "text"), "cls long, tokens array<long>")
