@@ -229,3 +229,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_components(docs, k=3, num=9, den=10).select("doc_id", "n_shingles", "component_id")
+
+
+OP8_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) when len(w) > 0 then [array_to_string(w, ' ')] else []::varchar[] end)) g from d),
+n as (select d.doc_id, count(s.g)::bigint n from d left join s on s.doc_id = d.doc_id group by d.doc_id),
+c as (select a.doc_id u, b.doc_id v, count(*) k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+p as (select u, v from c join n x on x.doc_id = u join n y on y.doc_id = v where 100 * k >= 90 * (x.n + y.n - k)),
+r as (select doc_id, doc_id comp from d union select r.doc_id, p.v from r join p on p.u = r.comp)
+select n.doc_id, n.n n_shingles, min(r.comp) component_id from n join r on r.doc_id = n.doc_id group by n.doc_id, n.n
+"""

@@ -131,7 +131,7 @@ def _key(e: dict) -> tuple[str, str, str]:
     return e["urlkey"], e["ts"], e["record"]
 
 
-def _write(root: str):
+def _write(root: str, block_entries: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(root)
         store.create_dir(base, recursive=True)
@@ -140,7 +140,7 @@ def _write(root: str):
         def spill() -> pa.RecordBatch:
             entries.sort(key=_key)
             path = f"{base}/run-{uuid.uuid4().hex}.arrow"
-            blocks = [entries[i : i + BLOCK_ENTRIES] for i in range(0, len(entries), BLOCK_ENTRIES)]
+            blocks = [entries[i : i + block_entries] for i in range(0, len(entries), block_entries)]
             with store.open_output_stream(path) as sink, pa.ipc.new_file(sink, ENTRY) as w:
                 for b in blocks:
                     w.write_batch(pa.RecordBatch.from_pylist(b, ENTRY))
@@ -246,7 +246,7 @@ def _read(root: str):
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, urlkey string, history_range int, history_seq long"
 
 
-def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date_col: str | None = None, least_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date_col: str | None = None, least_bytes: int = 0, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """Writes a record per row under ``root`` (a folder that all executors share) and returns its run blocks.
 
     Null payloads and URLs are empty. Of rows with equal payloads of at least least_bytes bytes those with the largest
@@ -258,13 +258,13 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), date.alias("date"), F.sha1(payload).alias("sha"))
     same = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("sha", "keep")
     tagged = rows.join(same, "sha", "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("keep"), F.col("keep"))).drop("keep")
-    return tagged.mapInArrow(_write(root), BLOCKS)
+    return tagged.mapInArrow(_write(root, block_entries), BLOCKS)
 
 
-def merge_index(blocks: DataFrame, root: str) -> DataFrame:
+def merge_index(blocks: DataFrame, root: str, range_entries: int = RANGE_ENTRIES) -> DataFrame:
     """Globally ordered capture histories: by (history_range, history_seq) in order of URL key, timestamp and record."""
     entries = blocks.agg(F.sum("entries")).first()[0] or 0
-    wanted = -(-entries // RANGE_ENTRIES)
+    wanted = -(-entries // range_entries)
     keys = sorted(tuple(r[0]) for r in blocks.select("first_key").orderBy(F.xxhash64("run", "block")).limit(BORDER_SAMPLE).collect())
     borders = sorted({keys[len(keys) * i // wanted] for i in range(1, wanted)})
     dealt = blocks.select("run", "block", "first_key", "last_key").mapInArrow(_deal(borders), "history_range int, run string, block int")
