@@ -561,12 +561,8 @@ def ground_fit(spark, t):
 @query("bootstrap_ci", "detections")
 def bootstrap_ci(spark, t):
     """Count per minimum of frames with a bootstrap interval: 60 resamples that keep a frame with probability 0.9 by a
-    hash; nearest-rank bounds. Detections are tracked once per resample; thresholds share the tracks."""
-    boots = 60
-    copies = t["detections"].withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(boots)))).where("boot = 0 or pmod(xxhash64(frame, boot, 7), 1000000) < 900000")
-    copies = copies.withColumn("segment", F.col("segment") * 100 + F.col("boot")).drop("boot")
-    slots = tracking.slot(_tracklets({"detections": copies})).withColumn("boot", F.col("segment") % 100)
-    counts = slots.select("boot", "n_dets", F.explode(F.array(*map(F.lit, (2, 3, 4, 5, 6)))).alias("min_frames")).groupBy("min_frames", "boot").agg(F.count_if(F.col("n_dets") >= F.col("min_frames")).alias("n"))
+    hash; nearest-rank bounds. Each resample is tracked anew; thresholds share its tracks."""
+    counts = tracking.bootstrap_counts(t["detections"], (2, 3, 4, 5, 6)).groupBy("min_frames", "boot").agg(F.sum("n").alias("n"))
     got = counts.groupBy("min_frames").agg(F.max(F.when(F.col("boot") == 0, F.col("n"))).alias("count"), F.sort_array(F.collect_list(F.when(F.col("boot") > 0, F.col("n")))).alias("b"))
     return got.select("min_frames", "count", F.get("b", F.lit(2)).alias("ci_lo"), F.get("b", F.lit(57)).alias("ci_hi"), F.get("b", F.lit(30)).alias("boot_median"))
 
