@@ -54,7 +54,7 @@ shared("colour_hsv", "rgb", f"select part, {S.colour('r', 'g', 'b')} name from {
 shared("colour_palette", "rgb", f"select part, {S.palette('r', 'g', 'b')} name from {{rgb}}")
 shared("swatch_map", "boxes", f"select ord, {S.lookup('class_id', S.VEHICLES)} vehicle, {S.lookup(S.lookup('class_id % 4', {0: 'black', 1: 'grey', 2: 'red', 3: 'blue'}), S.SWATCH)} swatch from {{boxes}}")
 shared("box_points", "boxes", "select ord, (x1 + x2) / 2 cx, (y1 + y2) / 2 cy, (x1 + x2) / 2 bottom_x, y2 bottom_y, x2 - x1 bw, y2 - y1 bh from {boxes}")
-shared("box_iou", "boxes", f"select a.ord a_ord, b.ord b_ord, round({S.iou('a', 'b')}, 6) iou from {{boxes}} a join {{boxes}} b on a.image = b.image and a.ord < b.ord")
+shared("box_iou", "boxes", f"select a.ord a_ord, b.ord b_ord, round({S.iou('a', 'b')} + 0.0000000001e0, 6) iou from {{boxes}} a join {{boxes}} b on a.image = b.image and a.ord < b.ord")
 shared("heading", "segments", f"select way, idx, round({S.heading('alat', 'alon', 'blat', 'blon')}, 6) heading from {{segments}}")
 shared("dead_reckon", "anchors", "select anchor, round(lat + 5e0 * cos(radians(anchor % 360)) * 3e0 / (6378137e0 * pi() / 180), 6) lat, round(lon + 5e0 * sin(radians(anchor % 360)) * 3e0 / (6378137e0 * pi() / 180 * cos(radians(lat))), 6) lon, 3e0 t from {anchors}")
 shared("timestamp_at", "", "select event_id, timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id % 1000) ts from {events}", "events")
@@ -243,7 +243,8 @@ def band_sweep(spark, t):
 
 
 # --- ordered
-_LERP = "round(lat + (lat_2 - lat) * (q - t) / nullif(t_2 - t, 0), 6) lat, round(lon + (lon_2 - lon) * (q - t) / nullif(t_2 - t, 0), 6) lon"
+#: A ten-thousandth of the last digit keeps exact ties from rounding differently in two engines.
+_LERP = "round(lat + (lat_2 - lat) * (q - t) / nullif(t_2 - t, 0) + 0.0000000001e0, 6) lat, round(lon + (lon_2 - lon) * (q - t) / nullif(t_2 - t, 0) + 0.0000000001e0, 6) lon"
 _ASOF = """with s as (select *, lead(t) over o t_2, lead(lat) over o lat_2, lead(lon) over o lon_2, row_number() over o k, count(*) over (partition by vid) n from track window o as (partition by vid order by t)),
 a as (select q.event_id, q.vid, q.q, s.* exclude (event_id, vid) from (select event_id, vid, t + 3.5e0 q from track) q join s on q.vid = s.vid and (s.k < s.n) and (q.q >= s.t or s.k = 1) and (q.q < s.t_2 or s.k = s.n - 1))"""
 
@@ -256,8 +257,8 @@ def trajectory_at(spark, t):
 
 
 _H = S.heading("lat", "lon", "lat_2", "lon_2")
-_AT = "(lat + (lat_2 - lat) * (q - t) / nullif(t_2 - t, 0))"
-_LON = "(lon + (lon_2 - lon) * (q - t) / nullif(t_2 - t, 0))"
+_AT = "(lat + (lat_2 - lat) * (q - t) / nullif(t_2 - t, 0) + 0.0000000001e0)"
+_LON = "(lon + (lon_2 - lon) * (q - t) / nullif(t_2 - t, 0) + 0.0000000001e0)"
 _PLACED = [f"round({_AT} + 7e0 * sin(radians({_H})) / (6378137e0 * pi() / 180), 6) left_lat", f"round({_LON} - 7e0 * cos(radians({_H})) / (6378137e0 * pi() / 180 * cos(radians({_AT}))), 6) left_lon", f"round({_H}, 6) heading"]
 
 
@@ -516,7 +517,7 @@ def nearest_face(spark, t):
     return found.groupBy(F.floor(F.col("anchor") / 10).alias("way"), (F.col("anchor") % 10).cast("int").alias("idx")).agg(F.count("*").alias("n"))
 
 
-@query("components", "anchors", f"with recursive e as (select a.anchor u, b.anchor v from anchors a join anchors b on a.zone = b.zone and {S.metres('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 150), r as (select anchor, anchor comp from anchors union select r.anchor, e.v from r join e on e.u = r.comp where e.v < r.anchor) select anchor, min(comp) comp from r group by anchor")
+@query("components", "anchors", f"with recursive e as (select a.anchor u, b.anchor v from anchors a join anchors b on a.zone = b.zone and {S.metres('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 150), r as (select anchor, anchor comp from anchors union select r.anchor, e.v from r join e on e.u = r.comp) select anchor, min(comp) comp from r group by anchor")
 def components(spark, t):
     """Single-linkage pieces of each zone under 150 m: minimum labels passed along edges until they stand."""
     a = t["anchors"]
