@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the
 columns of documents. A document is an input row: repeated rows pass the quality rules together, and one row of each
-near-duplicate group stays (that of the smallest id; of equal ids any one).
+near-duplicate group stays, that of the smallest id. Rows without an id are only dropped as exact copies of another
+one, since nothing else names them.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more."""
     found = jaccard_components(docs, k=5, num=4, den=5)
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
     return kept.dropDuplicates(["doc_id", "text"])
 
 
