@@ -21,7 +21,8 @@ from .workspace import Workspace
 
 _U = np.uint64
 DEPTH = 4
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
+PIECE = 1 << 19
 END = 10
 HALF = math.log(0.5)
 _SMALL = 4096
@@ -127,7 +128,7 @@ def _features(depth: int, text: str):
     def run(table: pa.Table) -> pa.Table:
         parts: dict[int, list] = {0: [], 1: []}
         ends_in_training = 0
-        for batch, data, offsets in K.rows(iter(table.combine_chunks().to_batches()), text):
+        for batch, data, offsets in K.rows(iter(table.to_batches()), text, PIECE):
             train = ~batch.column(batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
             starts, ends, ranges = K.spans(data, offsets)
             key, at = stream(data, starts, ends, ranges, depth)
@@ -241,12 +242,13 @@ def _top(nodes: DataFrame) -> dict:
 
 def _score(depth: int, unseen: float, id_type: pa.DataType):
     def run(docs: pa.Table, values: pa.Table) -> pa.Table:
-        kind = values["kind"].to_numpy()
         key, value = values["key"].to_numpy().view(_U), values["value"].to_numpy()
-        grams = Lookup(key[kind == 0], value[kind == 0])
-        words = Lookup(key[kind == 1], value[kind == 1])
+        is_word = (key >> _U(63)).astype(bool)
+        grams = Lookup(key[~is_word], value[~is_word])
+        words = Lookup(key[is_word] & _U((1 << 63) - 1), value[is_word])
+        del values, key, value, is_word
         out = []
-        for batch, data, offsets in K.rows(iter(docs.combine_chunks().to_batches()), "text"):
+        for batch, data, offsets in K.rows(iter(docs.to_batches()), "text", PIECE):
             starts, ends, ranges = K.spans(data, offsets)
             stream_key, at = stream(data, starts, ends, ranges, depth)
             bits = np.zeros(len(stream_key) + 1)
@@ -297,7 +299,7 @@ def ctw_scores(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: s
     top = _top(trees.where("kind = 1"))
     gram_values = trees.where("kind = 0").select("key", "vals").mapInArrow(_finish(top), "key long, value double").select(F.lit(0).alias("kind"), "key", "value")
 
-    values = features.select("block", "kind", "key").join(gram_values.unionByName(word_values), ["kind", "key"]).select("block", "kind", "key", "value")
+    values = features.select("block", "kind", "key").join(gram_values.unionByName(word_values), ["kind", "key"]).select("block", F.expr("if(kind = 1, key | shiftleft(1L, 63), key)").alias("key"), "value")
     id_type = to_arrow_type(d.schema["doc_id"].dataType)
     kind = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
     out = d.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score(depth, unseen, id_type), kind)

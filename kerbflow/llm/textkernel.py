@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 20
+ROWS = 4096
 _U = np.uint64
 
 
@@ -54,19 +55,20 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes, one row at least."""
+    """Row ranges of at most ``limit`` bytes and ROWS rows, one row at least."""
     n, at = len(offsets) - 1, 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        yield at, min(to, n)
-        at = min(to, n)
+        to = min(to, n, at + ROWS)
+        yield at, to
+        at = to
 
 
-def rows(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def rows(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of bounded size with their bytes and offsets."""
     for batch in batches:
         data, offsets = texts(batch.column(batch.schema.get_field_index(column)))
-        for a, b in pieces(offsets):
+        for a, b in pieces(offsets, limit):
             yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
