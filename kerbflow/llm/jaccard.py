@@ -27,6 +27,7 @@ BLOCK = 1 << 22
 FREQUENT = 1000
 #: Frequent tokens in the order table: at most this many, the most frequent first. Others count as rare; results stay.
 TABLE = 1 << 18
+BITS = 1024
 #: Rounds of comparing buckets with one member each, while these still leave a quarter less to compare.
 ROUNDS = 3
 
@@ -73,19 +74,17 @@ def _ranks(h: np.ndarray, token: np.ndarray, level: np.ndarray, order: int) -> n
 
 
 def _sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64 bytes a set: tokens are dealt to 64 parts, each with the sum of its tokens' bytes. A token that only one of two
-    sets holds changes one part, so the parts that differ are no more than the tokens that do."""
+    """1,024 parity bits a set: each token flips one bit, so two sets' sketches differ in no more bits than the sets do
+    in tokens."""
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    byte = (K.mix(h ^ K.STEP[50]) >> _U(56)).astype(np.float64)
-    parts = np.bincount(row * 64 + (h & _U(63)).astype(np.int64), weights=byte, minlength=64 * (len(at) - 1))
-    return (parts.astype(np.int64) & 255).astype(np.uint8).view(_U)
+    bit = (K.mix(h ^ K.STEP[50]) & _U(BITS - 1)).astype(np.int64)
+    odd = np.bincount(row * BITS + bit, minlength=BITS * (len(at) - 1)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(_U)
 
 
 def _differing(a: str, b: str) -> str:
-    """SQL for the number of sketch bytes in which two sets differ."""
-    z = [f"({a}[{i}] ^ {b}[{i}])" for i in range(8)]
-    folded = ["(" + " | ".join(f"shiftrightunsigned({x}, {k})" for k in range(8)) + ")" for x in z]  # bit 0 of a byte: any bit of it
-    return " + ".join(f"bit_count({x} & {0x0101010101010101}L)" for x in folded)
+    """SQL for the number of sketch bits in which two sets differ."""
+    return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(BITS // 64))
 
 
 def _profiles(k: int, num: int, den: int, column: str, key: str, token: np.ndarray, level: np.ndarray):
@@ -110,7 +109,7 @@ def _profiles(k: int, num: int, den: int, column: str, key: str, token: np.ndarr
                     batch.column(batch.schema.get_field_index(key)),
                     pa.array(n, pa.int64()),
                     pa.array(K.signed(K.set_sums(h, at, 1)), pa.int64()),
-                    K.lists(K.signed(_sketches(h, at)), 8 * np.arange(len(n) + 1), pa.int64()),
+                    K.lists(K.signed(_sketches(h, at)), BITS // 64 * np.arange(len(n) + 1), pa.int64()),
                     K.lists(K.signed(prefix[0]), out, pa.int64()),
                     *(K.lists((p >> _U(32)).astype(np.uint32).view(np.int32), out, pa.int32()) for p in prefix[1:]),
                 ],
