@@ -146,9 +146,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kind = "doc long, n long, cls long, sketch array<long>, p1 array<long>, p2 array<int>, p3 array<int>"
     full = work.table(docs.mapInArrow(_profiles(k, num, den, "text", "doc", token, level), kind), "full")
     profile = work.table(full.select("doc", "n", "cls"), "profile")
-    classes = profile.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc").alias("doc"))
-    first = full.where("n > 0").join(classes.select("cls", F.col("doc").alias("least")), "cls").where("doc <=> least")
-    first = work.table(first.dropDuplicates(["cls"]).select("cls", "n", "sketch", "p1", "p2", "p3"), "classes")
+    # equal sets have equal rows, so copies meet on the map side
+    first = full.where("n > 0").groupBy("cls").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("n", "sketch", "p1", "p2", "p3")))
+    first = work.table(first, "classes")
     work.drop("full")
     tokens = first.select(F.posexplode("p1").alias("i", "token"), "cls", "n")
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
@@ -199,7 +199,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         near = pairs.join(side("a"), "a").join(side("b"), "b").where("arrays_overlap(p2a, p2b) and arrays_overlap(p3a, p3b)").select("a", "b", "na", "nb")
         near = work.table(near, f"near-{step}")
         ids = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
-        wanted = classes.join(ids, "cls").select("doc").distinct()
+        wanted = first.select("cls", "doc").join(ids, "cls").select("doc").distinct()
         sets = docs.join(wanted, docs.doc.eqNullSafe(wanted.doc), "left_semi").select("text").mapInArrow(_sets(k, "text"), "cls long, tokens array<long>")
         sets = sets.join(ids, "cls", "left_semi")
         sets = work.table(sets, f"sets-{step}")
