@@ -28,6 +28,8 @@ FREQUENT = 1000
 #: Frequent tokens in the order table: at most this many, the most frequent first. Others count as rare; results stay.
 TABLE = 1 << 18
 BITS = 1024
+#: Bits of the filter by which a scan leaves out texts that no candidate needs, at most; beyond it texts are joined by id.
+MARKS = 1 << 27
 #: Rounds of comparing buckets with one member each, while these still leave a quarter less to compare.
 ROUNDS = 3
 
@@ -119,11 +121,36 @@ def _profiles(k: int, num: int, den: int, column: str, key: str, token: np.ndarr
     return run
 
 
-def _sets(k: int, column: str):
+def _marks(ids: DataFrame, n: int) -> np.ndarray | None:
+    """Bits at two hashed places for each of n ids, 16 bits an id; None where that takes more than MARKS bits."""
+    bits = max(1 << 16, 1 << (16 * n - 1).bit_length())
+    if bits > MARKS:
+        return None
+    places = ids.select(F.xxhash64("doc").alias("h")).select(F.explode(F.expr(f"array(h & {bits - 1}, shiftrightunsigned(h, 32) & {bits - 1})")).alias("p"))
+    found = places.groupBy((F.shiftright("p", 6)).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, _U)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy().view(_U)
+    return out
+
+
+def _marked(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    most = _U(64 * len(marks) - 1)
+    for batch in batches:
+        h = batch.column(batch.schema.get_field_index("h")).to_numpy(zero_copy_only=False).view(_U)
+        hit = np.ones(len(h), bool)
+        for p in (h & most, h >> _U(32) & most):
+            hit &= (marks[(p >> _U(6)).astype(np.int64)] >> (p & _U(63)) & _U(1)).astype(bool)
+        yield batch.filter(pa.array(hit))
+
+
+def _sets(k: int, column: str, marks: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in K.rows(batches, column):
+        seen: set[int] = set()
+        for _, data, offsets in K.rows(batches if marks is None else _marked(batches, marks), column):
             h, at = K.shingle_sets(*K.word_hashes(data, offsets), k)
-            yield pa.record_batch([pa.array(K.signed(K.set_sums(h, at, 1)), pa.int64()), K.lists(K.signed(h), at, pa.int64())], ["cls", "tokens"])
+            cls = K.signed(K.set_sums(h, at, 1))
+            new = [not (c in seen or seen.add(c)) for c in cls.tolist()]
+            yield pa.record_batch([pa.array(cls, pa.int64()), K.lists(K.signed(h), at, pa.int64())], ["cls", "tokens"]).filter(pa.array(new, pa.bool_()))
 
     return run
 
@@ -199,10 +226,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         near = pairs.join(side("a"), "a").join(side("b"), "b").where("arrays_overlap(p2a, p2b) and arrays_overlap(p3a, p3b)").select("a", "b", "na", "nb")
         near = work.table(near, f"near-{step}")
         ids = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
-        wanted = first.select("cls", "doc").join(ids, "cls").select("doc").distinct()
-        sets = docs.join(wanted, docs.doc.eqNullSafe(wanted.doc), "left_semi").select("text").mapInArrow(_sets(k, "text"), "cls long, tokens array<long>")
-        sets = sets.join(ids, "cls", "left_semi")
-        sets = work.table(sets, f"sets-{step}")
+        wanted = work.table(first.select("cls", "doc").join(ids, "cls"), f"wanted-{step}")
+        marks = _marks(wanted, wanted.count())
+        if marks is None:
+            wanted = wanted.select("doc").distinct()
+            texts = docs.join(wanted, docs.doc.eqNullSafe(wanted.doc), "left_semi")
+        else:
+            texts = docs.withColumn("h", F.xxhash64("doc"))
+        sets = work.table(texts.drop("doc").mapInArrow(_sets(k, "text", marks), "cls long, tokens array<long>"), f"sets-{step}")
+        sets = sets.groupBy("cls").agg(F.first("tokens").alias("tokens"))
         both = near.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
         same = F.size(F.array_intersect("ta", "tb"))
         found = both.withColumn("same", same).where(f"{num + den} * same >= {num} * (na + nb)").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
