@@ -177,6 +177,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     first = full.where("n > 0").groupBy("cls").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("n", "sketch", "p1", "p2", "p3")))
     first = work.table(first, "classes")
     work.drop("full")
+    work.settle()
     tokens = first.select(F.posexplode("p1").alias("i", "token"), "cls", "n")
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     # the first common token of a pair bounds its overlap: neither tokens before it nor those that no other class
@@ -186,6 +187,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     bound = F.col("n") - size + F.count("*").over(mine) - F.row_number().over(mine.orderBy("i")) + 1
     tokens = tokens.join(shared, "token").withColumn("m", bound).where(f"{den} * m >= {num} * n").select("token", "cls", "n", "m")
     tokens = work.table(tokens, "tokens-0")
+    work.settle()
     tested = links = comp = before = None
     for step in range(ROUNDS + 1):
         if comp is None:
@@ -225,6 +227,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         side = lambda x: first.select(F.col("cls").alias(x), F.col("p2").alias(f"p2{x}"), F.col("p3").alias(f"p3{x}"))
         near = pairs.join(side("a"), "a").join(side("b"), "b").where("arrays_overlap(p2a, p2b) and arrays_overlap(p3a, p3b)").select("a", "b", "na", "nb")
         near = work.table(near, f"near-{step}")
+        work.settle()
         ids = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
         wanted = work.table(first.select("cls", "doc").join(ids, "cls"), f"wanted-{step}")
         marks = _marks(wanted, wanted.count())
