@@ -89,6 +89,16 @@ def _differing(a: str, b: str) -> str:
     return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(BITS // 64))
 
 
+def _reachable(a: str, b: str, num: int, den: int) -> str:
+    """SQL: two sets that meet at a token, the first they share, may still be as alike as num/den.
+
+    The set whose prefix ends first has its common tokens among its shared prefix tokens and its suffix (m). The other's
+    prefix may reach into that suffix, so all its tokens from the meeting on may be common (u).
+    """
+    most = f"if({a}.last <= {b}.last, least({a}.m, {b}.u), least({a}.u, {b}.m))"
+    return f"{den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) and {num + den} * {most} >= {num} * ({a}.n + {b}.n)"
+
+
 def _profiles(k: int, num: int, den: int, column: str, key: str, token: np.ndarray, level: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in K.rows(batches, column):
@@ -96,15 +106,17 @@ def _profiles(k: int, num: int, den: int, column: str, key: str, token: np.ndarr
             n = np.diff(at)
             size = n - -(-n * num // den) + (n > 0)
             out = np.concatenate([[0], np.cumsum(size)])
-            prefix = []
+            prefix, last = [], np.zeros(len(n), _U)
             for order in range(3):
                 rank, chosen = _ranks(h, token, level, order), np.empty(int(out[-1]), _U)
-                for a, b, p, q in zip(at[:-1].tolist(), at[1:].tolist(), out[:-1].tolist(), out[1:].tolist()):
+                for d, (a, b, p, q) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), out[:-1].tolist(), out[1:].tolist())):
                     if q > p:
                         s = h[a:b]
                         r = rank[a:b]
                         some = np.argpartition(r, q - p - 1)[: q - p] if q - p < b - a else np.arange(b - a)
                         chosen[p:q] = s[some[np.argsort(r[some])]] if order == 0 else s[some]
+                        if order == 0:
+                            last[d] = r[some].max()
                 prefix.append(chosen)
             yield pa.record_batch(
                 [
@@ -112,10 +124,11 @@ def _profiles(k: int, num: int, den: int, column: str, key: str, token: np.ndarr
                     pa.array(n, pa.int64()),
                     pa.array(K.signed(K.set_sums(h, at, 1)), pa.int64()),
                     K.lists(K.signed(_sketches(h, at)), BITS // 64 * np.arange(len(n) + 1), pa.int64()),
+                    pa.array(K.signed(last ^ _U(1 << 63)), pa.int64()),
                     K.lists(K.signed(prefix[0]), out, pa.int64()),
                     *(K.lists((p >> _U(32)).astype(np.uint32).view(np.int32), out, pa.int32()) for p in prefix[1:]),
                 ],
-                ["doc", "n", "cls", "sketch", "p1", "p2", "p3"],
+                ["doc", "n", "cls", "sketch", "last", "p1", "p2", "p3"],
             )
 
     return run
@@ -170,23 +183,29 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     work = Workspace(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     token, level = frequent_tokens(docs, k, "text")
-    kind = "doc long, n long, cls long, sketch array<long>, p1 array<long>, p2 array<int>, p3 array<int>"
+    kind = "doc long, n long, cls long, sketch array<long>, last long, p1 array<long>, p2 array<int>, p3 array<int>"
     full = work.table(docs.mapInArrow(_profiles(k, num, den, "text", "doc", token, level), kind), "full")
     profile = work.table(full.select("doc", "n", "cls"), "profile")
     # equal sets have equal rows, so copies meet on the map side
-    first = full.where("n > 0").groupBy("cls").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("n", "sketch", "p1", "p2", "p3")))
+    first = full.where("n > 0").groupBy("cls").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("n", "sketch", "last", "p1", "p2", "p3")))
     first = work.table(first, "classes")
     work.drop("full")
     work.settle()
-    tokens = first.select(F.posexplode("p1").alias("i", "token"), "cls", "n")
+    tokens = first.select(F.posexplode("p1").alias("i", "token"), "cls", "n", "last")
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    # the first common token of a pair bounds its overlap: neither tokens before it nor those that no other class
-    # holds are common, so m = size - tokens of no other class - shared tokens before this one
+    # the first common token of a pair bounds its overlap: no token before it is common (u = tokens from it on), and of
+    # the set whose prefix ends first, no prefix token that no other prefix holds (m leaves these out as well)
     mine = Window.partitionBy("cls", "n")
     size = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
     bound = F.col("n") - size + F.count("*").over(mine) - F.row_number().over(mine.orderBy("i")) + 1
-    tokens = tokens.join(shared, "token").withColumn("m", bound).where(f"{den} * m >= {num} * n").select("token", "cls", "n", "m")
+    tokens = tokens.join(shared, "token").withColumn("m", bound).select("token", "cls", "n", "m", (F.col("n") - F.col("i")).alias("u"), "last")
+    tokens = work.table(tokens, "tokens")
+    # a set whose m is too small for any partner only meets those whose prefix ends before its own and whose m is not
+    enough = f"{den} * m >= {num} * n"
+    soonest = tokens.where(enough).groupBy("token").agg(F.min("last").alias("soonest"))
+    tokens = tokens.join(soonest, "token").where(f"{enough} or soonest < last").drop("soonest")
     tokens = work.table(tokens, "tokens-0")
+    work.drop("tokens")
     work.settle()
     tested = links = comp = before = None
     for step in range(ROUNDS + 1):
@@ -194,7 +213,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             placed = tokens.withColumn("comp", F.col("cls"))
         else:
             placed = tokens.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        pick = F.min(F.struct((F.xxhash64("cls", F.lit(step)) if step else F.col("n")).alias("o"), "cls", "comp", "n", "m"))
+        pick = F.min(F.struct((F.xxhash64("cls", F.lit(step)) if step else F.col("n")).alias("o"), "cls", "comp", "n", "m", "u", "last"))
         bucket = placed.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), pick.alias("pick")).where("low < high")
         if step:
             bucket = bucket.where(F.col("c") > 2)
@@ -213,13 +232,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             # near misses of a large group are told apart by their sketches, inside the join
             mine = placed.join(first.select("cls", "sketch"), "cls")
             most = f"x.n + y.n - 2 * (({num} * (x.n + y.n) + {num + den - 1}) div {num + den})"
-            could = f"x.cls < y.cls and x.comp <> y.comp and {num + den} * least(x.m, y.m) >= {num} * (x.n + y.n) and {_differing('x.sketch', 'y.sketch')} <= {most}"
+            could = f"x.cls < y.cls and x.comp <> y.comp and {_reachable('x', 'y', num, den)} and {_differing('x.sketch', 'y.sketch')} <= {most}"
             pairs = mine.alias("x").join(mine.alias("y"), F.expr(f"x.token = y.token and {could}"))
-            pairs = pairs.select(*(F.col(f"{t}.{c}").alias(n) for t, c, n in (("x", "cls", "a"), ("y", "cls", "b"), ("x", "n", "na"), ("y", "n", "nb"), ("x", "m", "ma"), ("y", "m", "mb"))))
         else:
-            pairs = placed.join(bucket.select("token", F.col("pick.cls").alias("a"), F.col("pick.comp").alias("ca"), F.col("pick.n").alias("na"), F.col("pick.m").alias("ma")), "token")
-            pairs = pairs.where("cls <> a and comp <> ca").select("a", F.col("cls").alias("b"), "na", F.col("n").alias("nb"), "ma", F.col("m").alias("mb"))
-        pairs = pairs.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb) and {num + den} * least(ma, mb) >= {num} * (na + nb)")
+            pairs = placed.alias("x").join(bucket.select("token", "pick.*").alias("y"), "token")
+            pairs = pairs.where(f"x.cls <> y.cls and x.comp <> y.comp and {_reachable('x', 'y', num, den)}")
+        pairs = pairs.select(*(F.col(f"{t}.{c}").alias(n) for t, c, n in (("x", "cls", "a"), ("y", "cls", "b"), ("x", "n", "na"), ("y", "n", "nb"))))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

@@ -76,6 +76,22 @@ def test_components_equal_brute_force(docs, k, num, den):
     assert got == brute_components(rows, k, num, den)
 
 
+@pytest.mark.parametrize("k, num, den", [(3, 9, 10), (5, 4, 5)])
+def test_appended_and_truncated_copies_at_the_threshold(docs, k, num, den):
+    rng = random.Random(10 * k)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts = []
+    for i in range(150):
+        n = rng.randint(12, 80)
+        base = [word() for _ in range(n + k - 1)]
+        more = n * (den - num) // num + (i % 5 == 0)
+        long = base + [word() for _ in range(more)]
+        texts += [" ".join(long), " ".join(base if i % 2 else long[more:])]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(rows), k=k, num=num, den=den).collect()}
+    assert got == brute_components(rows, k, num, den)
+
+
 def test_components_of_nothing_and_null_ids(docs):
     assert jaccard_components(docs([])).count() == 0
     got = jaccard_components(docs([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")])).collect()
