@@ -149,6 +149,17 @@ def test_quality_rules(docs):
     assert quality.quality_rules(docs([]), P.path("byte_bpe_multi_50k.tiktoken")).count() == 0
 
 
+def test_quality_bands_reject_junk_that_the_base_rule_keeps(docs):
+    import public_tokenizers as P
+
+    junk = "Ofthstrent### thoner$$$ to%%% ththwh$$$ oueand$$$ anthth$$$ the&&& onor*** rend*** to%%% tionwhing*** ingatin%%% and&&& thha,###"
+    clean = "Haanth. Reoush hewh and onon hahehe. Ing that of. Ontiontion as thatndou the antiing thin and stndea in ndheha inst as o"
+    short = "We had such a good time at the lake again 😀"
+    got = {r.doc_id: r for r in quality.quality_rules(docs([junk, " ".join([junk, clean, junk[::-1]]), clean, short]), P.path("byte_bpe_multi_50k.tiktoken")).collect()}
+    assert not any(r.q_base_failed for r in got.values())
+    assert [got[i].q_kept for i in range(4)] == [False, False, True, True]
+
+
 @pytest.mark.parametrize("text, ok, names", [("mit", True, ["mit"]), ("mit or gpl-3.0 and x", True, ["mit", "gpl-3.0", "x"]), ("(mit or gpl-3.0) and x", False, ["mit", "gpl-3.0", "x"]), ("apache-2.0 with llvm-exception and mit", True, ["apache-2.0", "mit"]), ("mit some prose", True, ["mit"])])
 def test_license_expressions(text, ok, names):
     assert licenses.evaluate(licenses.parse(text)[0]) == (ok, names)
