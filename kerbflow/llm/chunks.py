@@ -1,5 +1,7 @@
 """Substring dedup by content-defined chunking: a gear rolling hash cuts texts where its top bits are zero, so cuts
-move with the content and resist insertions; chunks are deduplicated by digest."""
+move with the content and resist insertions; chunks are deduplicated by digest. Since a passage may hold too few cuts,
+seeds of SEED words join them: of any SEED adjacent ones the least hash is taken, so a passage of 2 * SEED - 1 words in
+two texts has a seed in common for certain."""
 
 from __future__ import annotations
 
@@ -18,6 +20,8 @@ CUT_BITS = 5
 LONGEST = 512
 #: Bytes of adjacent repeated chunks that make a repeated passage.
 LEAST_RUN = 128
+#: Words of a seed; every repeat of at least 2 * SEED - 1 words, that is over 50, holds a common one.
+SEED = 26
 GEAR = (K._stream(77, 256) >> _U(32)).astype(np.uint32)
 
 
@@ -44,43 +48,75 @@ def cuts(data: np.ndarray, offsets: np.ndarray, bits: int = CUT_BITS, longest: i
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """best (minimum or maximum) of every ``width`` adjacent values."""
+    span = 1
+    while 2 * span <= width:
+        x = best(x[:-span], x[span:])
+        span *= 2
+    return best(x[: len(x) - (width - span)], x[width - span :])
+
+
+def seeds(data: np.ndarray, offsets: np.ndarray, words: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, row and hash of the windows of ``words`` words that are least among some ``words`` adjacent ones."""
+    starts, ends, ranges = K.spans(data, offsets)
+    h, at = K.windows(K.hashes(data, starts, ends, K.AS_IS), ranges, words)
+    if len(h) < words:
+        z = np.zeros(0, np.int64)
+        return z, z, z, np.zeros(0, _U)
+    least = _sliding(h, words, np.minimum)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    inside = np.arange(len(least)) + words <= at[row[: len(least)] + 1]
+    pad = np.zeros(words - 1, _U)
+    least = np.concatenate([pad, np.where(inside, least, _U(0)), pad])
+    hit = np.flatnonzero((_sliding(least, words, np.maximum) == h) & (h > 0))
+    first = hit - at[row[hit]] + ranges[row[hit]]
+    return starts[first], ends[first + words - 1], row[hit], h[hit]
+
+
 def _chunks(id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in K.rows(batches, text_col):
             starts, ends, row = cuts(data, offsets)
             digest = K.hashes(data, starts, ends, K.AS_IS)
             ids = batch.column(batch.schema.get_field_index(id_col))
+            s_starts, s_ends, s_row, s_hash = seeds(data, offsets)
+            row, begin, end = np.concatenate([row, s_row]), np.concatenate([starts, s_starts]), np.concatenate([ends, s_ends])
+            digest = np.concatenate([digest, K.mix(s_hash ^ K.STEP[60])])
+            seed = np.arange(len(row)) >= len(starts)
             yield pa.record_batch(
-                [ids.take(pa.array(row)), pa.array((starts - offsets[row]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(K.signed(digest))],
-                ["doc", "start", "size", "digest"],
+                [ids.take(pa.array(row)), pa.array((begin - offsets[row]).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(K.signed(digest)), pa.array(seed)],
+                ["doc", "start", "size", "digest", "seed"],
             )
 
     return run
 
 
 def chunk_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, start, size, digest) of every chunk; starts and sizes in UTF-8 bytes. Null and empty texts have none."""
+    """(doc, start, size, digest, seed) of every chunk and seed; starts and sizes in UTF-8 bytes. Null and empty texts have none."""
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return d.mapInArrow(_chunks("doc", "text"), "doc long, start int, size int, digest long")
+    return d.mapInArrow(_chunks("doc", "text"), "doc long, start int, size int, digest long, seed boolean")
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_run: int = LEAST_RUN) -> DataFrame:
-    """Runs of adjacent chunks that other documents hold too: (id_col, start, n_bytes, n_chunks, first_doc, is_first).
+    """Runs of chunks and seeds that other documents hold too: (id_col, start, n_bytes, n_chunks, first_doc, is_first).
 
-    A chunk repeats if two ids hold its digest; runs of at least least_run bytes are returned for every document that
-    holds them. first_doc is the smallest id that holds the run's chunks; its copy is the one to keep (is_first). A
+    A chunk repeats if two ids hold its digest; runs of at least least_run bytes, and all that hold a repeated seed, are
+    returned for every document that holds them, so every repeat of over 50 words has a row. A run may end inside the
+    passage: it holds the passage's chunks and seeds, and n_chunks (0 in short ones) counts its chunks. first_doc is the smallest id that holds one of the run's seeds, or of its chunks if it has none; its copy is the one to keep (is_first). A
     document is its id: rows of one id count as one document, and rows without an id are left out. Digests have 64
     bits, and a run needs several adjacent ones. Clean texts have no row; empty tables give none.
     """
     chunks = chunk_table(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col)
     held = chunks.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc")
-    dup = chunks.join(held.select("digest", "first_doc"), "digest").select("doc", "start", "size", "first_doc")
-    dup = dup.dropDuplicates(["doc", "start"])
+    dup = chunks.join(held.select("digest", "first_doc"), "digest").select("doc", "start", "size", "seed", "first_doc")
+    dup = dup.dropDuplicates(["doc", "start", "seed"])
     order = Window.partitionBy("doc").orderBy("start")
-    fresh = F.coalesce((F.lag(F.col("start") + F.col("size")).over(order) != F.col("start")).cast("int"), F.lit(1))
-    runs = dup.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
-    out = runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.sum("size").alias("n_bytes"), F.count("*").alias("n_chunks"), F.min("first_doc").alias("first_doc"))
-    out = out.where(F.col("n_bytes") >= least_run)
+    end = F.col("start") + F.col("size")
+    fresh = F.coalesce((F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)) < F.col("start")).cast("int"), F.lit(1))
+    runs = dup.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = runs.groupBy("doc", "run").agg(F.min("start").alias("start"), (F.max(end) - F.min("start")).cast("long").alias("n_bytes"), F.count_if(~F.col("seed")).alias("n_chunks"), F.max("seed").alias("seed"), F.coalesce(F.min(F.when(F.col("seed"), F.col("first_doc"))), F.min("first_doc")).alias("first_doc"))
+    out = out.where((F.col("n_bytes") >= least_run) | F.col("seed"))
     return out.select(F.col("doc").alias(id_col), "start", "n_bytes", "n_chunks", "first_doc", (F.col("doc") == F.col("first_doc")).alias("is_first"))
 
 

@@ -126,6 +126,20 @@ def test_repeated_passages(docs):
     assert chunks.repeated_passages(docs([])).count() == 0
 
 
+def test_every_repeat_of_over_50_words_has_a_row(docs):
+    rng = random.Random(4)
+    text = lambda n, most=9: " ".join("".join(rng.choice("aeioumnrst") for _ in range(rng.randint(1, most))) for _ in range(n))
+    shared = [text(51, rng.choice((1, 3, 6))) for _ in range(60)] + ["a " * 50 + "a"]
+    rows = [f"{text(rng.randint(0, 40))} {shared[i % len(shared)]} {text(rng.randint(0, 40))}" for i in range(2 * len(shared))] + [text(150) for _ in range(20)] + ODD
+    got = {}
+    for r in chunks.repeated_passages(docs(rows)).collect():
+        got[r.doc_id] = got.get(r.doc_id, []) + [(r.start, r.n_bytes, r.first_doc)]
+    assert set(got) == set(range(2 * len(shared)))
+    for i, runs in got.items():
+        at = rows[i].index(shared[i % len(shared)])
+        assert any(f == i % len(shared) and s < at + len(shared[i % len(shared)]) and at < s + n for s, n, f in runs)
+
+
 def test_repeated_words_equal_brute_force():
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 3, 5, 9, 30, 60)] + ["a b c d e a b c d e", "A b c d e a b c d e"]
