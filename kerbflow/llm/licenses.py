@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,7 +38,8 @@ ALLOWED = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc",
 WEIGHT = {"base": 0.6, "notice": 0.5, "tag": 0.9, "bad": 0.2}
 RANK = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+\-]*", re.ASCII)
-_EXPRESSION = re.compile(r"spdx[-_ ]license[-_ ]identifier\s*:?[ \t]*([^\n\r]{0,2000})", re.ASCII)
+_TAG = re.compile(r"spdx[-_ ]license[-_ ]identifier\s*:?[ \t]*", re.ASCII)
+_LINE_END = re.compile(r"[\n\r]|\Z")
 #: Bytes of words stay, A-Z folds, all others part words.
 WORDS = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -124,14 +126,21 @@ def scan(text: str, found) -> dict:
     sure = [WEIGHT["base"]] * len({x for x, _ in base}) + [WEIGHT["notice"]] * len({NOTICES[p] for p, _ in spans if p in NOTICES})
     expressions, allowed = [], None
     if tags:
-        for m in _EXPRESSION.finditer("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)):
+        folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        places = list(_TAG.finditer(folded))
+        for m, after in zip(places, [p.start() for p in places[1:]] + [len(folded)]):
+            # an expression ends at the next tag or with its line; parse() reads no further than its own tokens
+            line_end = _LINE_END.search(folded, m.end(), after)
+            rest = folded[m.end() : line_end.start() if line_end else after]
             try:
-                ok, names = evaluate(parse(m[1])[0])
+                postfix, used = parse(rest)
+                ok, names = evaluate(postfix)
             except BadExpression:
                 labels.add("spdx-invalid")
                 sure.append(WEIGHT["bad"])
                 continue
-            expressions.append(m[1].strip())
+            last = next(islice(_TOKEN.finditer(rest), used - 1, None))
+            expressions.append(rest[: last.end()].strip())
             labels |= {f"spdx:{x}" for x in names}
             sure.append(WEIGHT["tag"])
             allowed = ok if allowed is None else allowed and ok

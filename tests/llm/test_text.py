@@ -196,6 +196,16 @@ def test_license_scan(docs):
     assert got[4].lic_labels == "spdx-invalid" and got[3].lic_labels == ""
 
 
+def test_every_license_tag_of_a_line_is_read():
+    found = licenses.automaton()
+    got = licenses.scan("/* SPDX-License-Identifier: MIT */ f(); /* SPDX-License-Identifier: GPL-3.0 */ g()", found)
+    assert got["labels"] == "spdx:gpl-3.0,spdx:mit" and got["allowed"] is False and got["expressions"] == ["mit", "gpl-3.0"]
+    got = licenses.scan("SPDX-License-Identifier: " + "mit or " * 400 + "x and\nSPDX-License-Identifier: isc", found)
+    assert got["labels"] == "spdx-invalid,spdx:isc"
+    got = licenses.scan("SPDX-License-Identifier: " + "mit and " * 400 + "gpl-3.0", found)
+    assert got["allowed"] is False and "spdx:gpl-3.0" in got["labels"]
+
+
 def test_license_places_equal_brute_force():
     rng = random.Random(3)
     found = licenses.automaton()
