@@ -34,6 +34,10 @@ SYLLABLES = {
 }
 LETTERS = {"latin": "abcdefghijklmnop", "cyrillic": "абвгдежзиклмнопр", "greek": "αβγδεζηθικλμνξοπ"}
 MOST_ATTEMPTS = 64
+#: After every so many attempts the surrogates of names and mail addresses grow: a syllable a word up to MORE_SYLLABLES, a
+#: letter before the address up to MORE_LETTERS, both within what the patterns match. So redrawing ends.
+PATIENCE = 4
+MORE_SYLLABLES, MORE_LETTERS = 6, 8
 #: Surrogates drawn again are joined by the digest of the texts that hold them; up to this many such texts broadcast.
 BROADCAST_TEXTS = 20_000
 
@@ -95,12 +99,13 @@ def _octets(stream: Column) -> Column:
     return F.concat_ws(".", *(F.conv(F.substring(stream, 2 * k + 1, 2), 16, 10) for k in range(4)))
 
 
-def _name(norm: Column, kind: Column, stream: Column) -> Column:
+def _name(norm: Column, kind: Column, stream: Column, attempt: Column) -> Column:
     def word(script: str, at: int) -> Column:
         starts, ends = SYLLABLES[script]
         pick = lambda table, k: F.element_at(F.array(*map(F.lit, table)), (_nibble(stream, F.lit(k)) % len(table) + 1).cast("int"))
         end = F.when(kind == "she", pick(ends["she"], at + 3)).otherwise(pick(ends["he"], at + 3))
-        return F.concat(pick(starts, at), pick(starts, at + 1), pick(starts, at + 2), end)
+        more = [F.when(attempt >= PATIENCE * (j + 1), pick(starts, 16 + 8 * at + j)).otherwise("") for j in range(MORE_SYLLABLES)]
+        return F.concat(pick(starts, at), pick(starts, at + 1), pick(starts, at + 2), *more, end)
 
     both = lambda s: F.when(norm.contains(" "), F.concat(word(s, 0), F.lit(" "), word(s, 4))).otherwise(word(s, 0))
     return _by_script(_script(norm), both)
@@ -109,11 +114,14 @@ def _name(norm: Column, kind: Column, stream: Column) -> Column:
 def core(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """Surrogate of a normal form, itself a normal form of the same type and shape."""
     s = _stream(key, kind, norm, attempt)
-    domain = F.concat(_chars(F.regexp_extract(norm, r"^(.*)\.", 1), s), F.lit("."), F.regexp_extract(norm, r"([^.]*)$", 1))
+    letters = F.translate(F.substring(s, 97, MORE_LETTERS), "0123456789abcdef", LETTERS["latin"])
+    room = F.instr(norm, "@") + MORE_LETTERS <= 64
+    more = F.when(room, F.substring(letters, F.lit(1), F.least(F.floor(attempt / PATIENCE).cast("int"), F.lit(MORE_LETTERS)))).otherwise("")
+    domain = F.concat(more, _chars(F.regexp_extract(norm, r"^(.*)\.", 1), s), F.lit("."), F.regexp_extract(norm, r"([^.]*)$", 1))
     return (
         F.when(kind == "ip", _octets(s))
         .when(kind == "email", domain)
-        .when(kind.isin("she", "he"), _name(norm, kind, s))
+        .when(kind.isin("she", "he"), _name(norm, kind, s, attempt))
         .when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), _hex(norm, s))
         .when(kind == "secret", F.concat(F.regexp_extract(norm, r"^(AKIA|ASIA|gh[pousr]_|sk-|)", 1), _chars(F.regexp_replace(norm, r"^(AKIA|ASIA|gh[pousr]_|sk-)", ""), s)))
         .when(kind == "iban", F.concat(F.substring(norm, 1, 2), _chars(F.substring(norm, 3, 64), s)))

@@ -75,6 +75,17 @@ def test_surrogates_stay_distinct_where_few_are_left(docs):
     assert len(set(to.values())) == len(to) == 40 and not set(to) & set(to.values())
 
 
+def test_surrogates_grow_where_a_shape_has_too_few(spark, docs):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [f"to {a}@{b}.com now" for a in letters[:20] for b in letters[:20]]
+    got = [r.text for r in pii.pseudonymise(docs(rows)).collect()]
+    made = {re.fullmatch(r"to ([a-z]+@[a-z]\.com) now", t)[1] for t in got}
+    assert len(made) == len(rows) and not made & {r.split()[1] for r in rows}
+    names = spark.range(30_000).select(F.concat(F.lit("n"), "id").alias("norm"), F.explode(F.array(F.lit("she"), F.lit("he"))).alias("kind"))
+    drawn = names.select("kind", pii.core(F.col("kind"), F.col("norm"), F.lit(24), "k").alias("made"))
+    assert drawn.distinct().count() == 60_000 and drawn.where("not made rlike '^[a-z]{2,21}$'").isEmpty()
+
+
 def test_leaks_tolerate_substitutions_in_both_join_forms(spark, docs):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("aeiounrst") for _ in range(rng.randint(2, 6)))
