@@ -136,3 +136,12 @@ def test_streams_plan(spark, tmp_path):
     q = live.presence_counts(read("a")).writeStream.format("memory").queryName("seen").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "d")).start()
     q.awaitTermination()
     assert [r.n for r in spark.table("seen").collect()] == [1]
+
+
+def test_candidates_behind_many_close_ones_are_kept(spark):
+    from kerbflow.operators.tracking import candidate_dedupe
+
+    near = range(-7, 8)
+    rows = [(100 * c + a, 100 * c + b, 1000.0 - c - 0.5 * (a != 0 or b != 0)) for c in range(1, 21) for a in near for b in near]
+    got = candidate_dedupe(spark.createDataFrame(rows, "i long, j long, sim double")).collect()
+    assert sorted(r.i for r in got) == [100 * c for c in range(1, 21)]
