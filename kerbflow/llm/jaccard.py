@@ -5,8 +5,9 @@ the candidates (a shuffle by token); orders 2 and 3 are intersected with them be
 All orders put tokens that are frequent anywhere last, so common phrases leave the prefixes.
 
 Links are wanted as components, so copies are never paired with each other: equal sets collapse into one
-class, each token's bucket is compared with its smallest class first, and only buckets that still span
-several components are compared pair by pair. No link between different components is ever skipped.
+class, and each token's bucket is compared with one class only, that in the middle of its group, so a group of near
+copies becomes one component by as many links as it has members. Only buckets that still span several components are
+compared pair by pair, inside the join, by bounds and sketches. No link between different components is ever skipped.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ BITS = 1024
 #: Bits of the filter by which a scan leaves out texts that no candidate needs, at most; beyond it texts are joined by id.
 MARKS = 1 << 27
 #: Rounds of comparing buckets with one member each, while these still leave a quarter less to compare.
-ROUNDS = 3
+ROUNDS = 4
 
 
 def _frequent(k: int, column: str):
@@ -191,91 +192,138 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     first = work.table(first, "classes")
     work.drop("full")
     work.settle()
-    tokens = first.select(F.posexplode("p1").alias("i", "token"), "cls", "n", "last")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    # the first common token of a pair bounds its overlap: no token before it is common (u = tokens from it on), and of
-    # the set whose prefix ends first, no prefix token that no other prefix holds (m leaves these out as well)
-    mine = Window.partitionBy("cls", "n")
-    size = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
-    bound = F.col("n") - size + F.count("*").over(mine) - F.row_number().over(mine.orderBy("i")) + 1
-    tokens = tokens.join(shared, "token").withColumn("m", bound).select("token", "cls", "n", "m", (F.col("n") - F.col("i")).alias("u"), "last")
-    tokens = work.table(tokens, "tokens")
-    # a set whose m is too small for any partner only meets those whose prefix ends before its own and whose m is not
-    enough = f"{den} * m >= {num} * n"
-    soonest = tokens.where(enough).groupBy("token").agg(F.min("last").alias("soonest"))
-    tokens = tokens.join(soonest, "token").where(f"{enough} or soonest < last").drop("soonest")
-    tokens = work.table(tokens, "tokens-0")
-    work.drop("tokens")
+    join = _Join(docs, first, k, num, den, work)
+    places = work.table(join.places(), "places")
+    places = work.table(join.with_partners(places), "places-0")
+    work.drop("places")
     work.settle()
-    tested = links = comp = before = None
-    for step in range(ROUNDS + 1):
-        if comp is None:
-            placed = tokens.withColumn("comp", F.col("cls"))
-        else:
-            placed = tokens.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        pick = F.min(F.struct((F.xxhash64("cls", F.lit(step)) if step else F.col("n")).alias("o"), "cls", "comp", "n", "m", "u", "last"))
-        bucket = placed.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), pick.alias("pick")).where("low < high")
-        if step:
-            bucket = bucket.where(F.col("c") > 2)
-            bucket = work.table(bucket, f"bucket-{step}")
-            tokens = work.table(tokens.join(bucket.select("token"), "token"), f"tokens-{step}")
-            placed = tokens.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-            work.drop(f"tokens-{step - 1}")
-            left, members = bucket.agg(F.sum(F.expr("c * (c - 1) div 2")), F.sum("c")).first()
-            if not left:
-                break
-            last = step == ROUNDS or left <= 8 * members or (before and 4 * left > 3 * before)
-            before = left
-        else:
-            last = False
-        if last:
-            # near misses of a large group are told apart by their sketches, inside the join
-            mine = placed.join(first.select("cls", "sketch"), "cls")
-            most = f"x.n + y.n - 2 * (({num} * (x.n + y.n) + {num + den - 1}) div {num + den})"
-            could = f"x.cls < y.cls and x.comp <> y.comp and {_reachable('x', 'y', num, den)} and {_differing('x.sketch', 'y.sketch')} <= {most}"
-            pairs = mine.alias("x").join(mine.alias("y"), F.expr(f"x.token = y.token and {could}"))
-        else:
-            pairs = placed.alias("x").join(bucket.select("token", "pick.*").alias("y"), "token")
-            pairs = pairs.where(f"x.cls <> y.cls and x.comp <> y.comp and {_reachable('x', 'y', num, den)}")
+    join.links_of(join.with_picks(places, 0), "picks-0")
+    before = None
+    for step in range(1, ROUNDS + 1):
+        bucket = join.placed(places).groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        # a bucket's pick has met its members, so two classes need no more
+        bucket = work.table(bucket.where("low < high and c > 2"), f"bucket-{step}")
+        left, members = bucket.agg(F.sum(F.expr("c * (c - 1) div 2")), F.sum("c")).first()
+        if not left:
+            break
+        places = work.table(places.join(bucket.select("token"), "token"), f"places-{step}")
+        work.drop(f"places-{step - 1}")
+        if step == ROUNDS or left <= 8 * members or (before and 4 * left > 3 * before):
+            join.links_of(join.all_pairs(places), "rest")
+            break
+        before = left
+        join.links_of(join.with_picks(places, step), f"picks-{step}")
+    comp = join.comp
+    # the least id of a component from its classes, so that rows are joined once, by class
+    if comp is None:
+        found = first.select("cls", F.col("cls").alias("component"), F.col("doc").alias("least"))
+    else:
+        of = first.select("cls", "doc").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc", F.coalesce("comp", "cls").alias("component"))
+        of = work.table(of, "class-components")
+        least = of.groupBy("component").agg(F.min("doc").alias("least"))
+        found = of.join(least, "component").select("cls", "component", "least")
+    out = profile.join(found, "cls", "left")
+    some = F.col("n") > 0
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(some, F.col("cls")).alias("cls"), F.when(some, F.col("component")).alias("component"), F.when(some, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
+
+
+class _Join:
+    """The classes of equal sets, their places in buckets, and the links and components found so far."""
+
+    def __init__(self, docs: DataFrame, first: DataFrame, k: int, num: int, den: int, work: Workspace):
+        self.docs, self.first, self.k, self.num, self.den, self.work = docs, first, k, num, den, work
+        self.links = self.comp = self.tested = self.loaded = None
+
+    def places(self) -> DataFrame:
+        """A row per class and prefix token (order 1) that another class has in its prefix too.
+
+        ``far`` is small for a class whose prefix tokens are common: it lies in the middle of a group of near copies.
+        """
+        num, den = self.num, self.den
+        tokens = self.first.select(F.posexplode("p1").alias("i", "token"), "cls", "n", "last")
+        shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+        # the first common token of a pair bounds its overlap: no token before it is common (u = tokens from it on), and of
+        # the set whose prefix ends first, no prefix token that no other prefix holds (m leaves these out as well)
+        mine = Window.partitionBy("cls", "n")
+        size = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
+        held = F.count("*").over(mine)
+        bound = F.col("n") - size + held - F.row_number().over(mine.orderBy("i")) + 1
+        far = -(F.sum(F.floor(F.log2("c")) * 16).over(mine) / size).cast("int")
+        return tokens.join(shared, "token").withColumns({"m": bound, "far": far}).select("token", "cls", "n", "m", (F.col("n") - F.col("i")).alias("u"), "last", "far")
+
+    def with_partners(self, places: DataFrame) -> DataFrame:
+        """Without places whose m is too small for any partner and whose bucket holds none that could reach them."""
+        enough = f"{self.den} * m >= {self.num} * n"
+        soonest = places.where(enough).groupBy("token").agg(F.min("last").alias("soonest"))
+        return places.join(soonest, "token").where(f"{enough} or soonest < last").drop("soonest")
+
+    def placed(self, places: DataFrame) -> DataFrame:
+        if self.comp is None:
+            return places.withColumn("comp", F.col("cls"))
+        return places.join(self.comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+    def with_picks(self, places: DataFrame, step: int) -> DataFrame:
+        """Pairs of each bucket's members with its pick: at first the class that lies nearest to the middle of a group, in
+        later rounds that of a component dealt by a hash."""
+        placed = self.placed(places)
+        order = ([F.xxhash64("comp", F.lit(step)).alias("o")] if step else []) + ["far", F.xxhash64("cls").alias("h")]
+        pick = F.min(F.struct(*order, "cls", "comp", "n", "m", "u", "last")).alias("pick")
+        picks = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), pick).where("low < high").select("token", "pick.*")
+        pairs = placed.alias("x").join(picks.alias("y"), "token")
+        return self._ordered(pairs.where(f"x.cls <> y.cls and x.comp <> y.comp and {_reachable('x', 'y', self.num, self.den)}"))
+
+    def all_pairs(self, places: DataFrame) -> DataFrame:
+        """Pairs of each bucket's members in different components; what the sketches tell apart never becomes a row."""
+        num, den = self.num, self.den
+        mine = self.placed(places).join(self.first.select("cls", "sketch"), "cls")
+        most = f"x.n + y.n - 2 * (({num} * (x.n + y.n) + {num + den - 1}) div {num + den})"
+        could = f"x.cls < y.cls and x.comp <> y.comp and {_reachable('x', 'y', num, den)} and {_differing('x.sketch', 'y.sketch')} <= {most}"
+        return self._ordered(mine.alias("x").join(mine.alias("y"), F.expr(f"x.token = y.token and {could}")))
+
+    def _ordered(self, pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(*(F.col(f"{t}.{c}").alias(n) for t, c, n in (("x", "cls", "a"), ("y", "cls", "b"), ("x", "n", "na"), ("y", "n", "nb"))))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        # orders 2 and 3, before any set is read
+        return pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti")
+
+    def sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """(cls, tokens) of the classes in ids(cls), distinct: their texts are read again, those of others passed over."""
+        wanted = self.first.select("cls", "doc").join(ids, "cls")
+        if self.loaded is not None:
+            wanted = wanted.join(self.loaded.select("cls"), "cls", "left_anti")
+        wanted = self.work.table(wanted, f"wanted-{name}")
+        n = wanted.count()
+        if n or self.loaded is None:
+            marks = _marks(wanted, n)
+            if marks is None:
+                some = wanted.select("doc").distinct()
+                texts = self.docs.join(some, self.docs.doc.eqNullSafe(some.doc), "left_semi")
+            else:
+                texts = self.docs.withColumn("h", F.xxhash64("doc"))
+            read = self.work.table(texts.drop("doc").mapInArrow(_sets(self.k, "text", marks), "cls long, tokens array<long>"), f"sets-{name}")
+            # a mark or an id may bring in texts of other classes, and several texts of one
+            read = read.join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+            self.loaded = read if self.loaded is None else self.work.table(read.union(self.loaded), f"loaded-{name}")
+        return self.loaded.join(ids, "cls", "left_semi")
+
+    def links_of(self, pairs: DataFrame, name: str) -> None:
+        """Verifies pairs(a, b, na, nb): orders 2 and 3, before any set is read, then the sets."""
+        num, den, work, first = self.num, self.den, self.work, self.first
         side = lambda x: first.select(F.col("cls").alias(x), F.col("p2").alias(f"p2{x}"), F.col("p3").alias(f"p3{x}"))
         near = pairs.join(side("a"), "a").join(side("b"), "b").where("arrays_overlap(p2a, p2b) and arrays_overlap(p3a, p3b)").select("a", "b", "na", "nb")
-        near = work.table(near, f"near-{step}")
+        near = work.table(near, f"near-{name}")
         work.settle()
-        ids = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
-        wanted = work.table(first.select("cls", "doc").join(ids, "cls"), f"wanted-{step}")
-        marks = _marks(wanted, wanted.count())
-        if marks is None:
-            wanted = wanted.select("doc").distinct()
-            texts = docs.join(wanted, docs.doc.eqNullSafe(wanted.doc), "left_semi")
-        else:
-            texts = docs.withColumn("h", F.xxhash64("doc"))
-        sets = work.table(texts.drop("doc").mapInArrow(_sets(k, "text", marks), "cls long, tokens array<long>"), f"sets-{step}")
-        sets = sets.groupBy("cls").agg(F.first("tokens").alias("tokens"))
+        sets = self.sets(near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct(), name)
         both = near.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-        same = F.size(F.array_intersect("ta", "tb"))
-        found = both.withColumn("same", same).where(f"{num + den} * same >= {num} * (na + nb)").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-        links = work.table(found if links is None else found.union(links), f"links-{step}")
-        comp = work.table(components(links, work, f"stars-{step}"), f"comp-{step}")
-        tested = work.table(near.select("a", "b") if tested is None else near.select("a", "b").union(tested), f"tested-{step}")
-        work.drop(f"sets-{step}")
+        found = both.where(f"{num + den} * size(array_intersect(ta, tb)) >= {num} * (na + nb)")
+        self._add(found.select(F.col("a").alias("u"), F.col("b").alias("v")), name)
+        self.tested = work.table(near.select("a", "b") if self.tested is None else near.select("a", "b").union(self.tested), f"tested-{name}")
         work.settle()
-        if last:
-            break
-    out = profile.select("doc", "n", "cls")
-    if comp is not None:
-        out = out.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-    else:
-        out = out.withColumn("comp", F.lit(None).cast("long"))
-    comp_of = F.when(F.col("n") > 0, F.coalesce("comp", "cls"))
-    out = out.withColumn("component", comp_of)
-    least = out.where("n > 0").groupBy("component").agg(F.min("doc").alias("least"))
-    out = out.join(least, "component", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"), "component", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
+
+    def _add(self, links: DataFrame, name: str) -> None:
+        # earlier links count as one from each class to its component
+        links = links if self.comp is None else links.union(self.comp.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")))
+        self.links = self.work.table(links.distinct(), f"links-{name}")
+        self.comp = self.work.table(components(self.links, self.work, f"stars-{name}"), f"comp-{name}")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,27 @@ def test_appended_and_truncated_copies_at_the_threshold(docs, k, num, den):
     assert got == brute_components(rows, k, num, den)
 
 
+@pytest.mark.parametrize("k, num, den, edits", [(3, 9, 10, (1, 2, 3, 4)), (5, 4, 5, (2, 3, 4, 5))])
+def test_near_misses_and_dense_groups_at_the_threshold(docs, k, num, den, edits):
+    """A group whose members mostly lie just under the threshold of each other, and a group without its centre in which all do."""
+    rng = random.Random(k)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(110)]
+    texts = [" ".join(base)]
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(len(w)), edits[i % len(edits)]):
+            w[at] = word() if rng.random() < 0.7 else rng.choice(base)
+        texts.append(" ".join(w))
+    other = [word() for _ in range(60)]
+    for i in range(60):
+        texts.append(" ".join(other[:i] + [f"x{i % 7}"] + other[i + 1 :]))
+    rows = [(5000 - i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(rows), k=k, num=num, den=den).collect()}
+    want = brute_components(rows, k, num, den)
+    assert got == want and len({c for _, c in want.values()}) > 20
+
+
 def test_components_of_nothing_and_null_ids(docs):
     assert jaccard_components(docs([])).count() == 0
     got = jaccard_components(docs([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")])).collect()
