@@ -6,8 +6,9 @@ All orders put tokens that are frequent anywhere last, so common phrases leave t
 
 Links are wanted as components, so copies are never paired with each other: equal sets collapse into one
 class, and each token's bucket is compared with one class only, that in the middle of its group, so a group of near
-copies becomes one component by as many links as it has members. Only buckets that still span several components are
-compared pair by pair, inside the join, by bounds and sketches. No link between different components is ever skipped.
+copies becomes one component by as many links as it has members. Buckets that still span several components are
+compared pair by pair inside the join, by bounds and sketches: small ones at once, large ones after further rounds with
+other picks. No link between different components is ever skipped.
 """
 
 from __future__ import annotations
@@ -23,15 +24,19 @@ from .components import components
 from .workspace import Workspace
 
 _U = np.uint64
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: A token in a thousandth of the documents of a block is frequent; this only moves tokens in the orders.
 FREQUENT = 1000
 #: Frequent tokens in the order table: at most this many, the most frequent first. Others count as rare; results stay.
 TABLE = 1 << 18
 BITS = 1024
-#: Bits of the filter by which a scan leaves out texts that no candidate needs, at most; beyond it texts are joined by id.
+#: A scan leaves out texts that no candidate needs: by a broadcast of up to WANTED hashed ids (16 MB), then by a filter of up
+#: to MARKS bits (16 MB); beyond it texts are joined by id.
+WANTED = 1_000_000
 MARKS = 1 << 27
-#: Rounds of comparing buckets with one member each, while these still leave a quarter less to compare.
+#: Classes of a bucket that is compared pair by pair at once. Larger ones are compared with one member a round, in at most
+#: ROUNDS rounds and while these leave a quarter less to compare.
+LARGE = 32
 ROUNDS = 4
 
 
@@ -140,7 +145,7 @@ def _marks(ids: DataFrame, n: int) -> np.ndarray | None:
     bits = max(1 << 16, 1 << (16 * n - 1).bit_length())
     if bits > MARKS:
         return None
-    places = ids.select(F.xxhash64("doc").alias("h")).select(F.explode(F.expr(f"array(h & {bits - 1}, shiftrightunsigned(h, 32) & {bits - 1})")).alias("p"))
+    places = ids.select(F.explode(F.expr(f"array(h & {bits - 1}, shiftrightunsigned(h, 32) & {bits - 1})")).alias("p"))
     found = places.groupBy((F.shiftright("p", 6)).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()
     out = np.zeros(bits // 64, _U)
     out[found["at"].to_numpy()] = found["bits"].to_numpy().view(_U)
@@ -202,17 +207,18 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     for step in range(1, ROUNDS + 1):
         bucket = join.placed(places).groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         # a bucket's pick has met its members, so two classes need no more
-        bucket = work.table(bucket.where("low < high and c > 2"), f"bucket-{step}")
-        left, members = bucket.agg(F.sum(F.expr("c * (c - 1) div 2")), F.sum("c")).first()
-        if not left:
+        bucket = work.table(bucket.where("low < high and c > 2").withColumn("large", F.col("c") > LARGE), f"bucket-{step}")
+        members, large, left = bucket.agg(F.count("*"), F.count_if("large"), F.sum(F.expr("if(large, c * (c - 1) div 2, 0)"))).first()
+        if not members:
             break
-        places = work.table(places.join(bucket.select("token"), "token"), f"places-{step}")
+        places = work.table(places.join(bucket.select("token", "large"), "token"), f"places-{step}")
         work.drop(f"places-{step - 1}")
-        if step == ROUNDS or left <= 8 * members or (before and 4 * left > 3 * before):
-            join.links_of(join.all_pairs(places), "rest")
+        if not large or step == ROUNDS or (before and 4 * left > 3 * before):
+            join.links_of(join.all_pairs(places.drop("large")), "rest")
             break
         before = left
-        join.links_of(join.with_picks(places, step), f"picks-{step}")
+        some, places = places.where("not large").drop("large"), places.where("large").drop("large")
+        join.links_of(join.all_pairs(some).union(join.with_picks(places, step)).distinct(), f"picks-{step}")
     comp = join.comp
     # the least id of a component from its classes, so that rows are joined once, by class
     if comp is None:
@@ -290,19 +296,19 @@ class _Join:
         wanted = self.first.select("cls", "doc").join(ids, "cls")
         if self.loaded is not None:
             wanted = wanted.join(self.loaded.select("cls"), "cls", "left_anti")
-        wanted = self.work.table(wanted, f"wanted-{name}")
+        wanted = self.work.table(wanted.withColumn("h", F.xxhash64("doc")), f"wanted-{name}")
         n = wanted.count()
         if n or self.loaded is None:
-            marks = _marks(wanted, n)
-            if marks is None:
-                some = wanted.select("doc").distinct()
-                texts = self.docs.join(some, self.docs.doc.eqNullSafe(some.doc), "left_semi")
-            else:
-                texts = self.docs.withColumn("h", F.xxhash64("doc"))
-            read = self.work.table(texts.drop("doc").mapInArrow(_sets(self.k, "text", marks), "cls long, tokens array<long>"), f"sets-{name}")
-            # a mark or an id may bring in texts of other classes, and several texts of one
+            texts, some, marks = self.docs.withColumn("h", F.xxhash64("doc")), wanted.select("h").distinct(), None
+            if n <= WANTED:
+                texts = texts.join(F.broadcast(some), "h", "left_semi")
+            elif (marks := _marks(wanted, n)) is None:
+                texts = texts.join(some, "h", "left_semi")
+            read = self.work.table(texts.select("text", "h").mapInArrow(_sets(self.k, "text", marks), "cls long, tokens array<long>"), f"sets-{name}")
+            # a hash or an id may bring in texts of other classes, and several texts of one
             read = read.join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
-            self.loaded = read if self.loaded is None else self.work.table(read.union(self.loaded), f"loaded-{name}")
+            self.loaded = self.work.table(read if self.loaded is None else read.union(self.loaded), f"loaded-{name}")
+            self.work.drop(f"sets-{name}")
         return self.loaded.join(ids, "cls", "left_semi")
 
     def links_of(self, pairs: DataFrame, name: str) -> None:
