@@ -1,0 +1,14 @@
+"""Kerbside analytics on Spark: the names a user needs to go from frames or detections to placed cars."""
+
+from .operators.place import geolocate, gps_track, position_at
+from .operators.spatial import judge, match, overstay, presence
+from .operators.tracking import bootstrap_interval, track_parked
+from .sources.files import detect, read_frames, straight_track
+
+
+def count_parked(frames, detector, schema: str, **options):
+    """Parked cars of a table of frames: a user's detector, then track_parked."""
+    return track_parked(detect(frames, detector, schema), **options)
+
+
+__all__ = ["bootstrap_interval", "count_parked", "detect", "geolocate", "gps_track", "judge", "match", "overstay", "position_at", "presence", "read_frames", "straight_track", "track_parked"]

@@ -15,24 +15,24 @@ def main(argv: list[str] | None = None) -> None:
         s.add_argument("input")
         s.add_argument("--out")
         s.add_argument("--min-frames", type=int, default=3)
+        s.add_argument("--code", help="zone: signage code to show")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    from .operators import ordered, robust, tracking
+    from .operators import ordered, tracking
     from .sources.files import read_zones
 
-    if a.command in ("count", "confidence"):
-        tracked = tracking.associate(spark.read.parquet(a.input))
-        keys = ["segment", "side", "track_id"]
-        looks = tracked.groupBy(*keys).agg(F.min_by("color", "ord").alias("color"), F.min_by("cls", "ord").alias("cls"), F.count("*").alias("seen")).where("seen >= 2")
-        out = tracking.slot(robust.triangulate(tracked, keys).join(looks, keys))
-        if a.command == "count":
-            out = out.where(F.col("n_dets") >= a.min_frames)
-        else:
-            out = out.select(F.explode(F.sequence(F.lit(1), F.lit(10))).alias("min_frames"), "n_dets").groupBy("min_frames").agg(F.count_if(F.col("n_dets") >= F.col("min_frames")).alias("cars")).orderBy("min_frames")
+    if a.command == "count":
+        out = tracking.track_parked(spark.read.parquet(a.input), min_frames=a.min_frames).orderBy("segment", "side", "along_m")
+    elif a.command == "confidence":
+        out = tracking.bootstrap_interval(spark.read.parquet(a.input), (2, 3, 4, 5, 6)).orderBy("min_frames")
     elif a.command == "survey":
-        out = ordered.islands(spark.read.parquet(a.input), "vid", "sample", F.col("kerb") >= 3)
+        near = spark.read.parquet(a.input).withColumn("near", ordered.moving_average("kerb", "vid", "sample", 3))
+        runs = ordered.islands(near, "vid", "sample", F.col("near") >= 3).groupBy("vid", "island")
+        out = runs.agg(F.min("sample").alias("first"), F.max("sample").alias("last"), F.avg("kerb").alias("mean")).orderBy("vid", "first")
     else:
         out = read_zones(spark, a.input)
+        if a.code:
+            out = out.where(F.col("signage_code") == a.code)
     if a.out:
         out.write.mode("overwrite").option("header", True).csv(a.out)
     else:

@@ -3,65 +3,108 @@ no join compares all pairs: rows of the probing side are copied to the cells tha
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar as S
+from ..scratch import Workspace
 
 M_LAT, M_LON = 110_540.0, 111_320.0
+#: Sizes of cells by level: BASE_M doubled level times.
+BASE_M = 5.0
+#: Reach of each ring of a nearest search without a bound, in metres; the last one spans the earth.
+RINGS = (60.0, 240.0, 960.0, 7_680.0, 122_880.0, 25_000_000.0)
+
+
+def _scale(row: Column, size: Column) -> Column:
+    """Columns a degree of longitude has in a row of cells, by the row's smallest cosine: no cell is narrower than size."""
+    edge = F.greatest(F.abs(row), F.abs(row + 1)) * (size / M_LAT)
+    return F.lit(M_LON) / size * F.cos(F.radians(F.least(edge + 0.01, F.lit(89.0))))
+
+
+def _lit(size: float | Column) -> Column:
+    return F.lit(float(size)) if isinstance(size, (int, float)) else size
+
+
+def with_cells(df: DataFrame, size_m: float | Column, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Adds the cell of about size_m that holds each point."""
+    size = _lit(size_m)
+    row = F.floor(F.col(lat) * (F.lit(M_LAT) / size))
+    return df.withColumns({"_row": row, "_col": F.floor(F.col(lon) * _scale(row, size))})
+
+
+def _cells_near(lat: Column, lon: Column, size: Column) -> Column:
+    """Cells within size of a point: three rows of cells, in each the columns that the span of longitude touches."""
+    span = size / M_LON / F.cos(F.radians(F.least(F.abs(lat), F.lit(89.0))))
 
+    def columns(k: Column) -> Column:
+        row = F.floor(lat * (F.lit(M_LAT) / size)) + k
+        scale = _scale(row, size)
+        return F.transform(F.sequence(F.floor((lon - span) * scale), F.floor((lon + span) * scale)), lambda c: F.struct(row.alias("_row"), c.alias("_col")))
 
-def cell(lat: Column, lon: Column, size_m: float) -> tuple[Column, Column]:
-    """Grid cell of about size_m: rows by latitude; columns by longitude, scaled by the row's own smallest cosine so that
-    no cell is narrower than size_m."""
-    row = F.floor(lat * (M_LAT / size_m))
-    edge = F.greatest(F.abs(row), F.abs(row + 1)) * (size_m / M_LAT)
-    return row, F.floor(lon * (M_LON / size_m) * F.cos(F.radians(F.least(edge + 0.01, F.lit(89.0)))))
+    return F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), columns))
 
 
-def with_cells(df: DataFrame, size_m: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    r, c = cell(F.col(lat), F.col(lon), size_m)
-    return df.withColumns({"_row": r, "_col": c})
+def near_cells(df: DataFrame, size_m: float | Column, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """A row per cell within size_m of each point."""
+    return df.select("*", F.inline(_cells_near(F.col(lat), F.col(lon), _lit(size_m))))
 
 
-def near_cells(df: DataFrame, size_m: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """A row per cell within size_m: three rows of cells, in each the columns that the span of longitude touches."""
-    span = F.lit(size_m / M_LON) / F.cos(F.radians(F.col(lat)))
-    df = df.withColumn("_row", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col(lat) * (M_LAT / size_m)) + k)))
-    edge = F.greatest(F.abs("_row"), F.abs(F.col("_row") + 1)) * (size_m / M_LAT)
-    scale = F.lit(M_LON / size_m) * F.cos(F.radians(F.least(edge + 0.01, F.lit(89.0))))
-    return df.withColumn("_col", F.explode(F.sequence(F.floor((F.col(lon) - span) * scale), F.floor((F.col(lon) + span) * scale))))
+def segment_cells(df: DataFrame, size_m: float) -> DataFrame:
+    """A row per cell within 3/4 of size_m of each segment (alat, alon)-(blat, blon), however long: the cells near points
+    half a size apart along it, each cell once."""
+    steps = F.greatest(F.ceil(F.expr(S.metres("alat", "alon", "blat", "blon")) / (size_m / 2)), F.lit(1)).cast("int")
+    at = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / steps
+    cells = F.flatten(F.transform(F.sequence(F.lit(0), steps), lambda i: _cells_near(at("alat", "blat", i), at("alon", "blon", i), F.lit(float(size_m)))))
+    return df.select("*", F.inline(F.array_distinct(cells)))
 
 
-def presence(log: DataFrame, probes: DataFrame, gate: float = 2.0, window_s: float | None = None, reach_m: float = 50.0) -> DataFrame:
+def _by_reach(near: DataFrame, probes: DataFrame, reach: Column, lat: str, lon: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with cells of the level that the near side's own reach needs; probes have a cell in each level in use."""
+    level = F.greatest(F.ceil(F.log2(reach / BASE_M)), F.lit(0)).cast("int")
+    near = near.withColumn("_level", F.coalesce(level, F.lit(0)))
+    levels = [r[0] for r in near.select("_level").distinct().collect()] or [0]
+    size = F.lit(BASE_M) * F.pow(F.lit(2.0), F.col("_level"))
+    probes = probes.withColumn("_level", F.explode(F.array(*map(F.lit, sorted(levels)))))
+    return near_cells(near, size), with_cells(probes, size, lat, lon)
+
+
+CELL = ["_level", "_row", "_col"]
+
+
+def presence(log: DataFrame, probes: DataFrame, gate: float = 2.0, window_s: float | None = None) -> DataFrame:
     """Sightings whose ellipse holds a probe: (probe, id, distance). probes(probe, plat, plon[, pts]).
 
-    reach_m bounds gate * sigma of every sighting. Time counts only if window_s is given.
+    A sighting is copied to the cells within gate times its own larger sigma. Time counts only if window_s is given.
     """
+    near, asked = _by_reach(log, probes, gate * F.greatest("sa", "sc"), "plat", "plon")
     hit = f"{S.mahalanobis('s', 'p.plat', 'p.plon')}"
-    joined = with_cells(probes, reach_m, "plat", "plon").alias("p").join(near_cells(log, reach_m).alias("s"), ["_row", "_col"])
-    out = joined.withColumn("distance", F.expr(hit)).where(F.col("distance") <= gate)
+    out = asked.alias("p").join(near.alias("s"), CELL).withColumn("distance", F.expr(hit)).where(F.col("distance") <= gate)
     if window_s is not None:
         out = out.where(F.abs(F.col("s.ts") - F.col("p.pts")) <= window_s)
     return out.select("probe", "id", "distance")
 
 
-def match(a: DataFrame, b: DataFrame, gate: float = 2.5, appearance: bool = True, reach_m: float = 20.0) -> DataFrame:
+def match(a: DataFrame, b: DataFrame, gate: float = 2.5, appearance: bool = True) -> DataFrame:
     """Mutual nearest pairs (a_id, b_id, cost, gap_s) with cost max(a to b, b to a) within the gate.
 
-    Appearance is part of the join key. Ties go to the smaller id on either side. reach_m bounds gate * sigma.
+    Appearance is part of the join key. Ties go to the smaller id on either side. A pair lies within gate times the larger
+    sigma of b's row, which sets the cells that row is copied to.
     """
     look = ["cls", "color"] if appearance else []
     cost = f"greatest({S.mahalanobis('a', 'b.lat', 'b.lon')}, {S.mahalanobis('b', 'a.lat', 'a.lon')})"
-    joined = with_cells(a, reach_m).alias("a").join(near_cells(b, reach_m).alias("b"), ["_row", "_col", *look])
+    near, asked = _by_reach(b, a, gate * F.greatest("sa", "sc"), "lat", "lon")
+    joined = asked.alias("a").join(near.alias("b"), [*CELL, *look])
     pairs = joined.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.expr(cost).alias("cost"), F.abs(F.col("a.ts") - F.col("b.ts")).alias("gap_s")).where(F.col("cost") <= gate)
     best_a = pairs.groupBy("a_id").agg(F.min(F.struct("cost", "b_id", "gap_s")).alias("best")).select("a_id", "best.*")
     best_b = pairs.groupBy("b_id").agg(F.min(F.struct("cost", "a_id")).alias("best")).select("b_id", F.col("best.a_id").alias("a_id"))
     return best_a.join(best_b, ["a_id", "b_id"]).select("a_id", "b_id", "cost", "gap_s")
 
 
-def overstay(a: DataFrame, b: DataFrame, min_gap_s: float, gate: float = 2.5, reach_m: float = 20.0) -> DataFrame:
+def overstay(a: DataFrame, b: DataFrame, min_gap_s: float, gate: float = 2.5) -> DataFrame:
     """Matches whose passes lie at least min_gap_s apart."""
-    return match(a, b, gate, True, reach_m).where(F.col("gap_s") >= min_gap_s)
+    return match(a, b, gate).where(F.col("gap_s") >= min_gap_s)
 
 
 def nearest(points: DataFrame, anchors: DataFrame, key: str, snap_m: float, strict: bool = True) -> DataFrame:
@@ -78,25 +121,28 @@ def nearest(points: DataFrame, anchors: DataFrame, key: str, snap_m: float, stri
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, key: str, snap_m: float | None = None) -> DataFrame:
-    """Each point's nearest segment (way, idx, distance), ties to the smaller (way, idx).
+    """Each point's nearest segment (key, distance, way, idx, highway, street), ties to the smaller (way, idx).
 
-    With a snap distance the segments' cells are joined; without one the street network, whose size is checked, is
-    broadcast and each point keeps one row through a partial minimum.
+    Points meet segments in cells. Without a snap distance points search in growing rings: one that finds a segment within
+    a ring's reach has found its nearest, the others go on to the next ring.
     """
-    d = F.expr(S.segment_distance("lat", "lon"))
-    pick = F.min(F.struct("distance", "way", "idx", "highway", "street")).alias("best")
-    if snap_m is None:
-        if segments.count() > 200_000:
-            raise ValueError("a network of over 200,000 segments needs a snap distance")
-        pairs = points.join(F.broadcast(segments), F.lit(True))
-    else:
-        reach = snap_m + 200.0
-        half = segments.withColumns({"_lat": (F.col("alat") + F.col("blat")) / 2, "_lon": (F.col("alon") + F.col("blon")) / 2})
-        pairs = with_cells(points, reach).join(near_cells(half, reach, "_lat", "_lon"), ["_row", "_col"])
-    pairs = pairs.withColumn("distance", d)
     if snap_m is not None:
-        pairs = pairs.where(F.col("distance") <= snap_m)
-    return pairs.groupBy(key).agg(pick).select(key, "best.*")
+        return _within(points, segments, key, snap_m)
+    work = Workspace(points.sparkSession, "nearest")
+    left, parts = points, []
+    for k, reach in enumerate(RINGS):
+        found = work.table(_within(left, segments, key, reach), f"found-{k}")
+        parts.append(found)
+        left = work.table(left.join(found.select(key), key, "left_anti"), f"left-{k}")
+        if left.isEmpty() or (k == 0 and segments.isEmpty()):
+            break
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _within(points: DataFrame, segments: DataFrame, key: str, reach: float) -> DataFrame:
+    size = reach / 0.75
+    pairs = with_cells(points, size).join(segment_cells(segments, size), ["_row", "_col"]).withColumn("distance", F.expr(S.segment_distance("lat", "lon"))).where(F.col("distance") <= reach)
+    return pairs.groupBy(key).agg(F.min(F.struct("distance", "way", "idx", "highway", "street")).alias("best")).select(key, "best.*")
 
 
 def lane_corners(inner: float = 3.3, outer: float = 5.9, clear: float = 7.6) -> dict[str, str]:
@@ -122,14 +168,26 @@ def zone_boxes(segments: DataFrame, paid: DataFrame) -> DataFrame:
 MARGIN = S.signed_margin([(f"c{k}x", f"c{k}y") for k in range(4)], "((lon - alon) * 111320e0 * cos(radians(alat)))", "((lat - alat) * 110540e0)")
 
 
-def judge(fixes: DataFrame, boxes: DataFrame, key: str, sigma_m: float, reach_m: float = 200.0) -> DataFrame:
+def judge(fixes: DataFrame, boxes: DataFrame, key: str, sigma_m: float, reach_m: float = 20.0) -> DataFrame:
     """Strongest verdict of each fix over the boxes in reach: inside, then ambiguous, then outside; then the margin.
 
-    Fixes with no box in reach are outside, with null margin and box.
+    Boxes in reach are those whose segment lies within reach_m plus sigma_m; lane boxes end 6 m from theirs. Fixes with
+    none are outside, with null margin and box.
     """
-    near = near_cells(boxes.withColumns({"_lat": (F.col("alat") + F.col("blat")) / 2, "_lon": (F.col("alon") + F.col("blon")) / 2}), reach_m, "_lat", "_lon")
-    pairs = with_cells(fixes, reach_m).join(near, ["_row", "_col"]).withColumn("margin", F.expr(MARGIN)).withColumn("verdict", F.expr(S.verdict("margin", f"{float(sigma_m)}e0")))
+    size = (max(reach_m, 6.0) + sigma_m) / 0.75
+    pairs = with_cells(fixes, size).join(segment_cells(boxes, size), ["_row", "_col"]).withColumn("margin", F.expr(MARGIN)).withColumn("verdict", F.expr(S.verdict("margin", f"{float(sigma_m)}e0")))
     rank = F.expr("case verdict when 'inside' then 2 when 'ambiguous' then 1 else 0 end")
     best = pairs.groupBy(key).agg(F.max(F.struct(rank.alias("rank"), "margin", (-F.col("way")).alias("w"), (-F.col("idx")).alias("i"), "side", "verdict", "zone")).alias("b"))
     best = best.select(key, F.col("b.verdict").alias("verdict"), F.col("b.margin").alias("margin"), F.col("b.zone").alias("zone"), (-F.col("b.w")).alias("way"), (-F.col("b.i")).alias("idx"), F.col("b.side").alias("side"))
     return fixes.select(key).join(best, key, "left").withColumn("verdict", F.coalesce("verdict", F.lit("outside")))
+
+
+def summarise(judged: DataFrame) -> DataFrame:
+    """One row: counts by verdict, the share of ambiguous ones (0 of none), inside counts by zone, median inside margin."""
+    inside = F.col("verdict") == "inside"
+    counts = [F.count_if(F.col("verdict") == v).alias(n) for v, n in (("inside", "in_paid_zone"), ("outside", "outside_any_zone"), ("ambiguous", "ambiguous"))]
+    total = judged.agg(F.count("*").alias("cars"), *counts, F.median(F.when(inside, F.col("margin"))).alias("median_margin_inside"))
+    zones = judged.where(inside & (F.coalesce("zone", F.lit("")) != "")).groupBy("zone").agg(F.count("*").alias("n"))
+    by_zone = zones.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("zone", "n")))).alias("by_zone"))
+    share = F.coalesce(F.try_divide(F.col("ambiguous"), F.col("cars")), F.lit(0.0)).alias("ambiguous_share")
+    return total.withColumn("one", F.lit(1)).join(by_zone.withColumn("one", F.lit(1)), "one").select("cars", *(n for n in ("in_paid_zone", "outside_any_zone", "ambiguous")), share, "by_zone", "median_margin_inside")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalar as S
 from ..operators import ordered as O
-from ..operators import robust, spatial, tracking
+from ..operators import place, robust, similarity, spatial, tracking
+from ..operators.graph import components as connected
+from ..scratch import Workspace
 from .fixtures import ctes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,8 +75,8 @@ shared("clock_label", "survey", "select event_id, lpad(cast(cast(floor(sample *
 shared("xml_escape", "", "select p_partkey, replace(replace(replace('<' || p_name || '&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') name from {part}", "part")
 # --- filters
 shared("vehicle_filter", "boxes", "select ord, class_id from {boxes} where class_id in (3, 4, 6, 8)")
-shared("kerb_filter", "detections", "select ord, case when bearing < 0 then 'left' else 'right' end kerb from {detections} where bh >= 104 and abs(bearing) >= 40")
-shared("survey_filter", "detections", "select ord from {detections} where bh >= 55 and cy >= 0.42e0 * 1240 and abs(bearing) > 48")
+shared("kerb_filter", "detections", "select ord, case when bearing < 0 then 'left' else 'right' end kerb from {detections} where bh >= 80 and abs(bearing) >= 20")
+shared("survey_filter", "detections", "select ord from {detections} where bh >= 55 and cy >= 0.42e0 * 1240 and abs(bearing) > 18")
 shared("null_island", "", "select c_custkey from (select c_custkey, case when c_custkey % 5 = 0 then 0e0 when c_custkey % 7 = 0 then null else 25e0 end lat, case when c_custkey % 10 = 0 then 0e0 else -80e0 end lon from {customer}) t where abs(lat) > 0.000001e0 or (lat is not null and abs(lon) > 0.000001e0)", "customer")
 shared("known_exclude", "", "select event_id, user_id from {events} where not (event_id between 100 and 300 or event_id between 700 and 720 or user_id between 30 and 33)", "events")
 shared("sampling_scan", "", "select event_id from {events} where event_id % 12 = 0", "events")
@@ -105,7 +107,7 @@ def tile_cover(spark, t):
 @query("presence", "sightings", f"select p.anchor probe, s.id, round({S.mahalanobis('s', 'p.plat', 'p.plon')}, 6) distance from (select id anchor, lat + 0.00001e0 plat, lon + 0.000005e0 plon, street, ts pts from sightings) p join sightings s on p.street = s.street where {S.mahalanobis('s', 'p.plat', 'p.plon')} <= 2 and abs(s.ts - p.pts) <= 600")
 def presence(spark, t):
     probes = t["sightings"].selectExpr("id probe", "lat + 0.00001e0 plat", "lon + 0.000005e0 plon", "ts pts")
-    return spatial.presence(t["sightings"], probes, 2.0, 600.0, reach_m=15.0).withColumn("distance", F.round("distance", 6))
+    return spatial.presence(t["sightings"], probes, 2.0, 600.0).withColumn("distance", F.round("distance", 6))
 
 
 _COST = f"greatest({S.mahalanobis('a', 'b.lat', 'b.lon')}, {S.mahalanobis('b', 'a.lat', 'a.lon')})"
@@ -144,10 +146,10 @@ def zone_for(spark, t):
     return spatial.nearest(pts, t["anchors"], "id", 30.0).select("id", "anchor", F.round("distance", 6).alias("distance"), "zone")
 
 
-@query("camera_overlap", "anchors", f"with pts as (select anchor id, lat + 0.0001e0 lat, lon - 0.00005e0 lon from anchors) select count(*) n_near from (select distinct s.id from pts s join anchors a on {S.metres('s.lat', 's.lon', 'a.lat', 'a.lon')} <= 40)")
+@query("camera_overlap", "anchors", f"with pts as (select anchor id, lat + 0.0001e0 lat, lon - 0.00005e0 lon from anchors) select count(*) n_near from (select distinct s.id from pts s join anchors a on {S.metres('s.lat', 's.lon', 'a.lat', 'a.lon')} <= 150)")
 def camera_overlap(spark, t):
     pts = t["anchors"].selectExpr("anchor id", "lat + 0.0001e0 lat", "lon - 0.00005e0 lon")
-    return spatial.nearest(pts, t["anchors"], "id", 40.0, strict=False).agg(F.count("distance").alias("n_near"))
+    return spatial.nearest(pts, t["anchors"], "id", 150.0, strict=False).agg(F.count("distance").alias("n_near"))
 
 
 _SEG = f"select anchor, zone, way, idx, highway, {S.segment_distance('lat', 'lon')} d, row_number() over (partition by anchor order by {S.segment_distance('lat', 'lon')}, way, idx) k from anchors, segments"
@@ -369,20 +371,8 @@ def scale_calibration(spark, t):
 # --- similarity
 @query("revisit_top1", "descriptors", "select i, j, round(sim, 4) sim from (select a.t i, b.t j, sim, row_number() over (partition by a.t order by sim desc, b.t) k from descriptors a join descriptors b on b.t >= a.t + 120, lateral (select list_dot_product(a.vec::double[], b.vec::double[]) / sqrt(list_dot_product(a.vec::double[], a.vec::double[]) * list_dot_product(b.vec::double[], b.vec::double[])) sim)) where k = 1 and sim > 0.3")
 def revisit_top1(spark, t):
-    """Best later frame at least 120 steps on: blocks of the matrix, each a theta join with partial maxima.
-
-    A stated pairwise search in blocks: every block pair is its own task, the maximum is combined map-side.
-    """
-    d = t["descriptors"].select("t", F.transform("vec", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    d = d.withColumn("u", F.sqrt(dot(F.col("v"), F.col("v")))).withColumn("v", F.transform("v", lambda x: x / F.col("u"))).withColumn("block", F.floor(F.col("t") / 250))
-    blocks = d.select("block").distinct()
-    left = d.select(F.col("t").alias("i"), F.col("v").alias("a"), F.col("block").alias("bi"))
-    pairs = blocks.select(F.col("block").alias("bi")).join(blocks.select(F.col("block").alias("bj")), F.col("bj") >= F.col("bi"))
-    right = d.select(F.col("t").alias("j"), F.col("v").alias("b"), F.col("block").alias("bj"))
-    found = left.join(pairs, "bi").join(right, "bj").where("j >= i + 120").withColumn("sim", dot(F.col("a"), F.col("b")))
-    best = found.groupBy("i").agg(F.max(F.struct("sim", (-F.col("j")).alias("k"))).alias("m"))
-    return best.where("m.sim > 0.3").select("i", (-F.col("m.k")).alias("j"), F.round("m.sim", 4).alias("sim"))
+    """Best later frame at least 120 steps on, similarity over 0.3."""
+    return similarity.best_later(t["descriptors"], 120, 0.3).withColumn("sim", F.round("sim", 4))
 
 
 @query("enrich", "sightings", "select a.id, b.color peer from sightings a left join (select street, ts, max_by(color, id) color from sightings where pass = 2 group by street, ts) b on a.street = b.street and a.ts = b.ts")
@@ -430,22 +420,22 @@ def triangulate(spark, t):
     return robust.triangulate(t["detections"], ["car"]).select("car", *r6("s", "sigma"), "n_dets")
 
 
-def _tracklets(t) -> DataFrame:
-    tracked = tracking.associate(t["detections"])
-    keys = ["segment", "side", "track_id"]
-    looks = tracked.groupBy(*keys).agg(F.min_by("color", "ord").alias("color"), F.min_by("cls", "ord").alias("cls"), F.count("*").alias("seen")).where("seen >= 2")
-    return robust.triangulate(tracked, keys).join(looks, keys).select(*keys, "s", "sigma", "n_dets", "color", "cls")
-
-
 @query("slot", "detections")
 def slot(spark, t):
-    return tracking.slot(_tracklets(t))
+    return tracking.slot(tracking.tracklets(t["detections"]))
 
 
 @query("track_parked", "detections")
 def track_parked(spark, t):
-    """Detections to parked cars: associate, triangulate, slot, minimum frames, confidence."""
-    return tracking.slot(_tracklets(t)).where("n_dets >= 3").withColumn("confidence", F.expr(S.confidence("n_dets")))
+    """Detections to parked cars of three views and more."""
+    return tracking.track_parked(t["detections"], min_frames=3)
+
+
+@query("geolocate_parked", "detections track")
+def geolocate_parked(spark, t):
+    """Detections to placed cars: each segment's cars beside the trajectory of the vehicle of its number."""
+    track = t["track"].select(F.col("vid").alias("segment"), F.col("t") / 100, "lat", "lon").toDF("segment", "t", "lat", "lon")
+    return place.geolocate(tracking.track_parked(t["detections"]), track, epoch="2024-01-01 00:00:00")
 
 
 @query("moving_rejection", "detections")
@@ -517,24 +507,15 @@ def nearest_face(spark, t):
     return found.groupBy(F.floor(F.col("anchor") / 10).alias("way"), (F.col("anchor") % 10).cast("int").alias("idx")).agg(F.count("*").alias("n"))
 
 
-@query("components", "anchors", f"with recursive e as (select a.anchor u, b.anchor v from anchors a join anchors b on a.zone = b.zone and {S.metres('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 150), r as (select anchor, anchor comp from anchors union select r.anchor, e.v from r join e on e.u = r.comp) select anchor, min(comp) comp from r group by anchor")
-def components(spark, t):
-    """Single-linkage pieces of each zone under 150 m: minimum labels passed along edges until they stand."""
+@query("components", "anchors", f"with recursive e as (select a.anchor u, b.anchor v from anchors a join anchors b on a.zone = b.zone and {S.metres('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 300), r as (select anchor, anchor comp from anchors union select r.anchor, e.v from r join e on e.u = r.comp) select anchor, min(comp) comp from r group by anchor")
+def components(spark, t, link_m: float = 300.0):
+    """Single-linkage pieces of each zone under link_m, by star steps over the links."""
     a = t["anchors"]
-    left = spatial.with_cells(a, 150.0)
-    right = spatial.near_cells(a.select(F.col("anchor").alias("v"), "zone", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), 150.0, "lat2", "lon2")
-    edges = left.join(right, ["_row", "_col", "zone"]).where(F.expr(S.metres("lat", "lon", "lat2", "lon2")) < 150).select(F.col("anchor").alias("u"), "v").where("u <> v").persist()
-    labels = a.select(F.col("anchor").alias("u"), F.col("anchor").alias("comp"))
-    while True:
-        best = edges.join(labels.select(F.col("u").alias("v"), F.col("comp").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"))
-        step = labels.join(best, "u", "left").select("u", F.least("comp", F.coalesce("c", "comp")).alias("comp"), (F.col("c") < F.col("comp")).alias("moved"))
-        # the label's own label: halves the way to the root
-        step = step.join(step.select(F.col("u").alias("comp"), F.col("comp").alias("up")), "comp").select("u", F.least("comp", "up").alias("comp"), "moved")
-        step = step.persist()
-        moved = step.where("moved").isEmpty()
-        labels = step.select("u", "comp")
-        if moved:
-            return labels.select(F.col("u").alias("anchor"), "comp")
+    left = spatial.with_cells(a, link_m)
+    right = spatial.near_cells(a.select(F.col("anchor").alias("v"), "zone", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), link_m, "lat2", "lon2")
+    edges = left.join(right, ["_row", "_col", "zone"]).where(F.expr(S.metres("lat", "lon", "lat2", "lon2")) < link_m).select(F.col("anchor").alias("u"), "v").where("u <> v")
+    found = connected(edges, Workspace(spark, "components"))
+    return a.select("anchor").join(found, a.anchor == found.node, "left").select("anchor", F.coalesce("comp", "anchor").alias("comp"))
 
 
 # --- aggregates
@@ -563,9 +544,7 @@ def ground_fit(spark, t):
 def bootstrap_ci(spark, t):
     """Count per minimum of frames with a bootstrap interval: 60 resamples that keep a frame with probability 0.9 by a
     hash; nearest-rank bounds. Each resample is tracked anew; thresholds share its tracks."""
-    counts = tracking.bootstrap_counts(t["detections"], (2, 3, 4, 5, 6)).groupBy("min_frames", "boot").agg(F.sum("n").alias("n"))
-    got = counts.groupBy("min_frames").agg(F.max(F.when(F.col("boot") == 0, F.col("n"))).alias("count"), F.sort_array(F.collect_list(F.when(F.col("boot") > 0, F.col("n")))).alias("b"))
-    return got.select("min_frames", "count", F.get("b", F.lit(2)).alias("ci_lo"), F.get("b", F.lit(57)).alias("ci_hi"), F.get("b", F.lit(30)).alias("boot_median"))
+    return tracking.bootstrap_interval(t["detections"], (2, 3, 4, 5, 6))
 
 
 shared("tallies", "detections", "select color, cls, count(*) n, count(case when side = 'left' then 1 end) n_left, min(bh) low, max(bh) high, median(bh) mid from {detections} group by color, cls")

@@ -8,10 +8,10 @@ from ..functions import scalar as S
 from ..operators.spatial import near_cells, with_cells
 
 
-def overstay_stream(first: DataFrame, second: DataFrame, gate: float = 2.5, min_gap: str = "20 minutes", max_gap: str = "4 hours", reach_m: float = 20.0, late: str = "10 minutes") -> DataFrame:
+def overstay_stream(first: DataFrame, second: DataFrame, gate: float = 2.5, min_gap: str = "20 minutes", max_gap: str = "4 hours", reach_m: float = 25.0, late: str = "10 minutes") -> DataFrame:
     """Pairs within the gate of equal look, min_gap to max_gap apart, as both passes arrive.
 
-    Watermarks and the gap bound the state of either side. Mutual nearest choice needs a closed log: run ``match`` over
+    reach_m bounds gate times the larger sigma of the second side. Watermarks and the gap bound the state of either side. Mutual nearest choice needs a closed log: run ``match`` over
     the pairs that this appends.
     """
     a = with_cells(first.withWatermark("time", late), reach_m).select("_row", "_col", "cls", "color", *(F.col(c).alias(f"a_{c}") for c in ("id", "lat", "lon", "heading", "sa", "sc", "time")))

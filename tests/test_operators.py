@@ -1,11 +1,14 @@
 """Hand-worked cases: gates, ties, boundaries."""
 
+import math
+
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from kerbflow.functions import scalar as S
-from kerbflow.operators import ordered, robust, spatial, tracking
+from kerbflow.operators import ordered, place, robust, spatial, tracking
 
 
 def one(spark, expression):
@@ -85,7 +88,17 @@ def views(spark, rows):
 def test_triangulate(spark, rows, want):
     got = robust.triangulate(views(spark, rows), ["k"]).collect()
     assert [(pytest.approx(r.s), r.sigma, r.n_dets) for r in got] == ([want] if want else [])
-    assert tracking.place_track(rows) == (pytest.approx(want) if want else None)
+    s, n = tracking.placements(np.zeros(len(rows)), *np.array(rows).T)
+    assert (s.tolist(), n.tolist()) == (([pytest.approx(want[0])], [want[2]]) if want else ([], []))
+
+
+def test_placements_of_many_tracks_equal_triangulate(spark):
+    rng = np.random.default_rng(3)
+    track, s_cam, bearing = rng.integers(0, 40, 300), rng.random(300) * 30, -20 - rng.random(300) * 65
+    s, n = tracking.placements(track, s_cam, bearing)
+    d = spark.createDataFrame([(int(k), float(a), float(b)) for k, a, b in zip(track, s_cam, bearing)], "k int, s_cam double, bearing double")
+    want = robust.triangulate(d, ["k"]).orderBy("k").collect()
+    assert s.tolist() == pytest.approx([r.s for r in want]) and n.tolist() == [r.n_dets for r in want]
 
 
 def test_slot_moves_after_absorbing(spark):
@@ -93,6 +106,124 @@ def test_slot_moves_after_absorbing(spark):
     assert [(r.s, r.n_dets, r.n_tracklets) for r in tracking.slot(t).orderBy("s").collect()] == [(1.5, 8, 2), (8.0, 2, 1)]
 
 
+def brute_slots(rows, apart=4.5):
+    """[position, sigma, views, tracklets] of cars: every tracklet against all cars so far."""
+    cars = []
+    for s, sigma, n in sorted(rows, key=lambda r: -r[2]):
+        near = min(cars, key=lambda c: abs(c[0] - s), default=None)
+        if near and abs(near[0] - s) < apart:
+            near[:] = [(near[0] * near[2] + s * n) / (near[2] + n), min(near[1], sigma), near[2] + n, near[3] + 1]
+        else:
+            cars.append([s, max(sigma, 1.0), n, 1])
+    return sorted(cars)
+
+
+def test_slots_equal_a_search_over_all_cars(spark):
+    rng = np.random.default_rng(2)
+    groups = {g: [(float(a), float(b), int(n)) for a, b, n in zip(rng.random(60) * 90, rng.random(60) * 3, rng.integers(2, 9, 60))] for g in range(5)}
+    t = spark.createDataFrame([(g, "left", i, s, sigma, n, "grey", "car", i, i + 5) for g, rows in groups.items() for i, (s, sigma, n) in enumerate(rows)], "segment long, side string, track_id long, s double, sigma double, n_dets long, color string, cls string, first_frame long, last_frame long")
+    got = tracking.slot(t).orderBy("segment", "s").collect()
+    for g, rows in groups.items():
+        want = brute_slots(rows)
+        mine = [r for r in got if r.segment == g]
+        assert [(r.sigma, r.n_dets, r.n_tracklets) for r in mine] == [tuple(w[1:]) for w in want]
+        assert [r.s for r in mine] == pytest.approx([w[0] for w in want]) and all(r.first_frame < r.last_frame for r in mine)
+
+
+def one_car(segment, s, color, frames=range(6)):
+    """Detections of a car at s that the camera passes, 7 m beside it."""
+    out = []
+    for f in frames:
+        cam = s - 4.0 + f
+        bearing = -math.degrees(math.atan2(7.0, abs(s - cam) + 0.5))
+        out.append((segment, "left", f + int(s) * 3, len(out) + int(s) * 100 + segment * 10**6, f / 4.0 + s, cam, bearing, 900.0 - 20 * f, 500.0, 100.0, color, "car"))
+    return out
+
+
+DETECTION = "segment long, side string, frame long, ord long, t double, s_cam double, bearing double, cx double, cy double, bh double, color string, cls string"
+
+
+def test_parked_cars_from_detections_to_places(spark):
+    import kerbflow
+
+    d = spark.createDataFrame(one_car(1, 20.0, "grey") + one_car(1, 60.0, None) + one_car(2, 20.0, "red", range(2)), DETECTION)
+    cars = kerbflow.track_parked(d).orderBy("segment", "along_m").collect()
+    assert [(r.segment, r.color) for r in cars] == [(1, "grey"), (1, None), (2, "red")]
+    assert all(r.first_t <= r.abeam_t <= r.last_t and r.abeam_t > 0 for r in cars) and cars[0].n_dets >= 4 and cars[0].confidence > 0.7
+    assert {r.segment for r in kerbflow.track_parked(d, min_frames=3).collect()} == {1}
+    track = spark.createDataFrame([(1, 0.0, 25.0, -80.0), (1, 100.0, 25.01, -80.0)], "segment long, t double, lat double, lon double")
+    placed = kerbflow.geolocate(kerbflow.track_parked(d), track, epoch="2024-01-01 00:00:00").collect()
+    mirrored = kerbflow.geolocate(kerbflow.track_parked(d), track, mirrored=True).collect()
+    assert len(placed) == 2 and all(r.lon < -80.0 and r.heading == 0 and r.timestamp.year == 2024 for r in placed) and all(r.lon > -80.0 for r in mirrored)
+    west = math.radians(-80.0 - placed[0].lon) * 6378137 * math.cos(math.radians(25.0))
+    assert abs(abs(west) - 7.0) < 0.01
+
+
+def test_positions_by_arc_length_and_from_times(spark):
+    track = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 5.0, 0.001, 0.0), (1, 6.0, 0.002, 0.0)], "k int, t double, lat double, lon double")
+    arcs = [r.arc for r in place.arc_lengths(track, "k").orderBy("t").collect()]
+    assert arcs == pytest.approx([0, 110.54, 221.08])
+    at = place.position_at_arc(spark.createDataFrame([(1, 55.27), (1, 165.81)], "k int, s double"), track, "k", "s", left_m=5.0).orderBy("s").collect()
+    assert [r.at_lat for r in at] == pytest.approx([0.0005, 0.0015]) and all(r.at_lon < 0 for r in at)
+    fixes = spark.sql("select 1 k, timestamp'2024-01-01 00:00:07.5' time, 1e0 lat, 2e0 lon union all select 1, timestamp'2024-01-01 00:00:05', 0e0, 2e0")
+    assert sorted(r.t for r in place.gps_track(fixes, "k").collect()) == [0.0, 2.5]
+
+
+def test_wide_sigmas_keep_their_partners(spark):
+    rows = lambda shift, ts: [(i, 25.0 + (i * 200 + shift) / 110_540, -80.0, 0.0, sigma, sigma, "grey", "car", ts) for i, sigma in enumerate((0.5, 2.0, 10.0, 40.0))]
+    kind = "id long, lat double, lon double, heading double, sa double, sc double, color string, cls string, ts double"
+    a = spark.createDataFrame(rows(0, 0.0), kind)
+    for shift, want in ((1.0, {0, 1, 2, 3}), (4.9, {1, 2, 3}), (24.9, {2, 3}), (99.0, {3})):
+        assert {r.a_id for r in spatial.match(a, spark.createDataFrame(rows(shift, 9.0), kind)).where("a_id = b_id").collect()} == want
+    probes = spark.createDataFrame([(1, 25.0 + 679.0 / 110_540, -80.0)], "probe int, plat double, plon double")
+    assert {r.id for r in spatial.presence(a, probes).collect()} == {3}
+
+
+def test_long_segments_are_found_along_their_whole_length(spark):
+    rng = np.random.default_rng(5)
+    seg = [(k, 0, "residential", "s", 25.0 + float(rng.random()) / 50, -80.0 + float(rng.random()) / 50, 25.0 + float(rng.random()) / 50, -80.0 + float(rng.random()) / 50) for k in range(30)]
+    segments = spark.createDataFrame(seg, "way int, idx int, highway string, street string, alat double, alon double, blat double, blon double")
+    pts = [(i, 24.99 + float(rng.random()) / 25, -80.01 + float(rng.random()) / 25) for i in range(200)] + [(999, 26.5, -80.0)]
+    points = spark.createDataFrame(pts, "id int, lat double, lon double")
+    d = points.crossJoin(segments).withColumn("d", F.expr(S.segment_distance("lat", "lon"))).groupBy("id").agg(F.min(F.struct("d", "way")).alias("m")).collect()
+    want = {r.id: (r.m.way, r.m.d) for r in d}
+    got = {r.id: (r.way, r.distance) for r in spatial.nearest_segment(points, segments, "id").collect()}
+    assert got == want
+    assert {r.id for r in spatial.nearest_segment(points, segments, "id", 25.0).collect()} == {i for i, (_, x) in want.items() if x <= 25.0}
+    boxes = spatial.zone_boxes(segments, segments.selectExpr("way", "idx", "'z' zone"))
+    inside = points.select("id", "lat", "lon").crossJoin(boxes).withColumn("margin", F.expr(spatial.MARGIN)).where("margin > -1").select("id").distinct().collect()
+    assert {r.id for r in spatial.judge(points, boxes, "id", 1.0).where("verdict <> 'outside'").collect()} == {r.id for r in inside}
+
+
+def test_summary_of_verdicts(spark):
+    judged = spark.createDataFrame([("inside", 2.0, "1"), ("inside", 4.0, "2"), ("inside", 3.0, "1"), ("ambiguous", 0.1, "1"), ("outside", None, None)], "verdict string, margin double, zone string")
+    r = spatial.summarise(judged).first()
+    assert (r.cars, r.in_paid_zone, r.outside_any_zone, r.ambiguous, r.ambiguous_share, r.by_zone, r.median_margin_inside) == (5, 3, 1, 1, 0.2, {"1": 2, "2": 1}, 3.0)
+    none = spatial.summarise(judged.limit(0)).first()
+    assert none.cars == 0 and none.ambiguous_share == 0.0 and none.by_zone == {} and none.median_margin_inside is None
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    from kerbflow.operators.graph import components
+    from kerbflow.scratch import Workspace
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "u long, v long"), Workspace(spark, "t")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200, 202: 200}
+
+
+def test_suppression_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    box = [(int(i % 3), i, *(float(v) for v in (x, y, x + 40, y + 40)), float(s)) for i, (x, y, s) in enumerate(zip(rng.integers(0, 80, 60), rng.integers(0, 80, 60), rng.random(60)))]
+    got = {r.ord for r in tracking.box_nms(spark.createDataFrame(box, "image long, ord long, x1 double, y1 double, x2 double, y2 double, score double")).collect()}
+    want = []
+    for b in sorted(box, key=lambda b: -b[6]):
+        over = lambda k: max(min(b[4], k[4]) - max(b[2], k[2]), 0) * max(min(b[5], k[5]) - max(b[3], k[3]), 0)
+        if not any(k[0] == b[0] and over(k) / (3200 - over(k)) > 0.55 for k in want):
+            want.append(b)
+    assert got == {b[1] for b in want}
+
+
 def frame_rows(rows):
     return pd.DataFrame([(f, i, cx, 500.0, 100.0, c, k) for i, (f, cx, c, k) in enumerate(rows)], columns=["frame", "ord", "cx", "cy", "bh", "color", "cls"])
 
