@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kerbflow.llm.decontam import decontaminate
 from kerbflow.llm.jaccard import jaccard_components
 from kerbflow.llm.mixing import mix_sources
-from kerbflow.llm.pii import pseudonymise
+from kerbflow.llm.pii import pseudonymise, surrogate_key
 from kerbflow.llm.quality import quality_rules
-from kerbflow.llm.workspace import Workspace
+from kerbflow.scratch import Workspace
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -42,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data; n_chars is counted again."""
-    return pseudonymise(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return pseudonymise(docs.select(*COLUMNS), key=surrogate_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

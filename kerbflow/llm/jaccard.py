@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import textkernel as K
-from .components import components
-from .workspace import Workspace
+from ..operators.graph import components
+from ..scratch import Workspace
 
 _U = np.uint64
 BLOCK = 1 << 21

@@ -1,5 +1,5 @@
 """PII by surrogate generation: every detected entity gets a keyed replacement of its own type, format, script and
-(for names) gender; equal entities get equal ones everywhere, different ones different ones. DataFrame functions only.
+(for given names) gender; equal entities get equal ones everywhere, different ones different ones. DataFrame functions only.
 
 A surrogate is a pure function of key, type, normal form and attempt number, so it needs no table: only entities whose
 surrogate collides (with another's, or with a real entity of the corpus) are stored, with their next attempt.
@@ -7,30 +7,48 @@ surrogate collides (with another's, or with a real entity of the corpus) are sto
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .workspace import Workspace
+from ..scratch import Workspace
+
+#: Titles and common given names by gender, as alternatives.
+TITLES = {"she": "Mrs|Ms|Miss|Frau|Mme|Madame|Sra|Señora|Госпожа|Κυρία", "he": "Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος", "name": "Dr|Prof|Doctor|Professor"}
+GIVEN = {
+    "she": "Alice|Amanda|Angela|Anna|Anne|Barbara|Carol|Carmen|Catherine|Charlotte|Christine|Claudia|Deborah|Elena|Elizabeth|Emily|Emma|Eva|Hannah|Helen|Ingrid|Isabel|Jane|Jennifer|Jessica|Julia|Karen|Katharina|Laura|Linda|Lisa|Margaret|Maria|Marie|Mary|Michelle|Monika|Nancy|Nicole|Olivia|Patricia|Petra|Rachel|Rosa|Sabine|Sandra|Sarah|Sophie|Stephanie|Susan|Ursula",
+    "he": "Alexander|Andrew|Anthony|Antonio|Carlos|Charles|Christian|Christopher|Daniel|David|Diego|Edward|Fernando|François|Frank|George|Hans|Heinrich|Henry|Jack|James|Javier|Jean|John|Jorge|Joseph|Juan|Jürgen|Klaus|Luis|Manuel|Matthew|Michael|Miguel|Nicolas|Oliver|Patrick|Paul|Pedro|Peter|Philippe|Pierre|Richard|Robert|Samuel|Stefan|Steven|Thomas|William|Wolfgang",
+}
+NAME = r"\p{Lu}(?:\p{Ll}{1,20}|\p{Lu}{1,20})(?:['’-]\p{Lu}\p{Ll}{1,20})?(?!\p{L})"
+PERSON = ("she", "he", "name")
+HEX = r"[0-9A-Fa-f]{1,4}"
+
+
+def _person(kind: str) -> str:
+    """A title and one or two names, or a given name and another name."""
+    given = rf"|(?:{GIVEN[kind]}) {NAME}" if kind in GIVEN else ""
+    return rf"(?<!\p{{L}})(?:(?:{TITLES[kind]})\.? {NAME}(?: {NAME})?{given})"
+
 
-KEY = "surrogates-1"
 #: Type and pattern, the first that matches at a place wins. Patterns have no capturing groups.
 PATTERNS = {
     "email": r"[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{2,6}}(?::{HEX}){{1,5}}|{HEX}:(?::{HEX}){{2,6}})(?![\p{{L}}\p{{N}}:]|\.\d)",
     "secret": r"(?<![\p{L}\p{N}])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,64})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\d.+-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\d]|[.-]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)|(?<![\p{N}+])\+\d{8,15}(?!\d)",
-    "she": r"(?<!\p{L})(?:Mrs|Ms|Miss|Frau|Mme|Madame|Sra|Señora|Госпожа|Κυρία)\.? (?:\p{Lu}\p{Ll}{1,20})(?: \p{Lu}\p{Ll}{1,20})?",
-    "he": r"(?<!\p{L})(?:Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος)\.? (?:\p{Lu}\p{Ll}{1,20})(?: \p{Lu}\p{Ll}{1,20})?",
-}
+    "phone": r"(?<![\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)|(?<![\p{N}+])\+\d{8,15}(?!\d)|(?<![\p{N}+])\+(?=(?:[ .()-]?\d){8,15}(?![ .-]?\d))\d{1,3}(?:[ .-]\(?\d{2,8}\)?){1,5}(?!\d)",
+} | {kind: _person(kind) for kind in PERSON}
 #: Needed by any pattern above; texts without it are passed over.
-HINT = r"[0-9@]|Mrs|Ms|Miss|Frau|Mme|Madame|Sra|Señora|Госпожа|Κυρία|Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος"
+HINT = "[0-9@]|" + "|".join([*TITLES.values(), *GIVEN.values()])
 #: Syllables of made-up names by script: starts, then endings by gender.
 SYLLABLES = {
-    "latin": (("ba", "de", "fi", "go", "ha", "ju", "ka", "le", "mi", "no", "pa", "ra", "se", "ti", "vo", "wi"), {"she": ("na", "la", "ra", "sa"), "he": ("n", "r", "s", "l")}),
-    "cyrillic": (("ба", "де", "фи", "го", "ха", "ку", "ка", "ле", "ми", "но", "па", "ра", "се", "ти", "во", "ви"), {"she": ("на", "ла", "ра", "са"), "he": ("н", "р", "с", "л")}),
-    "greek": (("βα", "δε", "φι", "γο", "χα", "κυ", "κα", "λε", "μι", "νο", "πα", "ρα", "σε", "τι", "θο", "ζι"), {"she": ("να", "λα", "ρα", "σα"), "he": ("ν", "ρ", "ς", "λ")}),
+    "latin": (("ba", "de", "fi", "go", "ha", "ju", "ka", "le", "mi", "no", "pa", "ra", "se", "ti", "vo", "wi"), {"she": ("na", "la", "ra", "sa"), "he": ("n", "r", "s", "l"), "name": ("ko", "mo", "do", "bo")}),
+    "cyrillic": (("ба", "де", "фи", "го", "ха", "ку", "ка", "ле", "ми", "но", "па", "ра", "се", "ти", "во", "ви"), {"she": ("на", "ла", "ра", "са"), "he": ("н", "р", "с", "л"), "name": ("ко", "мо", "до", "бо")}),
+    "greek": (("βα", "δε", "φι", "γο", "χα", "κυ", "κα", "λε", "μι", "νο", "πα", "ρα", "σε", "τι", "θο", "ζι"), {"she": ("να", "λα", "ρα", "σα"), "he": ("ν", "ρ", "ς", "λ"), "name": ("κο", "μο", "δο", "βο")}),
 }
 LETTERS = {"latin": "abcdefghijklmnop", "cyrillic": "абвгдежзиклмнопр", "greek": "αβγδεζηθικλμνξοπ"}
 MOST_ATTEMPTS = 64
@@ -47,20 +65,54 @@ def kind_of(entity: Column, patterns: dict[str, str]) -> Column:
     return F.coalesce(*(F.when(entity.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in patterns.items()), F.lit("other"))
 
 
+def checked(entity: Column, kind: Column) -> Column:
+    """The type, null for a number whose check digits are wrong."""
+    valid = F.when(kind == "card", _luhn(F.regexp_replace(entity, r"[^0-9]", ""))).when(kind == "iban", _mod97(F.regexp_replace(entity, " ", "")) == 1)
+    return F.when(F.coalesce(valid, F.lit(True)), kind)
+
+
+def _luhn(digits: Column) -> Column:
+    return F.call_function("luhn_check", digits)
+
+
+def _mod97(iban: Column) -> Column:
+    """Remainder of a bank account number's digits, country and check digits moved to the end, letters as 10 to 35."""
+    turned = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+    step = lambda m, c: F.when(c.rlike("^[0-9]$"), m * 10 + F.ascii(c) - 48).otherwise(m * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step)
+
+
 def normal(entity: Column, kind: Column) -> Column:
-    """Form under which mentions are one entity: digits of numbers, lower case of mail and names (without the title)."""
+    """Form under which mentions are one entity: digits of numbers, lower case of mail, addresses and names."""
     return (
         F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(entity, r"[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
-        .when(kind.isin("she", "he"), F.lower(F.regexp_replace(entity, r"^\S+ ", "")))
-        .when(kind == "email", F.lower(entity))
+        .when(kind.isin("email", "ipv6", "family", *PERSON), F.lower(entity))
         .otherwise(entity)
     )
 
 
+TITLE = "^(?:" + "|".join(TITLES.values()) + r")\.? "
+
+
+def _names(mention: Column, kind: Column) -> Column:
+    """Names of a person mention, in order, each with its kind: a given name of the mention's gender before a family name.
+    A title with one name has a family name."""
+    words = F.split(F.regexp_replace(mention, TITLE, ""), " ")
+    return F.transform(words, lambda w, i: F.struct(w.alias("e"), F.when(i == F.size(words) - 1, F.lit("family")).otherwise(kind).alias("kind")))
+
+
+def _hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-512 in hex."""
+    k = key.encode()
+    k = (hashlib.sha512(k).digest() if len(k) > 128 else k).ljust(128, b"\0")
+    pad = lambda x: F.lit(bytearray(b ^ x for b in k))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 512))), 512)
+
+
 def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """128 hex digits from key and entity."""
-    return F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 512)
+    return _hmac(key, F.concat_ws("|", kind, norm, attempt.cast("string")))
 
 
 def _nibble(stream: Column, i: Column) -> Column:
@@ -100,20 +152,35 @@ def _octets(stream: Column) -> Column:
 
 
 def _name(norm: Column, kind: Column, stream: Column, attempt: Column) -> Column:
-    def word(script: str, at: int) -> Column:
+    def word(script: str) -> Column:
         starts, ends = SYLLABLES[script]
         pick = lambda table, k: F.element_at(F.array(*map(F.lit, table)), (_nibble(stream, F.lit(k)) % len(table) + 1).cast("int"))
-        end = F.when(kind == "she", pick(ends["she"], at + 3)).otherwise(pick(ends["he"], at + 3))
-        more = [F.when(attempt >= PATIENCE * (j + 1), pick(starts, 16 + 8 * at + j)).otherwise("") for j in range(MORE_SYLLABLES)]
-        return F.concat(pick(starts, at), pick(starts, at + 1), pick(starts, at + 2), *more, end)
+        end = F.when(kind == "she", pick(ends["she"], 3)).when(kind == "he", pick(ends["he"], 3)).otherwise(pick(ends["name"], 3))
+        more = [F.when(attempt >= PATIENCE * (j + 1), pick(starts, 16 + j)).otherwise("") for j in range(MORE_SYLLABLES)]
+        return F.concat(pick(starts, 0), pick(starts, 1), pick(starts, 2), *more, end)
+
+    return _by_script(_script(norm), word)
+
 
-    both = lambda s: F.when(norm.contains(" "), F.concat(word(s, 0), F.lit(" "), word(s, 4))).otherwise(word(s, 0))
-    return _by_script(_script(norm), both)
+def _card(digits: Column) -> Column:
+    """The number with its last digit set so that it passes the check."""
+    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    return F.concat(body, F.filter(F.array(*(F.lit(str(d)) for d in range(10))), lambda d: _luhn(F.concat(body, d)))[0])
 
 
-def core(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """Surrogate of a normal form, itself a normal form of the same type and shape."""
-    s = _stream(key, kind, norm, attempt)
+def _iban(norm: Column, stream: Column) -> Column:
+    country, body = F.substring(norm, 1, 2), _chars(F.substring(norm, 5, 64), stream)
+    return F.concat(country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0"), body)
+
+
+def _hexed(norm: Column, stream: Column) -> Column:
+    """Hexadecimal digits for those of the form, all else as it is."""
+    chars = F.filter(F.split(norm, ""), lambda c: c != "")
+    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9a-f]$"), F.substring(stream, i % 128 + 1, F.lit(1))).otherwise(c)), "")
+
+
+def core(kind: Column, norm: Column, attempt: Column, s: Column) -> Column:
+    """Surrogate of a normal form by its stream s, itself a normal form of the same type and shape, with right check digits."""
     letters = F.translate(F.substring(s, 97, MORE_LETTERS), "0123456789abcdef", LETTERS["latin"])
     room = F.instr(norm, "@") + MORE_LETTERS <= 64
     more = F.when(room, F.substring(letters, F.lit(1), F.least(F.floor(attempt / PATIENCE).cast("int"), F.lit(MORE_LETTERS)))).otherwise("")
@@ -121,10 +188,12 @@ def core(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return (
         F.when(kind == "ip", _octets(s))
         .when(kind == "email", domain)
-        .when(kind.isin("she", "he"), _name(norm, kind, s, attempt))
+        .when(kind.isin("family", *PERSON), _name(norm, kind, s, attempt))
+        .when(kind == "card", _card(_chars(norm, s)))
+        .when(kind == "iban", _iban(norm, s))
+        .when(kind == "ipv6", _hexed(norm, s))
         .when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), _hex(norm, s))
         .when(kind == "secret", F.concat(F.regexp_extract(norm, r"^(AKIA|ASIA|gh[pousr]_|sk-|)", 1), _chars(F.regexp_replace(norm, r"^(AKIA|ASIA|gh[pousr]_|sk-)", ""), s)))
-        .when(kind == "iban", F.concat(F.substring(norm, 1, 2), _chars(F.substring(norm, 3, 64), s)))
         .otherwise(_chars(norm, s))
     )
 
@@ -141,19 +210,48 @@ def dress(entity: Column, kind: Column, made: Column) -> Column:
     cased = F.when(entity == F.upper(entity), F.upper(made)).when(entity.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, 2, 400))).otherwise(made)
     return (
         F.when(kind.isin("card", "ssn", "phone", "iban"), fill(made))
-        .when(kind.isin("she", "he"), F.concat(F.regexp_extract(entity, r"^(\S+ )", 1), F.initcap(made)))
-        .when(kind == "email", cased)
+        .when(kind.isin("email", "ipv6", "family", *PERSON), cased)
         .otherwise(made)
     )
 
 
-def _entities(text: Column, patterns: dict[str, str]) -> Column:
-    """Array of detected strings, empty where the hint is missing."""
-    every = F.regexp_extract_all(text, F.lit("|".join(f"(?:{p})" for p in patterns.values())), F.lit(0))
-    return F.when(text.rlike(HINT) if patterns is PATTERNS else F.lit(True), every)
+def _either(patterns: dict[str, str]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns.values())
+
 
+def _detected(docs: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+    """docs with pii_pattern and pii_typed: an array of (e, parts), parts being the (e, kind, norm) that get surrogates.
 
-def collisions(entities: DataFrame, work: Workspace, key: str = KEY) -> DataFrame:
+    Where a text names persons, their names are looked for again in all of it, alone as well. A mention of a person has a
+    part for each name, so the family keeps one surrogate beside any given name or title.
+    """
+    every = F.lit(_either(patterns))
+    hinted = F.col(text).rlike(HINT) if patterns is PATTERNS else F.lit(True)
+    d = docs.withColumn("pii_first", F.when(hinted, F.regexp_extract_all(F.col(text), every, F.lit(0))))
+    kinds = [k for k in PERSON if k in patterns]
+    named = lambda e: reduce(lambda rest, k: F.when(e.rlike(f"^(?:{patterns[k]})$"), F.lit(k)).otherwise(rest), reversed(kinds), F.lit(None).cast("string"))
+    # each step of a mention is a field that the next one reads, so that nothing is worked out twice
+    people = F.filter(F.transform("pii_first", lambda e: F.struct(e.alias("e"), named(e).alias("kind"))), lambda x: x.kind.isNotNull())
+    d = d.withColumn("pii_names", F.flatten(F.transform(people, lambda x: _names(x.e, x.kind))) if kinds else F.lit(None).cast("array<struct<e: string, kind: string>>"))
+    some = F.size("pii_names") > 0
+    alone = F.concat(every, F.lit(r"|(?<!\p{L})(?:"), F.array_join(F.array_distinct(F.transform("pii_names", lambda n: n.e)), "|"), F.lit(r")(?!\p{L})"))
+    d = d.withColumn("pii_pattern", F.when(some, alone).otherwise(every))
+    d = d.withColumn("pii_found", F.when(some, F.regexp_extract_all(F.col(text), F.col("pii_pattern"), F.lit(0))).otherwise(F.col("pii_first")))
+
+    def parts(x: Column) -> Column:
+        bare = F.when(x.kind == "other", F.filter("pii_names", lambda n: n.e == x.e)[0]["kind"])
+        one = F.array(F.struct(x.e.alias("e"), F.coalesce(bare, x.kind).alias("kind")))
+        raw = F.when(x.kind.isin(*PERSON), _names(x.e, x.kind)).otherwise(one) if kinds else one
+        known = F.filter(raw, lambda y: y.kind.isNotNull())
+        return F.transform(known, lambda y: F.struct(y.e.alias("e"), y.kind.alias("kind"), normal(y.e, y.kind).alias("norm")))
+
+    kinded = F.transform("pii_found", lambda e: F.struct(e.alias("e"), kind_of(e, patterns).alias("kind")))
+    kinded = F.transform(kinded, lambda x: F.struct(x.e.alias("e"), checked(x.e, x.kind).alias("kind")))
+    typed = F.when(F.size("pii_found") > 0, F.transform(kinded, lambda x: F.struct(x.e.alias("e"), x.kind.isin(*PERSON).alias("person"), parts(x).alias("parts"))))
+    return d.withColumn("pii_typed", typed).drop("pii_first", "pii_names", "pii_found")
+
+
+def collisions(entities: DataFrame, work: Workspace, key: str) -> DataFrame:
     """entities(kind, norm), distinct -> (kind, norm, attempt) of those whose first surrogate may not stand.
 
     A surrogate may not equal that of another entity (the smallest normal form keeps it) nor any real entity of its type.
@@ -161,7 +259,8 @@ def collisions(entities: DataFrame, work: Workspace, key: str = KEY) -> DataFram
     again = work.table(entities.withColumn("attempt", F.lit(0)).where("1 = 0"), "again-0")
     for step in range(1, MOST_ATTEMPTS + 1):
         made = entities.join(again, ["kind", "norm"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
-        made = made.withColumn("made", core(F.col("kind"), F.col("norm"), F.col("attempt"), key))
+        made = made.withColumn("s", _stream(key, F.col("kind"), F.col("norm"), F.col("attempt")))
+        made = made.withColumn("made", core(F.col("kind"), F.col("norm"), F.col("attempt"), F.col("s"))).drop("s")
         first = made.groupBy("kind", "made").agg(F.min("norm").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("kind", "made", "keeper")
         real = entities.select("kind", F.col("norm").alias("made"), F.lit(True).alias("real"))
         judged = made.join(first, ["kind", "made"], "left").join(real, ["kind", "made"], "left")
@@ -174,41 +273,55 @@ def collisions(entities: DataFrame, work: Workspace, key: str = KEY) -> DataFram
     raise RuntimeError(f"surrogates still collide after {MOST_ATTEMPTS} attempts: too few of their shape")
 
 
-def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str = KEY, patterns: dict[str, str] = PATTERNS) -> DataFrame:
-    """docs with surrogates in text_col, and pii_count (entities replaced) and pii_types (their distinct types, sorted).
+def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", patterns: dict[str, str] = PATTERNS) -> DataFrame:
+    """docs with surrogates in text_col, and pii_count (mentions replaced) and pii_types (their distinct types, sorted).
 
-    Null texts stay null and texts without an entity stay as they are, with count 0. One entity has one surrogate in the
-    whole corpus, whatever its format; two have two. Repeated rows get the same text. Other columns pass through.
+    Surrogates follow from the secret ``key`` by HMAC. One entity has one surrogate in the whole corpus, whatever its format;
+    two have two. Names are entities by themselves: in "Mrs Jane Smith met Jane; Mrs Smith left" both names keep theirs. A
+    name that a text gives to a person is replaced everywhere in that text, even where it is an ordinary word. Null texts
+    stay null and texts without an entity stay as they are, with count 0; numbers with wrong check digits are no entities.
+    Repeated rows get the same text. Other columns pass through; columns named pii_count and pii_types are replaced, and
+    working columns stand beside any others, whatever their names.
     """
     work = Workspace(docs.sparkSession, "pii")
-    cols = docs.columns
-    d = docs.withColumn("pii_found", _entities(F.col(text_col), patterns))
-    typed = F.transform("pii_found", lambda e: F.struct(e.alias("e"), kind_of(e, patterns).alias("kind")))
-    typed = F.transform(typed, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), normal(x.e, x.kind).alias("norm")))
-    spots = docs.select(F.col(text_col).alias("text")).withColumn("pii_found", _entities(F.col("text"), patterns)).where("size(pii_found) > 0")
-    mentions = spots.select("text", F.explode(typed).alias("x"))
+    cols = [c for c in docs.columns if c not in ("pii_count", "pii_types")]
+    # other columns ride in a struct, so that their names cannot clash
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("pii_row"), F.col(f"`{text_col}`").cast("string").alias("pii_text"))
+    mentions = _detected(d.select("pii_text"), "pii_text", patterns).where("size(pii_typed) > 0").select("pii_text", F.explode(F.flatten(F.transform("pii_typed", lambda x: x.parts))).alias("x"))
     entities = work.table(mentions.select("x.kind", "x.norm").distinct(), "entities")
     again = collisions(entities, work, key)
-    redrawn = None
     if not again.isEmpty():
-        held = mentions.select(F.sha1("text").alias("pii_digest"), "x.kind", "x.norm").join(again, ["kind", "norm"])
+        held = mentions.select(F.sha1("pii_text").alias("pii_digest"), "x.kind", "x.norm").join(again, ["kind", "norm"])
         held = held.select("pii_digest", F.concat_ws("|", "kind", "norm").alias("k"), "attempt").distinct()
         redrawn = work.table(held.groupBy("pii_digest").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("pii_again")), "redrawn")
         small = redrawn.count() <= BROADCAST_TEXTS
-        d = d.withColumn("pii_digest", F.sha1(text_col)).join(F.broadcast(redrawn) if small else redrawn, "pii_digest", "left").drop("pii_digest")
+        d = d.withColumn("pii_digest", F.sha1("pii_text")).join(F.broadcast(redrawn) if small else redrawn, "pii_digest", "left").drop("pii_digest")
     else:
         d = d.withColumn("pii_again", F.lit(None).cast("map<string,int>"))
+    d = _detected(d, "pii_text", patterns)
     attempt = lambda x: F.coalesce(F.try_element_at("pii_again", F.concat_ws("|", x.kind, x.norm)), F.lit(0))
-    d = d.withColumn("pii_typed", F.when(F.size("pii_found") > 0, typed))
-    d = d.withColumn("pii_new", F.transform("pii_typed", lambda x: dress(x.e, x.kind, core(x.kind, x.norm, attempt(x), key))))
-    parts = F.split(text_col, "|".join(f"(?:{p})" for p in patterns.values()), -1)
-    built = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get("pii_new", i), F.lit("")))), "")
-    out = d.withColumn("pii_text", F.when(F.size("pii_found") > 0, built).otherwise(F.col(text_col)))
-    out = out.withColumn("pii_types", F.array_join(F.array_sort(F.array_distinct(F.transform("pii_typed", lambda x: x.kind))), ","))
-    out = out.withColumn("pii_count", F.greatest(F.coalesce(F.size("pii_found"), F.lit(0)), F.lit(0)).cast("long"))
-    return out.select(*(F.col("pii_text").alias(c) if c == text_col else F.col(c) for c in cols), "pii_count", F.coalesce("pii_types", F.lit("")).alias("pii_types"))
+    keyed = lambda y: F.struct(y.e.alias("e"), y.kind.alias("kind"), y.norm.alias("norm"), attempt(y).alias("attempt"))
+    streamed = lambda y: F.struct(y.e.alias("e"), y.kind.alias("kind"), y.norm.alias("norm"), y.attempt.alias("attempt"), _stream(key, y.kind, y.norm, y.attempt).alias("s"))
+    cored = lambda y: F.struct(y.e.alias("e"), y.kind.alias("kind"), core(y.kind, y.norm, y.attempt, y.s).alias("made"))
+    made = lambda parts: F.transform(F.transform(F.transform(F.transform(parts, keyed), streamed), cored), lambda y: dress(y.e, y.kind, y.made))
+    # a person mention is its title and its names; any other has one part, or none where it stays
+    title = lambda x: F.when(x.person, F.regexp_extract(x.e, TITLE, 0)).otherwise("")
+    new = F.transform("pii_typed", lambda x: F.when(F.size(x.parts) == 0, x.e).otherwise(F.concat(title(x), F.array_join(made(x.parts), " "))))
+    d = d.withColumn("pii_new", new)
+    between = F.split(F.col("pii_text"), F.col("pii_pattern"), F.lit(-1))
+    built = F.array_join(F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get("pii_new", i), F.lit("")))), "")
+    real = F.filter("pii_typed", lambda x: F.size(x.parts) > 0)
+    d = d.withColumn("pii_built", F.when(F.size(real) > 0, built).otherwise(F.col("pii_text")))
+    types = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform(real, lambda x: F.transform(x.parts, lambda y: y.kind))))), ",")
+    out = [F.col("pii_built").alias(c) if c == text_col else F.col(f"pii_row.`{c}`").alias(c) for c in cols]
+    return d.select(*out, F.greatest(F.coalesce(F.size(real), F.lit(0)), F.lit(0)).cast("long").alias("pii_count"), F.coalesce(types, F.lit("")).alias("pii_types"))
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The session's secret, spark.kerbflow.surrogateKey; runs without one (tests, benches) share a public one."""
+    return spark.conf.get("spark.kerbflow.surrogateKey", None) or "no secret"
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs).where("pii_count > 0")
+    return pseudonymise(docs, key=surrogate_key(spark)).where("pii_count > 0")
