@@ -4,6 +4,7 @@ token, share of byte-fallback tokens, token entropy) with rejection bands per la
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ BANDS = {
     "any": (0.3, 12.0, 0.95, 0.25),
 }
 LEAST_TOKENS = 50
+LONG_RUN = 1 << 16
+_LONG_RUN = re.compile(r"\s{%d}" % LONG_RUN)
 SCRIPTS = ("latin", "greek", "cyrillic", "cjk", "any")
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -83,7 +86,7 @@ class Fertility:
 
     def __call__(self, text: str) -> tuple[int, int, float]:
         """Tokens, tokens that are no whole characters, entropy in bits over its greatest value for as many tokens."""
-        ids = self.encoding.encode_to_numpy(text, disallowed_special=())
+        ids = np.concatenate([self.encoding.encode_to_numpy(t, disallowed_special=()) for t in self.pieces(text)])
         n = len(ids)
         if n < 2:
             return n, int(self.partial[ids].sum()), 1.0
@@ -92,6 +95,13 @@ class Fertility:
         return n, int(self.partial[ids].sum()), float(-(c * np.log2(c)).sum() / np.log2(n)) + 0.0
 
 
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        """The text, cut inside white space of over LONG_RUN characters, which the encoder cannot match in one piece."""
+        cuts = [m.end() for m in _LONG_RUN.finditer(text)] if len(text) >= LONG_RUN else []
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+
+
 def band(lang: str | None, script: str) -> tuple[float, float, float, float]:
     return BANDS.get(lang or "") or BANDS[script]
 
@@ -105,7 +115,8 @@ def _measure(ranks: str, text_col: str, lang_col: str | None, names: list[str]):
             chars = K.per_row((data & 0xC0) != 0x80, offsets)
             blanks = K.per_row(K.SPACE[data], offsets)
             symbols = K.per_row(SYMBOL[data], offsets)
-            scripts = np.stack([K.per_row(SCRIPT[data] == k, offsets) for k in range(len(SCRIPTS))]).argmax(axis=0)
+            letters = np.stack([K.per_row(SCRIPT[data] == k, offsets) for k in range(len(SCRIPTS))])
+            scripts = np.where(letters.any(axis=0), letters.argmax(axis=0), SCRIPTS.index("any"))
             dup, tokens, partial, entropy = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n)
             raw = data.tobytes()
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
@@ -131,7 +142,8 @@ def quality_rules(docs: DataFrame, ranks: str, *, text_col: str = "text", lang_c
     """docs with the measures above, each prefixed q_, of every whole text.
 
     Null and empty texts have no words, fail the base rule and are not kept. An unknown or null language takes the
-    band of the script of most letters. Repeated rows are measured alike; other columns pass through.
+    band of the script of most letters, a text without letters the band "any". White space of over LONG_RUN characters is
+    encoded in pieces of that length. Repeated rows are measured alike; other columns pass through.
     """
     from pyspark.sql.types import StructType
 

@@ -10,12 +10,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .workspace import Workspace
+from ..scratch import Workspace
 
 LIMIT = 512
 #: Characters whose class (letter, number, space, other) has been the same in every Unicode version since 6.0:
 #: for texts of these alone the rank file gives the library's own counts, several times as fast.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ȠΑ-Ρα-ωА-я‐-‧€]*")
+#: A run of white space of this many characters is too long for the rank file's own pattern matching.
+LONG_RUN = 1 << 16
+_LONG_RUN = re.compile(r"\s{%d}" % LONG_RUN)
 
 
 def version(path: str, ranks: str | None) -> str:
@@ -55,7 +58,7 @@ class Counter:
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> int:
-        if self.fast and "<|" not in text and PLAIN.fullmatch(text):
+        if self.fast and "<|" not in text and PLAIN.fullmatch(text) and not (len(text) >= LONG_RUN and _LONG_RUN.search(text)):
             return len(self.fast(text))
         return self.slow(text)
 
@@ -75,7 +78,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, r
     cache: folder of counts kept between calls, in a store that all executors share (None: for this call only).
     ranks: the same byte-level vocabulary as a rank file, used where it must give the library's counts.
     The normal form of a content is its UTF-8 text with null as the empty text; both have 0 tokens and bytes.
-    Repeated texts are encoded once and keep their rows; other columns pass through; an empty table gives none.
+    Repeated texts are encoded once and keep their rows; other columns pass through, also those of the names used here;
+    an empty table gives none.
     """
     spark = docs.sparkSession
     where = f"{cache or Workspace(spark, 'tokencache').path}/{version(tokenizer, ranks)}"
@@ -90,7 +94,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, r
     misses.mapInArrow(_encode(tokenizer, ranks), kind).write.mode("append").parquet(where)
     # two jobs may have appended the same miss
     counts = spark.read.schema(kind).parquet(where).groupBy("digest").agg(F.max("n_tokens").alias("tok_tokens"))
-    return docs.withColumns({"tok_digest": digest, "tok_bytes": F.octet_length(text).cast("long")}).join(counts.withColumnRenamed("digest", "tok_digest"), "tok_digest", "left").drop("tok_digest")
+    # other columns ride in a struct, so that their names cannot clash
+    rows = docs.select(F.struct("*").alias("row"), digest.alias("digest"), F.octet_length(text).cast("long").alias("tok_bytes"))
+    return rows.join(counts, "digest", "left").select("row.*", "tok_bytes", "tok_tokens")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
