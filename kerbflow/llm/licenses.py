@@ -35,10 +35,19 @@ NOTICES = {
 TAG = "spdx license identifier"
 #: Licences whose terms allow reuse in training by policy; an expression is allowed as its parts are.
 ALLOWED = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "cc-by-4.0", "unlicense", "zlib", "bsl-1.0"})
+#: Families of licence identifiers. An identifier is one of them, alone or with a version or variant.
+FAMILIES = (
+    "0bsd afl agpl apache apsl artistic blueoak boehm bsd bsl bzip2 cc cc0 cddl cdla cecill cnri cpal cpl curl eclipse ecl efl epl etalab eupl "
+    "ftl gfdl gpl hpnd icu ijg imagemagick intel ipl isc jasper json latex lgpl libpng libtiff lppl miros mit mpich2 mpl ms mulanpsl ncsa "
+    "netcdf nist nlod npl odbl odc-by ofl ogl oldap openssl osl pddl php postgresql psf python ql qpl ruby sgi sleepycat sspl tcl unicode "
+    "unlicense upl vim w3c wtfpl x11 xfree86 xnet zlib zpl licenseref documentref"
+).split()
+_KNOWN = re.compile(r"(?:" + "|".join(sorted(FAMILIES, key=len, reverse=True)) + r")(?:-[0-9a-z.+\-]+)?\+?")
 WEIGHT = {"base": 0.6, "notice": 0.5, "tag": 0.9, "bad": 0.2}
 RANK = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+\-]*", re.ASCII)
-_TAG = re.compile(r"spdx[-_ ]license[-_ ]identifier\s*:?[ \t]*", re.ASCII)
+#: The words of TAG with any marks between them, as the automaton sees them, and the marks up to an expression.
+_TAG = re.compile(r"(?<![0-9a-z\x80-\U0010ffff])spdx[\x00-/:-`{-\x7f]+license[\x00-/:-`{-\x7f]+identifier(?![0-9a-z\x80-\U0010ffff])[ \t]*:?[ \t]*")
 _LINE_END = re.compile(r"[\n\r]|\Z")
 #: Bytes of words stay, A-Z folds, all others part words.
 WORDS = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -141,8 +150,8 @@ def scan(text: str, found) -> dict:
                 continue
             last = next(islice(_TOKEN.finditer(rest), used - 1, None))
             expressions.append(rest[: last.end()].strip())
-            labels |= {f"spdx:{x}" for x in names}
-            sure.append(WEIGHT["tag"])
+            labels |= {f"spdx:{x}" if _KNOWN.fullmatch(x) else "spdx-unknown" for x in names}
+            sure.append(WEIGHT["tag"] if any(map(_KNOWN.fullmatch, names)) else WEIGHT["bad"])
             allowed = ok if allowed is None else allowed and ok
     left = 1.0
     for w in sure:
@@ -174,8 +183,9 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs without their text, with fields prefixed lic_: counts, labels, all places found, expressions, policy verdict.
 
     Null texts are empty: no words, no labels (empty strings), score 0, places null. A text may hold several tags; it
-    is allowed only if every expression is; an expression that cannot be parsed gives the label spdx-invalid. Repeated
-    rows are scanned alike; an empty table gives none.
+    is allowed only if every expression is; an expression that cannot be parsed gives the label spdx-invalid, a name of no
+    known family (such as prose behind a tag) spdx-unknown, which is never allowed. Repeated rows are scanned alike; an
+    empty table gives none; other columns pass through, and one named lic_... stays beside the field of that name.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType
