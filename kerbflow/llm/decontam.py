@@ -11,8 +11,8 @@ MASKS = ((0, 1, 2, 5, 7), (0, 2, 3, 6, 7), (0, 1, 4, 6, 7))
 SPAN = 8
 WINDOW = 12
 LEAST = 10
-#: Test seeds up to this count are broadcast (under 200 MB); beyond it both sides shuffle by seed.
-BROADCAST_SEEDS = 1_000_000
+#: Test seeds of up to this many bytes, with the few tokens around each, are broadcast; beyond it both sides shuffle by seed.
+BROADCAST_BYTES = 64 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -46,20 +46,24 @@ def _best(a: str, b: str, left: str, size: str) -> Column:
     return F.array_max(F.transform(F.sequence(F.lit(0), F.col(left)), window))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id_col, item_col, n_matches, n_hits) of every document that overlaps a test item.
 
     Overlap: a spaced seed in common and, in some aligned window of 12 tokens that holds it, at least 10 equal tokens
-    (items of 8 to 11 tokens: the whole item, with the same share). Shorter items or texts have no seed and match
+    (items of 8 to 11 tokens: the whole item, with the same share; of 8, not where the first or last differs, as all
+    masks read both). Shorter items or texts have no seed and match
     nothing; null texts have no tokens. n_matches is the best window's count, n_hits the number of aligned places whose
     seed leads to an overlap. Rows of one id (or of one item id) count together, place by place; null ids are an id. Other columns are ignored.
     """
     d = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("words"))
     test = items.select(F.col(item_col).alias("item"), tokens(F.col(item_text_col)).alias("item_words"))
     seeds = _seeded(test, "item_words", ["item"], "item_at")
-    n = test.agg(F.sum(F.greatest(F.size("item_words") - SPAN + 1, F.lit(0)) * len(MASKS))).first()[0] or 0
+    # a seed takes along the tokens that any window around it can hold, never its whole item
+    lead = F.least("item_at", F.lit(WINDOW - SPAN))
+    seeds = seeds.select("seed", "item", "item_at", F.least(F.lit(WINDOW), F.size("item_words")).alias("size"), F.slice("item_words", F.col("item_at") - lead + 1, lead + WINDOW).alias("context"))
+    n = seeds.agg(F.sum(F.octet_length(F.array_join("context", " ")) + 64)).first()[0] or 0
     here = _seeded(d, "words", ["doc"], "at")
-    if n <= broadcast_seeds:
+    if n <= broadcast_bytes:
         hits = here.join(F.broadcast(seeds), "seed")
     else:
         # texts don't travel with every seed: a hit finds its text again by its digest
@@ -68,7 +72,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
         hits = spots.join(seeds, "seed").join(d, "digest")
     # only slices leave the join's code-generated stage: no array function that would copy whole texts per position
     left = F.least(F.col("at"), F.col("item_at"), F.lit(WINDOW - SPAN))
-    near = hits.select("doc", "item", "at", "item_at", left.alias("left"), F.least(F.lit(WINDOW), F.size("item_words")).alias("size"), _around("words", "at", left).alias("a"), _around("item_words", "item_at", left).alias("b"))
+    near = hits.select("doc", "item", "at", "item_at", left.alias("left"), "size", _around("words", "at", left).alias("a"), F.slice("context", F.least("item_at", F.lit(WINDOW - SPAN)) - left + 1, left + WINDOW).alias("b"))
     places = near.groupBy("doc", "item", "at", "item_at").agg(*(F.max(c).alias(c) for c in ("left", "size", "a", "b")))
     checked = places.withColumn("n", _best("a", "b", "left", "size")).where(F.col("n") * WINDOW >= LEAST * F.col("size"))
     out = checked.groupBy("doc", "item").agg(F.max("n").cast("long").alias("n_matches"), F.count("*").alias("n_hits"))
@@ -77,8 +81,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the rows whose id overlaps a test item; rows with a null id stay if none of them overlaps one."""
-    bad = find_leaks(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("leak_id")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("leak_id")), "left_anti")
+    bad = find_leaks(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("_")).distinct()
+    # other columns ride in a struct, so that their names cannot clash
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(bad, F.col(f"row.{id_col}").eqNullSafe(bad["_"]), "left_anti").select("row.*")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
