@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import textkernel as K
 
@@ -39,7 +40,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray, bits: int = CUT_BITS, longest: i
     cut = (h[place] >> np.uint32(32 - bits)) == 0
     cut[offsets[1:][size > 0] - 1] = True
     ends = np.flatnonzero(cut) + 1
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
     parts = -(-(ends - starts) // longest)
     if len(parts) and parts.max() > 1:
         k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -120,5 +121,55 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select(F.col("doc").alias(id_col), "start", "n_bytes", "n_chunks", "first_doc", (F.col("doc") == F.col("first_doc")).alias("is_first"))
 
 
+def _without():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            out = []
+            for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("spans")).to_pylist()):
+                if spans:
+                    data, kept, begin = text.encode(), [], 0
+                    for s in sorted(spans, key=lambda s: s["start"]):
+                        start, end = s["start"], s["end"]
+                        # a chunk may end inside a character, which then stays
+                        while start < end and data[start] & 0xC0 == 0x80:
+                            start += 1
+                        while end > start and end < len(data) and data[end] & 0xC0 == 0x80:
+                            end -= 1
+                        kept.append(data[begin:start])
+                        begin = max(begin, end)
+                    text = b"".join([*kept, data[begin:]]).decode()
+                out.append(text)
+            yield pa.record_batch([batch.column(batch.schema.get_field_index("row")), pa.array(out, pa.string())], ["row", "text"])
+
+    return run
+
+
+def deduplicate(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", least_run: int = LEAST_RUN) -> DataFrame:
+    """docs with each repeated passage left in one place only: in the document of the smallest id, at its first place.
+
+    A chunk or seed goes where another place, earlier by (id, start), holds the same; runs of such ones are cut out if they have
+    least_run bytes or hold a seed, so repeats inside one document go too. Texts are cut between characters. Rows without an
+    id come last in order; repeated rows (equal id and text) are one document and stay alike. Null and empty texts stay;
+    other columns pass through.
+    """
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
+    chunks = chunk_table(rows.select("key", "text"), id_col="key").withColumnRenamed("doc", "key")
+    ids = rows.groupBy("key").agg(F.min("id").alias("id"))
+    placed = chunks.distinct().join(ids, "key").withColumn("place", F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "start"))
+    held = placed.groupBy("digest").agg(F.min("place").alias("keep"), F.count("*").alias("n")).where("n > 1").select("digest", "keep")
+    again = placed.join(held, "digest").where(F.col("place") > F.col("keep")).select("key", "start", "size", "seed")
+    order = Window.partitionBy("key").orderBy("start", "size")
+    end = F.col("start") + F.col("size")
+    fresh = F.coalesce((F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)) < F.col("start")).cast("int"), F.lit(1))
+    runs = again.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("key", "run").agg(F.min("start").alias("start"), F.max(end).alias("end"), F.max("seed").alias("seed")).where(F.col("seed") | (F.col("end") - F.col("start") >= least_run))
+    spans = runs.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = rows.join(spans, "key", "left").select("row", "text", "spans")
+    out = joined.mapInArrow(_without(), StructType([joined.schema["row"], StructField("text", StringType())]))
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -161,6 +161,56 @@ def test_every_repeat_of_over_50_words_has_a_row(docs):
         assert any(f == i % len(shared) and s < at + len(shared[i % len(shared)]) and at < s + n for s, n, f in runs)
 
 
+def test_deduplicated_texts_keep_one_copy(docs):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("aeioumnrsté") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    shared, own = text(80), [text(60) for _ in range(6)]
+    rows = [(9, f"{own[0]} {shared} {own[1]}"), (3, f"{own[2]} {shared}"), (5, f"{own[3]} {shared} {own[4]} {shared}"), (None, f"{own[5]} {shared}"), (7, None), (8, ""), (1, "short"), (4, shared), (4, shared)]
+    got = [(r.doc_id, r.text) for r in chunks.deduplicate(docs(rows)).collect()]
+    assert len(got) == len(rows) and sorted((d, t) for d, t in got if d in (1, 3, 7, 8) and t is not None) == sorted((d, t) for d, t in rows if d in (1, 3, 8))
+    short = {d: t for d, t in got}
+    middle = shared[150:-150]
+    for d, mine in ((9, own[:2]), (5, own[3:5]), (None, own[5:])):
+        assert middle not in short[d] and all(o[:-40] in short[d] or o[40:] in short[d] for o in mine)
+    assert len(short[4]) < 150 and chunks.deduplicate(docs([])).count() == 0
+
+
+def test_very_long_runs(docs):
+    """Texts of two million characters without a break, for the operators that encode, cut or scan them."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = [c * 2_000_000 for c in (" ", "\n", "a", "é", "\t ")] + ["x" + " " * 1_200_000 + "y z"]
+    got = {r.doc_id: r.tok_tokens for r in tokencount.count_tokens(docs(rows), P.path("byte_bpe_50k.json"), ranks=P.path("byte_bpe_50k.tiktoken")).collect()}
+    assert got == {i: len(own.encode(t, add_special_tokens=False).ids) for i, t in enumerate(rows)}
+    kept = {r.doc_id: (r.q_n_words, r.q_kept) for r in quality.quality_rules(docs(rows), P.path("byte_bpe_multi_50k.tiktoken")).select("doc_id", "q_n_words", "q_kept").collect()}
+    assert kept == {i: (len(t.split()), False) for i, t in enumerate(rows)}
+    assert {r.lic_n_words for r in licenses.scan_licenses(docs(rows)).collect()} == {0, 1, 3}
+    assert {r.doc_id for r in chunks.repeated_passages(docs(rows)).collect()} == {0, 5}  # both hold over a million spaces
+    assert sorted(r.n_shingles for r in jaccard_components(docs(rows)).collect()) == [0, 0, 0, 1, 1, 1]
+
+
+def test_columns_of_clashing_names_stay(spark):
+    import public_tokenizers as P
+
+    d = spark.createDataFrame([(1, "one two", "a", "b", 5)], "doc_id long, text string, digest string, row string, n_tokens int")
+    r = tokencount.count_tokens(d, P.path("byte_bpe_50k.json"), ranks=P.path("byte_bpe_50k.tiktoken")).first()
+    assert (r.digest, r.row, r.n_tokens, r.tok_bytes) == ("a", "b", 5, 7)
+    assert chunks.deduplicate(d).first().asDict() == d.first().asDict()
+
+
+def test_license_tags_with_any_marks_and_unknown_names():
+    found = licenses.automaton()
+    for mark in "-_. /":
+        got = licenses.scan(f"SPDX{mark}License{mark}Identifier: MIT", found)
+        assert got["labels"] == "spdx:mit" and got["allowed"] is True
+    got = licenses.scan("SPDX-License-Identifier: see the file", found)
+    assert got["labels"] == "spdx-unknown" and got["allowed"] is False and got["score"] < 0.5
+    assert licenses.scan("SPDX-License-Identifier:\tGPL-2.0-or-later WITH Classpath-exception-2.0", found)["labels"] == "spdx:gpl-2.0-or-later"
+    assert licenses.scan("xspdx-license-identifier: mit", found)["labels"] == ""
+
+
 def test_repeated_words_equal_brute_force():
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 3, 5, 9, 30, 60)] + ["a b c d e a b c d e", "A b c d e a b c d e"]
