@@ -28,22 +28,22 @@ HEX = r"[0-9A-Fa-f]{1,4}"
 def _person(kind: str) -> str:
     """A title and one or two names, or a given name and another name."""
     given = rf"|(?:{GIVEN[kind]}) {NAME}" if kind in GIVEN else ""
-    return rf"(?<!\p{{L}})(?:(?:{TITLES[kind]})\.? {NAME}(?: {NAME})?{given})"
+    return rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{TITLES[kind]})\.? {NAME}(?: {NAME})?{given})"
 
 
 #: Type and pattern, the first that matches at a place wins. Patterns have no capturing groups.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{2,6}}(?::{HEX}){{1,5}}|{HEX}:(?::{HEX}){{2,6}})(?![\p{{L}}\p{{N}}:]|\.\d)",
+    "email": r"(?<![\p{L}\p{N}_%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "ipv6": rf"(?={HEX}:)(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{2,6}}(?::{HEX}){{1,5}}|{HEX}:(?::{HEX}){{2,6}})(?![\p{{L}}\p{{N}}:]|\.\d)",
     "secret": r"(?<![\p{L}\p{N}])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,64})(?![\p{L}\p{N}])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"(?<![\d.+-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\d]|[.-]\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)|(?<![\p{N}+])\+\d{8,15}(?!\d)|(?<![\p{N}+])\+(?=(?:[ .()-]?\d){8,15}(?![ .-]?\d))\d{1,3}(?:[ .-]\(?\d{2,8}\)?){1,5}(?!\d)",
+    "iban": r"(?=[A-Z])(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "card": r"(?=\d)(?<![\d.+-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\d]|[.-]\d)",
+    "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?=[\d+(])(?:(?<![\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)|(?<![\p{N}+])\+\d{8,15}(?!\d)|(?<![\p{N}+])\+(?=(?:[ .()-]?\d){8,15}(?![ .-]?\d))\d{1,3}(?:[ .-]\(?\d{2,8}\)?){1,5}(?!\d))",
 } | {kind: _person(kind) for kind in PERSON}
 #: Needed by any pattern above; texts without it are passed over.
-HINT = "[0-9@]|" + "|".join([*TITLES.values(), *GIVEN.values()])
+HINT = r"[0-9@]|(?=\p{Lu})(?<!\p{L})(?:" + "|".join([*TITLES.values(), *GIVEN.values()]) + ")"
 #: Syllables of made-up names by script: starts, then endings by gender.
 SYLLABLES = {
     "latin": (("ba", "de", "fi", "go", "ha", "ju", "ka", "le", "mi", "no", "pa", "ra", "se", "ti", "vo", "wi"), {"she": ("na", "la", "ra", "sa"), "he": ("n", "r", "s", "l"), "name": ("ko", "mo", "do", "bo")}),
@@ -220,7 +220,7 @@ def _either(patterns: dict[str, str]) -> str:
 
 
 def _detected(docs: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
-    """docs with pii_pattern and pii_typed: an array of (e, parts), parts being the (e, kind, norm) that get surrogates.
+    """docs with pii_pattern (null: that of all texts) and pii_typed: an array of (e, parts), parts being the (e, kind, norm) that get surrogates.
 
     Where a text names persons, their names are looked for again in all of it, alone as well. A mention of a person has a
     part for each name, so the family keeps one surrogate beside any given name or title.
@@ -235,7 +235,7 @@ def _detected(docs: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame
     d = d.withColumn("pii_names", F.flatten(F.transform(people, lambda x: _names(x.e, x.kind))) if kinds else F.lit(None).cast("array<struct<e: string, kind: string>>"))
     some = F.size("pii_names") > 0
     alone = F.concat(every, F.lit(r"|(?<!\p{L})(?:"), F.array_join(F.array_distinct(F.transform("pii_names", lambda n: n.e)), "|"), F.lit(r")(?!\p{L})"))
-    d = d.withColumn("pii_pattern", F.when(some, alone).otherwise(every))
+    d = d.withColumn("pii_pattern", F.when(some, alone))
     d = d.withColumn("pii_found", F.when(some, F.regexp_extract_all(F.col(text), F.col("pii_pattern"), F.lit(0))).otherwise(F.col("pii_first")))
 
     def parts(x: Column) -> Column:
@@ -286,8 +286,11 @@ def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", patterns:
     work = Workspace(docs.sparkSession, "pii")
     cols = [c for c in docs.columns if c not in ("pii_count", "pii_types")]
     # other columns ride in a struct, so that their names cannot clash
-    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("pii_row"), F.col(f"`{text_col}`").cast("string").alias("pii_text"))
-    mentions = _detected(d.select("pii_text"), "pii_text", patterns).where("size(pii_typed) > 0").select("pii_text", F.explode(F.flatten(F.transform("pii_typed", lambda x: x.parts))).alias("x"))
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in cols if c != text_col)).alias("pii_row")
+    d = _detected(docs.select(rest, F.col(f"`{text_col}`").cast("string").alias("pii_text")), "pii_text", patterns)
+    # texts are searched once, what was found is written with them
+    d = work.table(d, "detected")
+    mentions = d.where("size(pii_typed) > 0").select("pii_text", F.explode(F.flatten(F.transform("pii_typed", lambda x: x.parts))).alias("x"))
     entities = work.table(mentions.select("x.kind", "x.norm").distinct(), "entities")
     again = collisions(entities, work, key)
     if not again.isEmpty():
@@ -298,7 +301,6 @@ def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", patterns:
         d = d.withColumn("pii_digest", F.sha1("pii_text")).join(F.broadcast(redrawn) if small else redrawn, "pii_digest", "left").drop("pii_digest")
     else:
         d = d.withColumn("pii_again", F.lit(None).cast("map<string,int>"))
-    d = _detected(d, "pii_text", patterns)
     attempt = lambda x: F.coalesce(F.try_element_at("pii_again", F.concat_ws("|", x.kind, x.norm)), F.lit(0))
     keyed = lambda y: F.struct(y.e.alias("e"), y.kind.alias("kind"), y.norm.alias("norm"), attempt(y).alias("attempt"))
     streamed = lambda y: F.struct(y.e.alias("e"), y.kind.alias("kind"), y.norm.alias("norm"), y.attempt.alias("attempt"), _stream(key, y.kind, y.norm, y.attempt).alias("s"))
@@ -308,7 +310,7 @@ def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", patterns:
     title = lambda x: F.when(x.person, F.regexp_extract(x.e, TITLE, 0)).otherwise("")
     new = F.transform("pii_typed", lambda x: F.when(F.size(x.parts) == 0, x.e).otherwise(F.concat(title(x), F.array_join(made(x.parts), " "))))
     d = d.withColumn("pii_new", new)
-    between = F.split(F.col("pii_text"), F.col("pii_pattern"), F.lit(-1))
+    between = F.split(F.col("pii_text"), F.coalesce("pii_pattern", F.lit(_either(patterns))), F.lit(-1))
     built = F.array_join(F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get("pii_new", i), F.lit("")))), "")
     real = F.filter("pii_typed", lambda x: F.size(x.parts) > 0)
     d = d.withColumn("pii_built", F.when(F.size(real) > 0, built).otherwise(F.col("pii_text")))
