@@ -51,7 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("mixture", mixture)]
-#: Tokeniser verdicts, links and surrogates have no SQL; tests compare each stage with a brute-force version.
+#: Tokeniser verdicts, links and surrogates have no SQL; tests compare the operators with brute force and check the stages.
 ORACLE_SQL = None
 
 
