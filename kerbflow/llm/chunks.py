@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..scratch import Workspace
 from . import textkernel as K
+from .skew import hot_keys, split_join
 
 _U = np.uint64
 #: Bytes that a cut depends on; the hash shifts by one bit a byte, so older bytes have left its 32 bits.
@@ -106,11 +108,15 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     returned for every document that holds them, so every repeat of over 50 words has a row. A run may end inside the
     passage: it holds the passage's chunks and seeds, and n_chunks (0 in short ones) counts its chunks. first_doc is the smallest id that holds one of the run's seeds, or of its chunks if it has none; its copy is the one to keep (is_first). A
     document is its id: rows of one id count as one document, and rows without an id are left out. Digests have 64
-    bits, and a run needs several adjacent ones. Clean texts have no row; empty tables give none.
+    bits, and a run needs several adjacent ones. Clean texts have no row; empty tables give none. Repeated digests are
+    written once; a digest that many documents hold is dealt to many tasks.
     """
     chunks = chunk_table(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col)
-    held = chunks.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc")
-    dup = chunks.join(held.select("digest", "first_doc"), "digest").select("doc", "start", "size", "seed", "first_doc")
+    held = chunks.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.count("*").alias("n")).where("first_doc < last_doc")
+    work = Workspace(docs.sparkSession, "passages")
+    held = work.table(held.select("digest", "first_doc", "n"), "held")
+    work.settle()
+    dup = split_join(chunks, held.select("digest", "first_doc"), "digest", hot_keys(held, "digest"), ["doc", "start"]).select("doc", "start", "size", "seed", "first_doc")
     dup = dup.dropDuplicates(["doc", "start", "seed"])
     order = Window.partitionBy("doc").orderBy("start")
     end = F.col("start") + F.col("size")
@@ -158,8 +164,10 @@ def deduplicate(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     chunks = chunk_table(rows.select("key", "text"), id_col="key").withColumnRenamed("doc", "key")
     ids = rows.groupBy("key").agg(F.min("id").alias("id"))
     placed = chunks.distinct().join(ids, "key").withColumn("place", F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "start"))
-    held = placed.groupBy("digest").agg(F.min("place").alias("keep"), F.count("*").alias("n")).where("n > 1").select("digest", "keep")
-    again = placed.join(held, "digest").where(F.col("place") > F.col("keep")).select("key", "start", "size", "seed")
+    held = placed.groupBy("digest").agg(F.min("place").alias("keep"), F.count("*").alias("n")).where("n > 1")
+    held = Workspace(docs.sparkSession, "deduplicate").table(held, "held")
+    found = split_join(placed, held.select("digest", "keep"), "digest", hot_keys(held, "digest"), ["key", "start"])
+    again = found.where(F.col("place") > F.col("keep")).select("key", "start", "size", "seed")
     order = Window.partitionBy("key").orderBy("start", "size")
     end = F.col("start") + F.col("size")
     fresh = F.coalesce((F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)) < F.col("start")).cast("int"), F.lit(1))

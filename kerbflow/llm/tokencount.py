@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..scratch import Workspace
+from .skew import hot_keys, split_join
 
 LIMIT = 512
 #: Characters whose class (letter, number, space, other) has been the same in every Unicode version since 6.0:
@@ -78,7 +79,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, r
     cache: folder of counts kept between calls, in a store that all executors share (None: for this call only).
     ranks: the same byte-level vocabulary as a rank file, used where it must give the library's counts.
     The normal form of a content is its UTF-8 text with null as the empty text; both have 0 tokens and bytes.
-    Repeated texts are encoded once and keep their rows; other columns pass through, also those of the names used here;
+    Repeated texts are encoded once and keep their rows; a text that many rows hold is dealt to many tasks. Other columns pass through, also those of the names used here;
     an empty table gives none.
     """
     spark = docs.sparkSession
@@ -94,9 +95,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, r
     misses.mapInArrow(_encode(tokenizer, ranks), kind).write.mode("append").parquet(where)
     # two jobs may have appended the same miss
     counts = spark.read.schema(kind).parquet(where).groupBy("digest").agg(F.max("n_tokens").alias("tok_tokens"))
-    # other columns ride in a struct, so that their names cannot clash
-    rows = docs.select(F.struct("*").alias("row"), digest.alias("digest"), F.octet_length(text).cast("long").alias("tok_bytes"))
-    return rows.join(counts, "digest", "left").select("row.*", "tok_bytes", "tok_tokens")
+    copies = docs.select(digest.alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    copies = Workspace(spark, "tokencopies").table(copies, "copies")
+    # columns travel under names of their own, so that theirs cannot clash and those not asked for stay behind
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(digest.alias("digest"), F.octet_length(text).cast("long").alias("_bytes"), *(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)))
+    spread = [o for o, (c, kind) in zip(own, docs.dtypes) if c != text_col and "map<" not in kind and "variant" not in kind] or ["_bytes"]
+    found = split_join(rows, counts, "digest", hot_keys(copies, "digest"), spread, "left")
+    return found.select(*(F.col(o).alias(c) for c, o in zip(docs.columns, own)), F.col("_bytes").alias("tok_bytes"), "tok_tokens")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
