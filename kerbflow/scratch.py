@@ -22,6 +22,10 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Removes the shuffle files of a query at its end; a written table is read from its files, never from them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Tables written under one folder of the shared root: cut lineage, readable by every executor."""
 
@@ -30,8 +34,13 @@ class Workspace:
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """df written and read back; the shuffle files of the write are gone afterwards."""
+        path, before = f"{self.path}/{name}", self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def settle(self) -> None:
