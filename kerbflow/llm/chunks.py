@@ -113,9 +113,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     chunks = chunk_table(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col)
     held = chunks.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.count("*").alias("n")).where("first_doc < last_doc")
-    work = Workspace(docs.sparkSession, "passages")
-    held = work.table(held.select("digest", "first_doc", "n"), "held")
-    work.settle()
+    held = Workspace(docs.sparkSession, "passages").table(held.select("digest", "first_doc", "n"), "held")
     dup = split_join(chunks, held.select("digest", "first_doc"), "digest", hot_keys(held, "digest"), ["doc", "start"]).select("doc", "start", "size", "seed", "first_doc")
     dup = dup.dropDuplicates(["doc", "start", "seed"])
     order = Window.partitionBy("doc").orderBy("start")

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
-from kerbflow.llm import chunks, licenses, quality, textkernel as K, tokencount
+from kerbflow.llm import chunks, licenses, quality, skew, textkernel as K, tokencount
 from kerbflow.llm.jaccard import jaccard_components
 
 ODD = [None, "", "   \n", "one", "one two", "É ñ 漢字 😀 x\x0by\x1fz"]
@@ -301,3 +302,33 @@ def test_token_counts_equal_the_library(docs, tmp_path):
     assert more.count() == len(rows) + 1
     pieces = tokencount.count_tokens(docs(rows), P.path("piece_bpe_32k.model")).where("doc_id = 3").first()
     assert pieces.tok_tokens == 1
+
+
+def test_split_join_of_a_hot_key(spark):
+    rows = spark.range(5000).selectExpr("id", "case when id % 2 = 0 then 'hot' else 'k' || id % 1500 end key")
+    values = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    hot = skew.hot_keys(values, "key")
+    assert "hot" in {r.key for r in hot.collect()} and hot.count() < skew.HOT
+    got = skew.split_join(rows, values.where("key <> 'k1'"), "key", hot, ["id"], "left")
+    want = rows.join(values.where("key <> 'k1'"), "key", "left").select("key", "id", "least", "n")
+    assert sorted(map(tuple, got.select("key", "id", "least", "n").collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert skew.hot_keys(values.where("false"), "key").count() == 0
+
+
+def test_hot_text_has_all_its_counts_and_no_text_is_shuffled(docs):
+    import public_tokenizers as P
+
+    rows = [(i, "one text that many rows hold" if i % 3 else f"text {i}") for i in range(300)] + [(7, None), (None, "")]
+    found = tokencount.count_tokens(docs(rows), P.path("byte_bpe_50k.json"))
+    got = sorted((str(r.doc_id), r.text or "", r.tok_tokens) for r in found.collect())
+    count = tokencount.Counter(P.path("byte_bpe_50k.json"))
+    assert got == sorted((str(i), t or "", count(t or "")) for i, t in rows)
+    plan = found.select("doc_id", "tok_tokens")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS _c1" not in plan  # column 1 is the text
+
+
+def test_hot_passage_is_found_in_all_documents(docs):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{i} start {i * 7} {passage} end {i * 13} {i}") for i in range(400)] + [(1000 + i, f"clean {i} " + " ".join(f"x{i}y{k}" for k in range(40))) for i in range(100)]
+    found = chunks.repeated_passages(docs(rows)).collect()
+    assert {r.doc_id for r in found} == set(range(400)) and {r.first_doc for r in found} == {0}
