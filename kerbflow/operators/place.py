@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S
 from . import ordered
@@ -42,8 +42,6 @@ def geolocate(cars: DataFrame, track: DataFrame, key: str = "segment", lateral_m
 
 def arc_lengths(track: DataFrame, key: str) -> DataFrame:
     """track(key, t, lat, lon) with ``arc``, the metres travelled up to each point."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy("t")
     step = track.withColumns({"_lat": F.lag("lat").over(w), "_lon": F.lag("lon").over(w)}).withColumn("_d", F.expr(S.metres("_lat", "_lon", "lat", "lon")))
     return step.withColumn("arc", F.coalesce(F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))).drop("_lat", "_lon", "_d")
@@ -62,3 +60,46 @@ def gps_track(fixes: DataFrame, key: str, time: str = "time") -> DataFrame:
     first = fixes.groupBy(key).agg(F.min(time).alias("epoch"))
     seconds = (F.unix_micros(time) - F.unix_micros("epoch")) / F.lit(1e6)
     return fixes.join(first, key).select(key, seconds.alias("t"), "lat", "lon", "epoch")
+
+
+#: Radius of the frame that block faces are measured in, metres lost at each corner, shortest face.
+EARTH_M, CORNER_M, SHORTEST_M = 6378137.0, 7.6, 20.0
+
+
+def junctions(vertices: DataFrame) -> DataFrame:
+    """Nodes of several ways, or of several places of one, and the ends of every way."""
+    ends = F.sum(F.when(F.col("idx").isin(0) | (F.col("idx") == F.col("last_idx")), 1).otherwise(0))
+    return vertices.groupBy("node").agg((F.count("*") + ends).alias("n")).where("n > 1").select("node")
+
+
+def block_faces(vertices: DataFrame, lane_offset_m: float = 4.6, lane_width_m: float = 2.6) -> DataFrame:
+    """Both sides of every block: ways that may have kerbside parking, cut at junctions, of 20 m and more.
+
+    vertices(way, idx, last_idx, node, lat, lon, street, highway, lanes) -> (way, piece, side, street, from_node, to_node, len_m,
+    length_m, spaces, centre, ring). A face is a rectangle as long as the block's line, around the middle of its chord, lane_offset_m beside it;
+    ring is closed. Blocks that end where they begin have no chord and no face. One window per way, no pairs of ways.
+    """
+    ok = vertices.where(S.plausible("highway", "lanes"))
+    w = Window.partitionBy("way").orderBy("idx")
+    scale = F.cos(F.radians(F.col("lat0"))) * EARTH_M
+    e = ok.join(junctions(ok).withColumn("_j", F.lit(1)), "node", "left").withColumn("lat0", F.first("lat").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.withColumns({"_x": F.radians("lon") * scale, "_y": F.radians("lat") * EARTH_M})
+    e = e.withColumns({"_x2": F.lead("_x").over(w), "_y2": F.lead("_y").over(w), "_node2": F.lead("node").over(w), "piece": F.sum(F.coalesce("_j", F.lit(0))).over(w)})
+    e = e.where("_x2 is not null").withColumn("_d", F.sqrt((F.col("_x2") - F.col("_x")) ** 2 + (F.col("_y2") - F.col("_y")) ** 2))
+    f = e.groupBy("way", "piece").agg(
+        F.first("street").alias("street"), F.first("lat0").alias("lat0"), F.sum("_d").alias("len_m"), F.min_by("node", "idx").alias("from_node"), F.max_by("_node2", "idx").alias("to_node"),
+        *(F.min_by(c, "idx").alias(f"a{c}") for c in ("_x", "_y")), *(F.max_by(f"{c}2", "idx").alias(f"b{c}") for c in ("_x", "_y")))
+    f = f.withColumns({"_dx": F.col("b_x") - F.col("a_x"), "_dy": F.col("b_y") - F.col("a_y")}).withColumn("_norm", F.sqrt(F.col("_dx") ** 2 + F.col("_dy") ** 2))
+    f = f.where((F.col("len_m") >= SHORTEST_M) & (F.col("_norm") >= 1e-6)).withColumn("side", F.explode(F.array(F.lit("left"), F.lit("right"))))
+    ux, uy = F.col("_dx") / F.col("_norm"), F.col("_dy") / F.col("_norm")
+    off = F.when(F.col("side") == "left", lane_offset_m).otherwise(-lane_offset_m)
+    cx, cy = (F.col("a_x") + F.col("b_x")) / 2 - uy * off, (F.col("a_y") + F.col("b_y")) / 2 + ux * off
+
+    def spot(along: int, across: int) -> Column:
+        x = cx + ux * (F.col("len_m") / 2 * along) - uy * (lane_width_m / 2 * across)
+        y = cy + uy * (F.col("len_m") / 2 * along) + ux * (lane_width_m / 2 * across)
+        return F.struct(F.degrees(x / scale).alias("lon"), F.degrees(y / EARTH_M).alias("lat"))
+
+    ring = F.array(*(spot(*c) for c in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))))
+    usable = f"greatest(len_m - {2 * CORNER_M}, 0e0)"
+    return f.select("way", "piece", "side", "street", "from_node", "to_node", "len_m", F.round("len_m", 1).alias("length_m"), F.expr(S.spaces(usable)).alias("spaces"), spot(0, 0).alias("centre"), ring.alias("ring"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar as S
 from ..scratch import Workspace
@@ -13,6 +13,8 @@ from ..scratch import Workspace
 M_LAT, M_LON = 110_540.0, 111_320.0
 #: Sizes of cells by level: BASE_M doubled level times.
 BASE_M = 5.0
+#: Last level: its cells are wider than half the earth, so a reach beyond it, or an infinite one, loses nothing.
+LAST = 22
 #: Reach of each ring of a nearest search without a bound, in metres; the last one spans the earth.
 RINGS = (60.0, 240.0, 960.0, 7_680.0, 122_880.0, 25_000_000.0)
 
@@ -61,8 +63,15 @@ def segment_cells(df: DataFrame, size_m: float) -> DataFrame:
 
 
 def _by_reach(near: DataFrame, probes: DataFrame, reach: Column, lat: str, lon: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides with cells of the level that the near side's own reach needs; probes have a cell in each level in use."""
-    level = F.greatest(F.ceil(F.log2(reach / BASE_M)), F.lit(0)).cast("int")
+    """Both sides with cells of the level that the near side's own reach needs; probes have a cell in each level in use.
+
+    A reach that is null or not a number holds nothing, as no distance can be told, so its row is left out; so are rows
+    without a place. Infinite reaches and those wider than the last level's cells are on the last one.
+    """
+    known = lambda df, a, b: df.where(F.abs(a) + F.abs(b) < float("inf"))
+    near = known(near.where(reach.isNotNull() & ~F.isnan(reach)), F.col("lat"), F.col("lon"))
+    probes = known(probes, F.col(lat), F.col(lon))
+    level = F.greatest(F.ceil(F.log2(F.least(reach, F.lit(BASE_M * 2.0**LAST)) / BASE_M)), F.lit(0)).cast("int")
     near = near.withColumn("_level", F.coalesce(level, F.lit(0)))
     levels = [r[0] for r in near.select("_level").distinct().collect()] or [0]
     size = F.lit(BASE_M) * F.pow(F.lit(2.0), F.col("_level"))
@@ -165,6 +174,40 @@ def zone_boxes(segments: DataFrame, paid: DataFrame) -> DataFrame:
     return made.withColumn("usable_m", F.col("len_m") - 15.2).withColumn("spaces", F.expr(S.spaces("usable_m")))
 
 
+def box_rings(boxes: DataFrame, width_m: float = 2.6) -> DataFrame:
+    """boxes of zone_boxes with ``ring``, their closed corners as (lon, lat), and width_m."""
+    spot = lambda k: F.struct((F.col("alon") + F.col(f"c{k}x") / (F.cos(F.radians("alat")) * M_LON)).alias("lon"), (F.col("alat") + F.col(f"c{k}y") / M_LAT).alias("lat"))
+    return boxes.withColumns({"ring": F.array(*(spot(k) for k in (0, 1, 2, 3, 0))), "width_m": F.lit(width_m)})
+
+
+def signed_offsets(points: DataFrame, segments: DataFrame, key: str, snap_m: float | None = None) -> DataFrame:
+    """(key, offset_m, way, idx): each point's distance to its nearest segment, negative on its left side."""
+    near = nearest_segment(points, segments, key, snap_m).select(key, "distance", "way", "idx")
+    both = near.join(points.select(key, "lat", "lon"), key).join(segments.select("way", "idx", "alat", "alon", "blat", "blon"), ["way", "idx"])
+    left = F.expr("(blon - alon) * (lat - alat) - (blat - alat) * (lon - alon) > 0")
+    return both.select(key, F.when(left, -F.col("distance")).otherwise(F.col("distance")).alias("offset_m"), "way", "idx")
+
+
+def lane_modes(offsets: DataFrame, low_m: float = 1.5, high_m: float = 12.0, bin_m: float = 0.5, bay_m: float = 2.6) -> DataFrame:
+    """One row: count, median and mode of the offsets of either side, the lane's centre and the band it implies.
+
+    Offsets (offset_m) between low_m and high_m from a centreline count: nearer ones are in the travel lane, farther ones off the street.
+    A mode is the middle of the bin that, with its two neighbours, holds most offsets (the nearest of equals). The centre
+    is the median of all distances, the band half a bay to either side; a side without offsets has nulls and 0.
+    """
+    kept = offsets.where(F.abs("offset_m").between(low_m, high_m)).withColumns({"right": F.col("offset_m") > 0, "bin": F.floor(F.col("offset_m") / bin_m)})
+    sides = kept.agg(
+        F.count_if(~F.col("right")).alias("n_left"), F.count_if("right").alias("n_right"), F.median(F.when(~F.col("right"), F.col("offset_m"))).alias("median_left"),
+        F.median(F.when(F.col("right"), F.col("offset_m"))).alias("median_right"), F.median(F.abs("offset_m")).alias("centre"))
+    # counts of bins: at most 2 * high_m / bin_m rows
+    near = F.sum("n").over(Window.partitionBy("right").orderBy("bin").rangeBetween(-1, 1))
+    bins = kept.groupBy("right", "bin").agg(F.count("*").alias("n")).withColumn("near", near).withColumn("middle", (F.col("bin") + 0.5) * bin_m)
+    mode = lambda side: F.max_by(F.when(F.col("right") == side, F.col("middle")), F.when(F.col("right") == side, F.struct("near", -F.abs("middle"))))
+    modes = bins.agg(mode(False).alias("mode_left"), mode(True).alias("mode_right"))
+    both = sides.withColumn("_one", F.lit(1)).join(modes.withColumn("_one", F.lit(1)), "_one")
+    return both.select("n_left", "n_right", "median_left", "median_right", "mode_left", "mode_right", "centre", (F.col("centre") - bay_m / 2).alias("low"), (F.col("centre") + bay_m / 2).alias("high"))
+
+
 MARGIN = S.signed_margin([(f"c{k}x", f"c{k}y") for k in range(4)], "((lon - alon) * 111320e0 * cos(radians(alat)))", "((lat - alat) * 110540e0)")
 
 

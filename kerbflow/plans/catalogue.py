@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalar as S
 from ..operators import ordered as O
-from ..operators import place, robust, similarity, spatial, tracking
+from ..operators import motion, place, robust, similarity, spatial, tracking
 from ..operators.graph import components as connected
 from ..scratch import Workspace
 from .fixtures import ctes, table
@@ -75,10 +75,9 @@ shared("clock_label", "survey", "select event_id, lpad(cast(cast(floor(sample *
 shared("xml_escape", "", "select p_partkey, replace(replace(replace('<' || p_name || '&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') name from {part}", "part")
 # --- filters
 shared("vehicle_filter", "boxes", "select ord, class_id from {boxes} where class_id in (3, 4, 6, 8)")
-shared("kerb_filter", "detections", "select ord, case when bearing < 0 then 'left' else 'right' end kerb from {detections} where bh >= 80 and abs(bearing) >= 20")
-shared("survey_filter", "detections", "select ord from {detections} where bh >= 55 and cy >= 0.42e0 * 1240 and abs(bearing) > 18")
+shared("kerb_filter", "raw", f"select ord, case when {S.bearing('cx')} < 0 then 'left' else 'right' end kerb from {{raw}} where bh >= 80 and abs({S.bearing('cx')}) >= 20")
+shared("survey_filter", "raw", f"select ord from {{raw}} where bh >= 55 and cy >= 0.42e0 * 1240 and abs({S.bearing('cx', 1280, 458)}) > 18")
 shared("null_island", "", "select c_custkey from (select c_custkey, case when c_custkey % 5 = 0 then 0e0 when c_custkey % 7 = 0 then null else 25e0 end lat, case when c_custkey % 10 = 0 then 0e0 else -80e0 end lon from {customer}) t where abs(lat) > 0.000001e0 or (lat is not null and abs(lon) > 0.000001e0)", "customer")
-shared("known_exclude", "", "select event_id, user_id from {events} where not (event_id between 100 and 300 or event_id between 700 and 720 or user_id between 30 and 33)", "events")
 shared("sampling_scan", "", "select event_id from {events} where event_id % 12 = 0", "events")
 shared("bbox_visibility", "anchors", "select anchor from {anchors} where lat between 25.71e0 and 25.74e0 and lon between -80.19e0 and -80.18e0")
 shared("temporal_window", "sightings", "select id from {sightings} where abs(ts - 1200e0) <= 300")
@@ -103,6 +102,12 @@ def tile_cover(spark, t):
     return a.select("anchor", "x", F.explode("ys").alias("y"))
 
 
+@query("known_exclude", "events known", "select event_id, user_id from events where not exists (select 1 from known where event_id between lo and hi)")
+def known_exclude(spark, t):
+    """Rows that no known interval holds."""
+    return O.outside_intervals(t["events"], "event_id", t["known"], 1000.0).select("event_id", "user_id")
+
+
 # --- joins
 @query("presence", "sightings", f"select p.anchor probe, s.id, round({S.mahalanobis('s', 'p.plat', 'p.plon')}, 6) distance from (select id anchor, lat + 0.00001e0 plat, lon + 0.000005e0 plon, street, ts pts from sightings) p join sightings s on p.street = s.street where {S.mahalanobis('s', 'p.plat', 'p.plon')} <= 2 and abs(s.ts - p.pts) <= 600")
 def presence(spark, t):
@@ -194,9 +199,26 @@ def _boxes(t) -> DataFrame:
     return spatial.zone_boxes(t["segments"], _paid(t))
 
 
-@query("zone_boxes", "anchors segments", _BOXES + f" select way, idx, zone, side, round(len_m - 15.2e0, 6) usable_m, {S.spaces('(len_m - 15.2e0)')} spaces, round(c0x, 6) c0x, round(c2y, 6) c2y from zb")
+_CORNERS = [f"c{k}{axis}" for k in range(4) for axis in "xy"]
+
+
+@query("zone_boxes", "anchors segments", _BOXES + f" select way, idx, zone, side, round(len_m - 15.2e0, 6) usable_m, {S.spaces('(len_m - 15.2e0)')} spaces, {', '.join(f'round({c}, 6) {c}' for c in _CORNERS)} from zb")
 def zone_boxes(spark, t):
-    return _boxes(t).select("way", "idx", "zone", "side", F.round("usable_m", 6).alias("usable_m"), "spaces", *r6("c0x", "c2y"))
+    return _boxes(t).select("way", "idx", "zone", "side", F.round("usable_m", 6).alias("usable_m"), "spaces", *r6(*_CORNERS))
+
+
+_SIDE = f"select anchor, case when (blon - alon) * (lat - alat) - (blat - alat) * (lon - alon) > 0 then -d else d end o from (select anchors.*, segments.*, {S.segment_distance('lat', 'lon')} d, row_number() over (partition by anchor order by {S.segment_distance('lat', 'lon')}, way, idx) k from anchors, segments) where k = 1"
+
+
+@query("lane_modes", "anchors segments", f"""with o as (select o from ({_SIDE}) where abs(o) between 1.5 and 12), h as (select o > 0 r, floor(o / 0.5) b, count(*) n from o group by 1, 2),
+m as (select r, (b + 0.5) * 0.5 mid, sum(n) over (partition by r order by b range between 1 preceding and 1 following) near from h),
+k as (select r, arg_max(mid, (near, -abs(mid))) mode from m group by r)
+select count(case when o < 0 then 1 end) n_left, count(case when o > 0 then 1 end) n_right, round(median(case when o < 0 then o end), 6) median_left, round(median(case when o > 0 then o end), 6) median_right,
+ (select mode from k where not r) mode_left, (select mode from k where r) mode_right, round(median(abs(o)), 6) centre, round(median(abs(o)) - 1.3, 6) low, round(median(abs(o)) + 1.3, 6) high from o""")
+def lane_modes(spark, t):
+    """Offsets of parked positions from the centreline: both modes and the band around their median."""
+    out = spatial.lane_modes(spatial.signed_offsets(t["anchors"], t["segments"], "anchor"))
+    return out.select("n_left", "n_right", *r6("median_left", "median_right"), "mode_left", "mode_right", *r6("centre", "low", "high"))
 
 
 def _judged(sigma: float) -> str:
@@ -224,7 +246,7 @@ def summarise(spark, t):
 
 @query("occupancy", "anchors segments", _BOXES + _FIXES + _judged(1.0) + f" select zb.way, zb.idx, zb.side, count(j.id) cars, {S.spaces('(max(len_m) - 15.2e0)')} spaces, round(count(j.id) / nullif({S.spaces('(max(len_m) - 15.2e0)')}, 0)::double, 6) rate from zb left join j on k = 1 and verdict = 'inside' and j.way = zb.way and j.idx = zb.idx and j.side = zb.side group by 1, 2, 3")
 def occupancy(spark, t):
-    boxes = _boxes(t)
+    boxes = Workspace(spark, "occupancy").table(_boxes(t), "boxes")  # read twice
     inside = spatial.judge(t["anchors"].selectExpr(*_FIX), boxes, "id", 1.0).where("verdict = 'inside'").groupBy("way", "idx", "side").agg(F.count("*").alias("cars"))
     out = boxes.select("way", "idx", "side", "spaces").join(inside, ["way", "idx", "side"], "left").withColumn("cars", F.coalesce("cars", F.lit(0).cast("long")))
     return out.withColumn("rate", F.round(F.expr("try_divide(cars, spaces)"), 6))
@@ -369,12 +391,45 @@ def scale_calibration(spark, t):
 
 
 # --- similarity
-@query("revisit_top1", "descriptors", "select i, j, round(sim, 4) sim from (select a.t i, b.t j, sim, row_number() over (partition by a.t order by sim desc, b.t) k from descriptors a join descriptors b on b.t >= a.t + 120, lateral (select list_dot_product(a.vec::double[], b.vec::double[]) / sqrt(list_dot_product(a.vec::double[], a.vec::double[]) * list_dot_product(b.vec::double[], b.vec::double[])) sim)) where k = 1 and sim > 0.3")
+_REVISIT = "select i, j, round(sim, 4) sim from (select a.t i, b.t j, sim, row_number() over (partition by a.t order by sim desc, b.t) k from descriptors a join descriptors b on b.t >= a.t + 120, lateral (select list_dot_product(a.vec::double[], b.vec::double[]) / sqrt(list_dot_product(a.vec::double[], a.vec::double[]) * list_dot_product(b.vec::double[], b.vec::double[])) sim)) where k = 1 and sim > 0.3"
+
+
+@query("revisit_top1", "descriptors", _REVISIT)
 def revisit_top1(spark, t):
     """Best later frame at least 120 steps on, similarity over 0.3."""
     return similarity.best_later(t["descriptors"], 120, 0.3).withColumn("sim", F.round("sim", 4))
 
 
+@query("revisit_verdict", "matches", "select pair, case when k >= 22 then k else 0 end inliers, case when k >= 40 then 'revisit' when k >= 22 then 'maybe' else 'no' end verdict from (select pair, case when count(*) >= 15 then count(case when sqrt((x2 - mx) * (x2 - mx) + (y2 - my) * (y2 - my)) < 5 then 1 end) else 0 end k from matches group by pair)")
+def revisit_verdict(spark, t):
+    """Candidates confirmed by the matches that one projective map explains; refused ones count 0."""
+    found = motion.verify_revisits(t["matches"], trials=1024)
+    return found.select("pair", F.when(F.col("verdict") != "no", F.col("inliers")).otherwise(0).alias("inliers"), "verdict")
+
+
+#: Least squares over the points known to stand still, as complex sums; the residual is over all points.
+_FIT = """with m as (select frame, avg(x) mx, avg(y) my, avg(x2) mu, avg(y2) mv, count(*) k from flow where still group by frame),
+c as (select f.frame, sum((x - mx) * (x - mx) + (y - my) * (y - my)) s, sum((x - mx) * (x2 - mu) + (y - my) * (y2 - mv)) re, sum((x - mx) * (y2 - mv) - (y - my) * (x2 - mu)) im from flow f join m using (frame) where still group by f.frame),
+a as (select frame, re / s re, im / s im, mu - (re / s * mx - im / s * my) dx, mv - (im / s * mx + re / s * my) dy, k from c join m using (frame)),
+fit as (select frame, any_value(sqrt(re * re + im * im)) scale, any_value(degrees(atan2(im, re))) rotation_deg, any_value(dx) dx, any_value(dy) dy, count(*) n_points, any_value(k) n_inlier,
+ quantile_cont(sqrt(power(x2 - (re * x - im * y + dx), 2) + power(y2 - (im * x + re * y + dy), 2)), 0.8) residual_p80 from flow join a using (frame) group by frame)
+"""
+
+
+@query("similarity_fit", "flow", _FIT + "select frame, round(scale, 5) scale, round(rotation_deg, 4) rotation_deg, round(dx, 3) dx, round(dy, 3) dy, n_points, n_inlier, round(residual_p80, 3) residual_p80 from fit")
+def similarity_fit(spark, t):
+    """Scale, turn and shift of each frame pair from its tracked points, a third of which follow other traffic."""
+    fit = motion.similarity_fit(t["flow"])
+    return fit.select("frame", F.round("scale", 5).alias("scale"), F.round("rotation_deg", 4).alias("rotation_deg"), *(F.round(c, 3).alias(c) for c in ("dx", "dy")), "n_points", "n_inlier", F.round("residual_p80", 3).alias("residual_p80"))
+
+
+@query("scene_motion", "flow", _FIT + ", g as (select *, sum(residual_p80) over (partition by frame % 4 order by frame rows between 2 preceding and 2 following) / 5 v from fit) select frame, round(coalesce(sum(v) over (partition by frame % 4 order by frame rows between unbounded preceding and 1 preceding), 0), 2) along from g")
+def scene_motion(spark, t):
+    """Relative distance along the track from what is left after the fit, smoothed and summed up."""
+    fits = motion.similarity_fit(t["flow"]).withColumn("video", F.col("frame") % 4)
+    return motion.scene_motion(fits, "video", "frame").select("frame", F.round("along", 2).alias("along"))
+
+
 @query("enrich", "sightings", "select a.id, b.color peer from sightings a left join (select street, ts, max_by(color, id) color from sightings where pass = 2 group by street, ts) b on a.street = b.street and a.ts = b.ts")
 def enrich(spark, t):
     """Exact-key lookup in which the last duplicate wins."""
@@ -393,9 +448,8 @@ def crop_pairs(spark, t):
 @query("same_colour_nearest", "sightings", "select id, other from (select a.id, b.id other, row_number() over (partition by a.id order by abs(a.lat - b.lat), b.id) k from sightings a join sightings b on a.street = b.street and a.color = b.color and a.pass = 1 and b.pass = 2) where k = 1")
 def same_colour_nearest(spark, t):
     s = t["sightings"]
-    b = s.where("pass = 2").select("street", "color", F.col("id").alias("other"), F.col("lat").alias("lat2"))
-    pairs = s.where("pass = 1").join(b, ["street", "color"])
-    return pairs.groupBy("id").agg(F.min(F.struct(F.abs(F.col("lat") - F.col("lat2")).alias("d"), "other")).alias("m")).select("id", F.col("m.other").alias("other"))
+    found = O.nearest_on_line(s.where("pass = 1"), s.where("pass = 2").select("street", "color", F.col("lat").alias("lat2"), F.col("id").alias("id2")), ["street", "color"], "lat", "lat2", "id2", [])
+    return found.where("other is not null").select("id", F.col("other.id2").alias("other"))
 
 
 # --- stateful and grouped
@@ -420,9 +474,25 @@ def triangulate(spark, t):
     return robust.triangulate(t["detections"], ["car"]).select("car", *r6("s", "sigma"), "n_dets")
 
 
-@query("slot", "detections")
+_STEPS = """r as (select x.*, d.segment, d.side, d.color, d.cls, row_number() over (partition by d.segment, d.side order by x.n_dets desc, x.car) k from x0 x join (select car, any_value(segment) segment, any_value(side) side, any_value(color) color, any_value(cls) cls from detections group by car) d using (car)),
+g as (select segment, side, k, [{'s': s, 'sigma': greatest(sigma, 1e0), 'n': n_dets, 'm': 1, 'color': color, 'cls': cls}] cars from r where k = 1
+ union all select g.segment, g.side, r.k, case when list_min(list_transform(g.cars, lambda c: abs(c.s - r.s))) >= 4.5 then list_append(g.cars, {'s': r.s, 'sigma': greatest(r.sigma, 1e0), 'n': r.n_dets, 'm': 1, 'color': r.color, 'cls': r.cls})
+ else list_transform(g.cars, lambda c, i: case when i = list_position(list_transform(g.cars, lambda q: abs(q.s - r.s)), list_min(list_transform(g.cars, lambda q: abs(q.s - r.s)))) then {'s': c.s + (r.s - c.s) * r.n_dets / (c.n + r.n_dets), 'sigma': least(c.sigma, r.sigma), 'n': c.n + r.n_dets, 'm': c.m + 1, 'color': c.color, 'cls': c.cls} else c end) end
+ from g join r on r.segment = g.segment and r.side = g.side and r.k = g.k + 1),
+z as (select segment, side, unnest(arg_max(cars, k)) c from g group by segment, side)
+select segment, side, round(c.s, 6) s, round(c.sigma, 6) sigma, c.n::bigint n_dets, c.m::bigint n_tracklets, c.color color, c.cls cls from z"""
+
+
+_PLACES = _TRI[5:].replace("group by car)\nselect car, round(s, 6) s, round(least(", "group by car),\nx0 as (select car, s, least(").replace("10e0), 6) sigma, n_dets from x", "10e0) sigma, n_dets from x)")
+
+
+@query("slot", "detections", "with recursive " + _PLACES + ",\n" + _STEPS)
 def slot(spark, t):
-    return tracking.slot(tracking.tracklets(t["detections"]))
+    """Cars of tracks known beforehand, one a vehicle: placed, then merged along the kerb."""
+    d = t["detections"].withColumnRenamed("car", "track_id")
+    looks = d.groupBy("segment", "side", "track_id").agg(F.first("color").alias("color"), F.first("cls").alias("cls"))
+    cars = tracking.slot(robust.triangulate(d, ["segment", "side", "track_id"]).join(looks, ["segment", "side", "track_id"]))
+    return cars.select("segment", "side", *r6("s", "sigma"), "n_dets", "n_tracklets", "color", "cls")
 
 
 @query("track_parked", "detections")
@@ -438,25 +508,37 @@ def geolocate_parked(spark, t):
     return place.geolocate(tracking.track_parked(t["detections"]), track, epoch="2024-01-01 00:00:00")
 
 
-@query("moving_rejection", "detections")
+@query("moving_rejection", "moving", _TRI.replace("from detections", "from moving").rsplit("x as (select", 1)[0].rstrip().rstrip(",") + " select ord from moving where car in (select car from h where k1)")
 def moving_rejection(spark, t):
-    """Detections of tracks that triangulate."""
-    tracked = tracking.associate(t["detections"])
-    keys = ["segment", "side", "track_id"]
-    return tracked.join(robust.triangulate(tracked, keys), keys, "left_semi").select("ord")
+    """Detections of tracks that stand: those of cars that drive along climb with the camera."""
+    return t["moving"].join(robust.triangulate(t["moving"], ["car"]), "car", "left_semi").select("ord")
+
 
+_OVER = "greatest(least(q.x2, r.x2) - greatest(q.x1, r.x1), 0) * greatest(least(q.y2, r.y2) - greatest(q.y1, r.y1), 0)"
 
-@query("box_nms", "boxes")
+
+@query("box_nms", "boxes", f"""with recursive r as (select *, row_number() over (partition by image order by score desc, ord, x1, y1, x2, y2) k from boxes),
+g as (select image, k, [{{'ord': ord, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] kept from r where k = 1
+ union all select g.image, r.k, case when len(list_filter(g.kept, lambda q: {_OVER} / greatest((q.x2 - q.x1) * (q.y2 - q.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - {_OVER}, 0.000000001e0) > 0.55e0)) = 0
+ then list_append(g.kept, {{'ord': r.ord, 'score': r.score, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}}) else g.kept end from g join r on r.image = g.image and r.k = g.k + 1),
+z as (select image, unnest(arg_max(kept, k)) c from g group by image) select image, c.ord ord, c.score score from z""")
 def box_nms(spark, t):
     return tracking.box_nms(t["boxes"]).select("image", "ord", "score")
 
 
-@query("spatial_dedupe", "sightings")
+@query("spatial_dedupe", "sightings", f"""with recursive r as (select *, row_number() over (partition by street order by sa, id) k from sightings),
+g as (select street, k, [{{'id': id, 'lat': lat, 'lon': lon}}] kept from r where k = 1
+ union all select g.street, r.k, case when len(list_filter(g.kept, lambda q: {S.metres('q.lat', 'q.lon', 'r.lat', 'r.lon')} < 3.5)) = 0 then list_append(g.kept, {{'id': r.id, 'lat': r.lat, 'lon': r.lon}}) else g.kept end
+ from g join r on r.street = g.street and r.k = g.k + 1),
+z as (select street, unnest(arg_max(kept, k)) c from g group by street) select c.id id, street from z""")
 def spatial_dedupe(spark, t):
     return tracking.spatial_dedupe(t["sightings"].select("id", "street", "lat", "lon", "sa"), "street").select("id", "street")
 
 
-@query("candidate_dedupe", "descriptors")
+@query("candidate_dedupe", "descriptors", """with recursive c as (select row_number() over (order by sim desc, i desc, j desc) k, i, j, sim from (TOP)),
+g as (select k, [{'i': i, 'j': j, 'sim': sim}] kept from c where k = 1
+ union all (select c.k, list_append(g.kept, {'i': c.i, 'j': c.j, 'sim': c.sim}) from g join c on c.k > g.k and len(g.kept) < 60 and len(list_filter(g.kept, lambda q: abs(q.i - c.i) < 8 and abs(q.j - c.j) < 8)) = 0 order by c.k limit 1)),
+z as (select unnest(arg_max(kept, k)) q from g) select q.i i, q.j j, q.sim sim from z""".replace("TOP", _REVISIT))
 def candidate_dedupe(spark, t):
     return tracking.candidate_dedupe(revisit_top1(spark, t))
 
@@ -473,31 +555,26 @@ _JUNCTIONS = "select node from (select node, count(*) + sum(case when idx in (0,
 
 @query("intersections", "vertices", _JUNCTIONS)
 def intersections(spark, t):
-    return _junctions(t["vertices"])
-
-
-def _junctions(v: DataFrame) -> DataFrame:
-    ends = F.sum(F.when(F.col("idx").isin(0) | (F.col("idx") == F.col("last_idx")), 1).otherwise(0))
-    return v.groupBy("node").agg((F.count("*") + ends).alias("n")).where("n > 1").select("node")
+    return place.junctions(t["vertices"])
 
 
 _FACES = f"""with ok as (select * from vertices where {S.plausible('highway', 'lanes')}), jn as ({_JUNCTIONS.replace('from vertices', 'from ok')}),
-e as (select v.*, lead(v.lat) over o blat, lead(v.lon) over o blon, lead(v.node) over o bnode, case when jn.node is null then 0 else 1 end j from ok v left join jn using (node) window o as (partition by way order by idx)),
-p as (select *, sum(j) over (partition by way order by idx) piece, {S.metres('lat', 'lon', 'blat', 'blon')} d from e),
-f as (select way, piece, sum(d) len_m, min_by(node, idx) from_node, max_by(bnode, idx) to_node from p where blat is not null group by way, piece)
-select way, from_node, to_node, side, round(len_m, 6) len_m, {S.spaces('greatest(len_m - 15.2e0, 0e0)')} spaces from f cross join (select 'left' side union all select 'right') where len_m >= 20"""
+v as (select v.*, case when jn.node is null then 0 else 1 end j, 6378137e0 * cos(radians(first_value(lat) over (partition by way order by idx))) sc from ok v left join jn using (node)),
+e as (select *, radians(lon) * sc x, radians(lat) * 6378137e0 y, sum(j) over (partition by way order by idx) piece, lead(node) over (partition by way order by idx) node2 from v),
+p as (select *, lead(x) over (partition by way order by idx) x2, lead(y) over (partition by way order by idx) y2 from e),
+f as (select way, piece, any_value(sc) sc, sum(sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y))) len_m, min_by(node, idx) from_node, max_by(node2, idx) to_node, min_by(x, idx) ax, min_by(y, idx) ay, max_by(x2, idx) bx, max_by(y2, idx) y9 from p where x2 is not null group by way, piece),
+g as (select *, sqrt((bx - ax) * (bx - ax) + (y9 - ay) * (y9 - ay)) norm from f where len_m >= 20),
+h as (select *, (bx - ax) / norm ux, (y9 - ay) / norm uy from g where norm >= 0.000001)
+select way, from_node, to_node, side, round(len_m, 6) len_m, {S.spaces('greatest(len_m - 15.2e0, 0e0)')} spaces,
+ {', '.join(f"round(degrees(((ax + bx) / 2 - uy * sgn * 4.6e0 + ux * len_m / 2 * {a} - uy * 1.3e0 * {c}) / sc), 8) lon{k}, round(degrees(((ay + y9) / 2 + ux * sgn * 4.6e0 + uy * len_m / 2 * {a} + ux * 1.3e0 * {c}) / 6378137e0), 8) lat{k}" for k, (a, c) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1))))}
+from h cross join (select 'left' side, 1e0 sgn union all select 'right', -1e0)"""
 
 
 @query("block_faces", "vertices", _FACES)
 def block_faces(spark, t):
-    """Ways cut at junctions: islands over edges, both sides, faces of 20 m and more."""
-    ok = t["vertices"].where(S.plausible("highway", "lanes"))
-    w = Window.partitionBy("way").orderBy("idx")
-    e = ok.join(_junctions(ok).withColumn("j", F.lit(1)), "node", "left").withColumns({"blat": F.lead("lat").over(w), "blon": F.lead("lon").over(w), "bnode": F.lead("node").over(w)})
-    e = e.withColumn("piece", F.sum(F.coalesce("j", F.lit(0))).over(w)).where("blat is not null").withColumn("d", F.expr(S.metres("lat", "lon", "blat", "blon")))
-    f = e.groupBy("way", "piece").agg(F.sum("d").alias("len_m"), F.min_by("node", "idx").alias("from_node"), F.max_by("bnode", "idx").alias("to_node")).where("len_m >= 20")
-    f = f.withColumn("side", F.explode(F.array(F.lit("left"), F.lit("right"))))
-    return f.select("way", "from_node", "to_node", "side", F.round("len_m", 6).alias("len_m"), F.expr(S.spaces("greatest(len_m - 15.2e0, 0e0)")).alias("spaces"))
+    """Ways cut at junctions: both sides of each block with the corners of its lane."""
+    corner = lambda k, axis: F.round(F.col("ring")[k][axis], 8).alias(f"{axis}{k}")
+    return place.block_faces(t["vertices"]).select("way", "from_node", "to_node", "side", F.round("len_m", 6).alias("len_m"), "spaces", *(corner(k, axis) for k in range(4) for axis in ("lon", "lat")))
 
 
 @query("nearest_face", "anchors segments", f"select way, idx, count(*) n from (select anchor, way, idx, {S.metres('lat', 'lon', '((alat + blat) / 2)', '((alon + blon) / 2)')} d, row_number() over (partition by anchor order by {S.metres('lat', 'lon', '((alat + blat) / 2)', '((alon + blon) / 2)')}, way * 10 + idx) k from anchors, segments) where k = 1 and d < 45 group by way, idx")
@@ -552,7 +629,6 @@ shared("survey_counts", "survey", "select vid, count(*) samples, max(kerb) most,
 shared("median_rgb", "", "select p_size, cast(floor(coalesce(median(p_partkey * 37 % 256), 110)) as int) r, cast(floor(coalesce(median(p_partkey * 73 % 256), 115)) as int) b from {part} group by p_size", "part")
 shared("bounds", "anchors", "select zone, min(lat) south, max(lat) north, min(lon) west, max(lon) east, count(*) n from {anchors} group by zone")
 shared("motion_percentile", "odometry", "select vid, round(percentile_cont(0.8) within group (order by mag), 6) p80 from {odometry} group by vid")
-shared("revisit_verdict", "", "select event_id, case when event_id % 60 >= 40 then 'revisit' when event_id % 60 >= 22 then 'maybe' else 'no' end verdict from {events}", "events")
 shared("top_n_per_zone", "anchors", "select zone, anchor from (select zone, anchor, row_number() over (partition by zone order by lat desc, anchor) k from {anchors}) t where k <= 2")
 shared("union_sides", "detections", "select ord, side from {detections} where side = 'left' union all select ord, side from {detections} where side = 'right'")
 shared("distinct_frames", "detections", "select distinct segment, frame from {detections}")

@@ -54,9 +54,27 @@ DESCRIPTORS = "select vec_id t, embedding vec from {embeddings}"
 RGB = """select p_partkey part, cast((p_partkey * 37) % 256 as int) r, cast((p_size * 5 + p_partkey * 11) % 256 as int) g,
  cast((p_partkey * 73) % 256 as int) b from {part}"""
 
+RAW = """select l_orderkey * 8 + l_linenumber ord, l_quantity * 4e0 bh, (l_partkey * 53) % 1920 * 1e0 cx, (l_suppkey * 31) % 1240 * 1e0 cy from {lineitem}"""
+
+MOVING = """select car, segment, side, ord, case when car % 4 = 0 then s_cam * 10 else s_cam end s_cam, case when car % 4 = 0 then -45e0 - ord % 3 else bearing end bearing from (""" + DETECTIONS + """) d"""
+
+KNOWN = """select event_id * 1e0 lo, event_id * 1e0 + case when event_id % 970 = 0 then 300 else event_id % 23 end hi from {events} where event_id % 97 = 0"""
+
+FLOW = """select l_suppkey frame, l_orderkey * 8 + l_linenumber point, l_quantity % 3 <> 0 still, x, y,
+ s * (cos(turn) * x - sin(turn) * y) + l_suppkey % 9 - 4 + (l_partkey % 11 - 5) * 0.05e0 + case when l_quantity % 3 <> 0 then 0 else 30 + l_orderkey % 17 end x2,
+ s * (sin(turn) * x + cos(turn) * y) + 1.5e0 + (l_orderkey % 13 - 6) * 0.04e0 - case when l_quantity % 3 <> 0 then 0 else 25 end y2
+ from (select *, (l_partkey * 37 + l_linenumber * 211) % 1900 * 1e0 x, (l_orderkey * 13) % 1060 * 1e0 y, 1 + (l_suppkey % 5) * 0.004e0 s,
+ (l_suppkey % 7 - 3) * 0.002e0 turn from {lineitem}) f"""
+
+MATCHES = """select pair, point, x, y, case when good then mx else (point * 53) % 1900 * 1e0 end x2, case when good then my else (point * 29) % 1060 * 1e0 end y2, mx, my
+ from (select *, (1.02e0 * x + 0.01e0 * y + 12) / (1 + 0.0001e0 * x + 0.00005e0 * y) mx, (0.98e0 * y - 0.01e0 * x - 7) / (1 + 0.0001e0 * x + 0.00005e0 * y) my
+ from (select cast(floor(o_custkey / 6e0) as bigint) pair, o_orderkey point, (o_orderkey * 37) % 1900 * 1e0 x, (o_orderkey * 91) % 1060 * 1e0 y,
+ o_orderkey % 12 < cast(floor(o_custkey / 6e0) as bigint) % 13 good from {orders}) m) n"""
+
 FIXTURES = {
     "sightings": SIGHTINGS, "detections": DETECTIONS, "boxes": BOXES, "ways": WAYS, "vertices": VERTICES, "segments": SEGMENTS, "anchors": ANCHORS,
     "track": TRACK, "odometry": ODOMETRY, "survey": SURVEY, "descriptors": DESCRIPTORS, "rgb": RGB,
+    "raw": RAW, "moving": MOVING, "known": KNOWN, "flow": FLOW, "matches": MATCHES,
 }
 
 
