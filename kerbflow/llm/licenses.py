@@ -35,17 +35,20 @@ NOTICES = {
 TAG = "spdx license identifier"
 #: Licences whose terms allow reuse in training by policy; an expression is allowed as its parts are.
 ALLOWED = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "cc-by-4.0", "unlicense", "zlib", "bsl-1.0"})
-#: Families of licence identifiers. An identifier is one of them, alone or with a version or variant.
+#: Families of licence identifiers, with a version or variant behind a hyphen, and identifiers that have none.
 FAMILIES = (
     "0bsd afl agpl apache apsl artistic blueoak boehm bsd bsl bzip2 cc cc0 cddl cdla cecill cnri cpal cpl curl eclipse ecl efl epl etalab eupl "
     "ftl gfdl gpl hpnd icu ijg imagemagick intel ipl isc jasper json latex lgpl libpng libtiff lppl miros mit mpich2 mpl ms mulanpsl ncsa "
     "netcdf nist nlod npl odbl odc-by ofl ogl oldap openssl osl pddl php postgresql psf python ql qpl ruby sgi sleepycat sspl tcl unicode "
     "unlicense upl vim w3c wtfpl x11 xfree86 xnet zlib zpl licenseref documentref"
 ).split()
-_KNOWN = re.compile(r"(?:" + "|".join(sorted(FAMILIES, key=len, reverse=True)) + r")(?:-[0-9a-z.+\-]+)?\+?")
+ALONE = "0bsd afl beerware curl dsdp fair ftl glide hpnd icu ijg imagemagick intel isc json latex2e libpng libtiff miros mit motosoto mpich2 mup naumen ncsa netcdf newsletr ngpl nokia openssl plexus postgresql qhull ruby saxpath sendmail sleepycat snia unlicense upl vim vostrom w3c wtfpl x11 xerox xnet xpp zed zlib".split()
+_KNOWN = re.compile(r"(?:" + "|".join(sorted(FAMILIES, key=len, reverse=True)) + r")-[0-9a-z.+\-]*[0-9a-z]\+?|(?:" + "|".join(ALONE) + r")\+?")
+_OPERAND = re.compile(rf"\(|{_KNOWN.pattern}")
+_EXCEPTION = re.compile(r"[0-9a-z.+]+(?:-[0-9a-z.+]+)+")
 WEIGHT = {"base": 0.6, "notice": 0.5, "tag": 0.9, "bad": 0.2}
 RANK = {"or": 1, "and": 2, "with": 3}
-_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+\-]*", re.ASCII)
+_TOKEN = re.compile(r"[()]|[a-z0-9](?:[a-z0-9.+\-]*[a-z0-9+])?", re.ASCII)
 #: The words of TAG with any marks between them, as the automaton sees them, and the marks up to an expression.
 _TAG = re.compile(r"(?<![0-9a-z\x80-\U0010ffff])spdx[\x00-/:-`{-\x7f]+license[\x00-/:-`{-\x7f]+identifier(?![0-9a-z\x80-\U0010ffff])[ \t]*:?[ \t]*")
 _LINE_END = re.compile(r"[\n\r]|\Z")
@@ -57,13 +60,22 @@ class BadExpression(ValueError):
     pass
 
 
-def parse(text: str) -> tuple[list[str], int]:
-    """Shunting-yard: the postfix form of the longest expression at the start of ``text``, and its token count."""
+def parse(text: str, among_prose: bool = False) -> tuple[list[str], int]:
+    """Shunting-yard: the postfix form of the longest expression at the start of ``text``, and its token count.
+
+    Among prose, and outside brackets, an expression goes on behind an operator only with a bracket or an identifier of a known form, and behind "with"
+    only with a name that holds a hyphen, as exceptions' names do; else it ends before the operator.
+    """
     out: list[str] = []
     ops: list[str] = []
-    operand, used = True, 0
-    for m in _TOKEN.finditer(text):
-        t = m[0]
+    operand, used, end = True, 0, -1
+    tokens = _TOKEN.finditer(text)
+    ahead = next(tokens, None)
+    while ahead:
+        t, at, ahead = ahead[0], ahead, next(tokens, None)
+        if end >= 0 and at.start() > end and text[end : at.start()].strip(" \t"):
+            break  # other marks end an expression
+        end = at.end()
         if operand:
             if t == "(":
                 ops.append(t)
@@ -73,6 +85,8 @@ def parse(text: str) -> tuple[list[str], int]:
                 out.append(t)
                 operand = False
         elif t in RANK:
+            if among_prose and "(" not in ops and not (ahead and (_EXCEPTION if t == "with" else _OPERAND).fullmatch(ahead[0])):
+                break
             while ops and ops[-1] != "(" and RANK[ops[-1]] >= RANK[t]:
                 out.append(ops.pop())
             ops.append(t)
@@ -143,6 +157,8 @@ def scan(text: str, found) -> dict:
             rest = folded[m.end() : line_end.start() if line_end else after]
             try:
                 postfix, used = parse(rest)
+                if next(islice(_TOKEN.finditer(rest), used, None), None):  # more words stand on the line
+                    postfix, used = parse(rest, among_prose=True)
                 ok, names = evaluate(postfix)
             except BadExpression:
                 labels.add("spdx-invalid")

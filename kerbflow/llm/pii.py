@@ -8,6 +8,7 @@ surrogate collides (with another's, or with a real entity of the corpus) are sto
 from __future__ import annotations
 
 import hashlib
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -20,30 +21,56 @@ GIVEN = {
     "she": "Alice|Amanda|Angela|Anna|Anne|Barbara|Carol|Carmen|Catherine|Charlotte|Christine|Claudia|Deborah|Elena|Elizabeth|Emily|Emma|Eva|Hannah|Helen|Ingrid|Isabel|Jane|Jennifer|Jessica|Julia|Karen|Katharina|Laura|Linda|Lisa|Margaret|Maria|Marie|Mary|Michelle|Monika|Nancy|Nicole|Olivia|Patricia|Petra|Rachel|Rosa|Sabine|Sandra|Sarah|Sophie|Stephanie|Susan|Ursula",
     "he": "Alexander|Andrew|Anthony|Antonio|Carlos|Charles|Christian|Christopher|Daniel|David|Diego|Edward|Fernando|François|Frank|George|Hans|Heinrich|Henry|Jack|James|Javier|Jean|John|Jorge|Joseph|Juan|Jürgen|Klaus|Luis|Manuel|Matthew|Michael|Miguel|Nicolas|Oliver|Patrick|Paul|Pedro|Peter|Philippe|Pierre|Richard|Robert|Samuel|Stefan|Steven|Thomas|William|Wolfgang",
 }
-NAME = r"\p{Lu}(?:\p{Ll}{1,20}|\p{Lu}{1,20})(?:['’-]\p{Lu}\p{Ll}{1,20})?(?!\p{L})"
+#: Given names that are ordinary words too: persons only before another name or behind a title.
+WORDS_TOO = "Carol|Christian|Frank|Jack|Jean|Rosa"
+#: Particles between given and family name.
+PARTICLES = "van|von|vom|de|da|del|della|di|du|la|le|den|der|ter|ten|zu|zum|zur|bin|ibn|al|el|dos|das|do"
+#: A name in small or capital letters, with its own hyphens and apostrophes; O', D', Mc and Mac may stand before it.
+NAME = r"(?:[OD]['’]|Ma?c)?\p{Lu}(?:\p{Ll}{1,20}|\p{Lu}{1,20})(?:['’-]\p{Lu}(?:\p{Ll}{1,20}|\p{Lu}{1,20}))*(?!\p{L})"
 PERSON = ("she", "he", "name")
 HEX = r"[0-9A-Fa-f]{1,4}"
 
 
+def _words(*groups: str) -> str:
+    """Alternatives grouped by their first letter, so that few are tried at a place."""
+    by: dict[str, list[str]] = {}
+    for word in sorted({w for g in groups for w in g.split("|")}, key=lambda w: (-len(w), w)):
+        by.setdefault(word[0], []).append(word[1:])
+    return "(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in sorted(by.items())) + ")"
+
+
+ANY_TITLE = _words(*TITLES.values())
+#: Given names as they are and in capitals.
+_BOTH = {k: _words(v, v.upper()) for k, v in GIVEN.items()}
+ANY_GIVEN = _words(*GIVEN.values(), *(v.upper() for v in GIVEN.values()))
+#: Another name of the same person: with particles before it, or an initial.
+_MORE = rf"(?: (?:(?:{PARTICLES}) ){{0,3}}{NAME}| \p{{Lu}}\.(?= ))"
+
+
 def _person(kind: str) -> str:
-    """A title and one or two names, or a given name and another name."""
-    given = rf"|(?:{GIVEN[kind]}) {NAME}" if kind in GIVEN else ""
-    return rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{TITLES[kind]})\.? {NAME}(?: {NAME})?{given})"
+    """Titles and one to three names; a given name, any further ones and initials, and one or two other names; or a given name
+    alone. Particles belong to the name behind them."""
+    titled = rf"{_words(TITLES[kind])}\.? (?:{ANY_TITLE}\.? ){{0,3}}(?:\p{{Lu}}\. )?(?:(?:{PARTICLES}) ){{0,3}}{NAME}{_MORE}{{0,2}}"
+    if kind not in GIVEN:
+        return rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{titled})"
+    full = rf"{_BOTH[kind]}(?!\p{{L}})(?:(?: {ANY_GIVEN}(?!\p{{L}})| \p{{Lu}}\.(?= ))*+{_MORE}{{1,2}}|(?: {ANY_GIVEN}(?!\p{{L}}))++)"
+    alone = rf"(?!(?:{WORDS_TOO})(?!\p{{L}})){_BOTH[kind]}(?![\p{{L}}-])"
+    return rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{titled}|{full}|{alone})"
 
 
 #: Type and pattern, the first that matches at a place wins. Patterns have no capturing groups.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}_%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
     "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "ipv6": rf"(?={HEX}:)(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{2,6}}(?::{HEX}){{1,5}}|{HEX}:(?::{HEX}){{2,6}})(?![\p{{L}}\p{{N}}:]|\.\d)",
+    "ipv6": rf"(?={HEX}:)(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{2,6}}(?::{HEX}){{1,5}}|{HEX}:(?::{HEX}){{2,6}}|[0-9A-Fa-f]{{4}}::{HEX})(?![\p{{L}}\p{{N}}:]|\.\d)",
     "secret": r"(?<![\p{L}\p{N}])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,64})(?![\p{L}\p{N}])",
     "iban": r"(?=[A-Z])(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?=\d)(?<![\d.+-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\d]|[.-]\d)",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?=[\d+(])(?:(?<![\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)|(?<![\p{N}+])\+\d{8,15}(?!\d)|(?<![\p{N}+])\+(?=(?:[ .()-]?\d){8,15}(?![ .-]?\d))\d{1,3}(?:[ .-]\(?\d{2,8}\)?){1,5}(?!\d))",
+    "phone": r"(?=[\d+(])(?:(?<![\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)|(?<![\p{N}+-])0\d{1,4}[ .-]\d{3,4}[ .-]\d{3,4}(?![\d]|[.-]\d)|(?<![\p{N}+])\+\d{8,15}(?!\d)|(?<![\p{N}+])\+(?=(?:[ .()-]?\d){8,15}(?![ .-]?\d))\d{1,3}(?:[ .-]\(?\d{2,8}\)?){1,5}(?!\d))",
 } | {kind: _person(kind) for kind in PERSON}
 #: Needed by any pattern above; texts without it are passed over.
-HINT = r"[0-9@]|(?=\p{Lu})(?<!\p{L})(?:" + "|".join([*TITLES.values(), *GIVEN.values()]) + ")"
+HINT = rf"[0-9@]|(?=\p{{Lu}})(?<!\p{{L}})(?:{ANY_TITLE}|{ANY_GIVEN})"
 #: Syllables of made-up names by script: starts, then endings by gender.
 SYLLABLES = {
     "latin": (("ba", "de", "fi", "go", "ha", "ju", "ka", "le", "mi", "no", "pa", "ra", "se", "ti", "vo", "wi"), {"she": ("na", "la", "ra", "sa"), "he": ("n", "r", "s", "l"), "name": ("ko", "mo", "do", "bo")}),
@@ -51,6 +78,8 @@ SYLLABLES = {
     "greek": (("βα", "δε", "φι", "γο", "χα", "κυ", "κα", "λε", "μι", "νο", "πα", "ρα", "σε", "τι", "θο", "ζι"), {"she": ("να", "λα", "ρα", "σα"), "he": ("ν", "ρ", "ς", "λ"), "name": ("κο", "μο", "δο", "βο")}),
 }
 LETTERS = {"latin": "abcdefghijklmnop", "cyrillic": "абвгдежзиклмнопр", "greek": "αβγδεζηθικλμνξοπ"}
+#: Country codes by length; what is dialled first, a code or a trunk zero, stays.
+DIALLED = r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})|0)"
 MOST_ATTEMPTS = 64
 #: After every so many attempts the surrogates of names and mail addresses grow: a syllable a word up to MORE_SYLLABLES, a
 #: letter before the address up to MORE_LETTERS, both within what the patterns match. So redrawing ends.
@@ -84,22 +113,35 @@ def _mod97(iban: Column) -> Column:
 
 def normal(entity: Column, kind: Column) -> Column:
     """Form under which mentions are one entity: digits of numbers, lower case of mail, addresses and names."""
+    digits = F.regexp_replace(entity, r"[^0-9]", "")
     return (
-        F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(entity, r"[^0-9]", ""))
+        F.when(kind.isin("card", "ssn"), digits)
+        .when(kind == "phone", F.concat(F.when(entity.startswith("+"), "+").otherwise(""), digits))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
-        .when(kind.isin("email", "ipv6", "family", *PERSON), F.lower(entity))
+        .when(kind.isin("family", *PERSON), F.lower(bare(entity)))
+        .when(kind.isin("email", "ipv6"), F.lower(entity))
         .otherwise(entity)
     )
 
 
-TITLE = "^(?:" + "|".join(TITLES.values()) + r")\.? "
+TITLE = rf"^(?:{ANY_TITLE}\.? )+"
+LEADING = rf"^(?:(?:{PARTICLES}) )+"
+INITIAL = r"^\p{Lu}\.$"
+#: Where a mention is parted into names: at spaces, but for those behind a particle.
+_PARTED = rf"(?<!(?<!\p{{L}})(?:{PARTICLES})) "
+
+
+def bare(name: Column) -> Column:
+    """A name without particles."""
+    return F.regexp_replace(name, LEADING, "")
 
 
 def _names(mention: Column, kind: Column) -> Column:
-    """Names of a person mention, in order, each with its kind: a given name of the mention's gender before a family name.
-    A title with one name has a family name."""
-    words = F.split(F.regexp_replace(mention, TITLE, ""), " ")
-    return F.transform(words, lambda w, i: F.struct(w.alias("e"), F.when(i == F.size(words) - 1, F.lit("family")).otherwise(kind).alias("kind")))
+    """Names of a person mention, in order, each with its kind: given names and initials of the mention's gender, then a family
+    name. A title with one name has a family name, one name without a title is a given one."""
+    words = F.split(F.regexp_replace(mention, TITLE, ""), _PARTED)
+    family = (F.size(words) > 1) | mention.rlike(TITLE)
+    return F.transform(words, lambda w, i: F.struct(w.alias("e"), F.when((i == F.size(words) - 1) & family, F.lit("family")).otherwise(kind).alias("kind")))
 
 
 def _hmac(key: str, message: Column) -> Column:
@@ -190,6 +232,7 @@ def core(kind: Column, norm: Column, attempt: Column, s: Column) -> Column:
         .when(kind == "email", domain)
         .when(kind.isin("family", *PERSON), _name(norm, kind, s, attempt))
         .when(kind == "card", _card(_chars(norm, s)))
+        .when(kind == "phone", F.concat(F.regexp_extract(norm, DIALLED, 0), _chars(F.regexp_replace(norm, DIALLED, ""), s)))
         .when(kind == "iban", _iban(norm, s))
         .when(kind == "ipv6", _hexed(norm, s))
         .when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), _hex(norm, s))
@@ -207,10 +250,13 @@ def dress(entity: Column, kind: Column, made: Column) -> Column:
         step = lambda a, c: F.when(c.rlike(r"^[0-9A-Z]$"), F.struct((a.k + 1).alias("k"), F.concat(a.s, F.substring(digits, a.k + 1, F.lit(1))).alias("s"))).otherwise(F.struct(a.k.alias("k"), F.concat(a.s, c).alias("s")))
         return F.aggregate(chars, start, step, lambda a: a.s)
 
-    cased = F.when(entity == F.upper(entity), F.upper(made)).when(entity.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, 2, 400))).otherwise(made)
+    first = F.upper(F.substring(made, 1, 1))
+    cased = lambda e: F.when(e == F.upper(e), F.upper(made)).when(e.rlike(r"^\p{Lu}"), F.concat(first, F.substring(made, 2, 400))).otherwise(made)
+    named = F.when(entity.rlike(INITIAL), F.concat(first, F.lit("."))).otherwise(F.concat(F.regexp_extract(entity, LEADING, 0), cased(bare(entity))))
     return (
-        F.when(kind.isin("card", "ssn", "phone", "iban"), fill(made))
-        .when(kind.isin("email", "ipv6", "family", *PERSON), cased)
+        F.when(kind.isin("card", "ssn", "phone", "iban"), fill(F.regexp_replace(made, "[+]", "")))
+        .when(kind.isin("family", *PERSON), named)
+        .when(kind.isin("email", "ipv6"), cased(entity))
         .otherwise(made)
     )
 
@@ -232,7 +278,7 @@ def _detected(docs: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame
     named = lambda e: reduce(lambda rest, k: F.when(e.rlike(f"^(?:{patterns[k]})$"), F.lit(k)).otherwise(rest), reversed(kinds), F.lit(None).cast("string"))
     # each step of a mention is a field that the next one reads, so that nothing is worked out twice
     people = F.filter(F.transform("pii_first", lambda e: F.struct(e.alias("e"), named(e).alias("kind"))), lambda x: x.kind.isNotNull())
-    d = d.withColumn("pii_names", F.flatten(F.transform(people, lambda x: _names(x.e, x.kind))) if kinds else F.lit(None).cast("array<struct<e: string, kind: string>>"))
+    d = d.withColumn("pii_names", F.flatten(F.transform(people, lambda x: F.transform(F.filter(_names(x.e, x.kind), lambda n: ~n.e.rlike(INITIAL)), lambda n: F.struct(bare(n.e).alias("e"), n.kind.alias("kind"))))) if kinds else F.lit(None).cast("array<struct<e: string, kind: string>>"))
     some = F.size("pii_names") > 0
     alone = F.concat(every, F.lit(r"|(?<!\p{L})(?:"), F.array_join(F.array_distinct(F.transform("pii_names", lambda n: n.e)), "|"), F.lit(r")(?!\p{L})"))
     d = d.withColumn("pii_pattern", F.when(some, alone))
@@ -319,9 +365,15 @@ def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", patterns:
     return d.select(*out, F.greatest(F.coalesce(F.size(real), F.lit(0)), F.lit(0)).cast("long").alias("pii_count"), F.coalesce(types, F.lit("")).alias("pii_types"))
 
 
+KEY = "spark.kerbflow.surrogateKey"
+
+
 def surrogate_key(spark: SparkSession) -> str:
-    """The session's secret, spark.kerbflow.surrogateKey; runs without one (tests, benches) share a public one."""
-    return spark.conf.get("spark.kerbflow.surrogateKey", None) or "no secret"
+    """The session's secret, spark.kerbflow.surrogateKey. A session that sets none gets a random one, which it keeps: its
+    surrogates agree with each other, and nobody can work them out again, nor compare them with another session's."""
+    if not spark.conf.get(KEY, None):
+        spark.conf.set(KEY, secrets.token_hex(32))
+    return spark.conf.get(KEY)
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,8 @@ WINDOW = 5
 #: (least, most) characters per token; most byte-fallback share; least normalised token entropy. By language, then
 #: by script of most letters, then any. Lower limits and entropy of the four languages lie beside the clean documents of
 #: sf0.1 (0.1st percentile of characters per token 1.9-2.3 by language, least entropy 0.45), whose prose is invented:
-#: real prose has longer tokens, so upper limits are wider. The fallback limit counts LEAST_TOKENS tokens at least, so
-#: that one odd character does not reject a short text; the other limits hold for every text.
+#: real prose has longer tokens, so upper limits are wider. ODD byte-fallback tokens are free in any text, so that one odd
+#: character does not reject a short one; the other limits hold for every text.
 BANDS = {
     "en": (2.2, 12.0, 0.10, 0.42),
     "de": (2.2, 12.0, 0.20, 0.42),
@@ -31,9 +31,9 @@ BANDS = {
     "cjk": (0.3, 4.0, 0.95, 0.25),
     "any": (0.3, 12.0, 0.95, 0.25),
 }
-LEAST_TOKENS = 50
-LONG_RUN = 1 << 16
-_LONG_RUN = re.compile(r"\s{%d}" % LONG_RUN)
+ODD = 5
+#: White space as the pattern of the vocabulary has it; runs of so many characters are encoded apart (Fertility.tokens).
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{256,}")
 SCRIPTS = ("latin", "greek", "cyrillic", "cjk", "any")
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -84,9 +84,19 @@ class Fertility:
             except UnicodeDecodeError:
                 self.partial[rank] = True
 
+    def tokens(self, text: str) -> np.ndarray:
+        """Token ids of a whole text. Matching a run of white space takes time by its square, so what the pattern makes of a
+        long one is given to the encoder as it is: all of it at the end of a text, else all but its last character."""
+        parts, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            parts += [self.encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()), self.encoding._encode_single_piece(text[run.start() : end])]
+            at = end
+        return np.concatenate([*parts, self.encoding.encode_to_numpy(text[at:], disallowed_special=())]).astype(np.int64)
+
     def __call__(self, text: str) -> tuple[int, int, float]:
         """Tokens, tokens that are no whole characters, entropy in bits over its greatest value for as many tokens."""
-        ids = np.concatenate([self.encoding.encode_to_numpy(t, disallowed_special=()) for t in self.pieces(text)])
+        ids = self.tokens(text)
         n = len(ids)
         if n < 2:
             return n, int(self.partial[ids].sum()), 1.0
@@ -95,13 +105,6 @@ class Fertility:
         return n, int(self.partial[ids].sum()), float(-(c * np.log2(c)).sum() / np.log2(n)) + 0.0
 
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text, cut inside white space of over LONG_RUN characters, which the encoder cannot match in one piece."""
-        cuts = [m.end() for m in _LONG_RUN.finditer(text)] if len(text) >= LONG_RUN else []
-        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-
-
 def band(lang: str | None, script: str) -> tuple[float, float, float, float]:
     return BANDS.get(lang or "") or BANDS[script]
 
@@ -127,7 +130,7 @@ def _measure(ranks: str, text_col: str, lang_col: str | None, names: list[str]):
             per, share = chars / np.maximum(tokens, 1), partial / np.maximum(tokens, 1)
             langs = batch.column(batch.schema.get_field_index(lang_col)).to_pylist() if lang_col else [None] * n
             low, high, most, least = np.array([band(x, SCRIPTS[s]) for x, s in zip(langs, scripts)]).reshape(-1, 4).T
-            odd = (per < low) | (per > high) | (partial > most * np.maximum(tokens, LEAST_TOKENS)) | (entropy < least)
+            odd = (per < low) | (per > high) | (partial > most * tokens + ODD) | (entropy < least)
             failed = (n_words < 10) | (100 * n_repeat > 20 * n_words)
             made = [n_words, chars - blanks, symbols, dup, n_repeat, failed, ~failed & ~odd, tokens, per, share, entropy]
             yield pa.record_batch(list(batch.columns) + [pa.array(x) for x in made], names)
@@ -142,8 +145,8 @@ def quality_rules(docs: DataFrame, ranks: str, *, text_col: str = "text", lang_c
     """docs with the measures above, each prefixed q_, of every whole text.
 
     Null and empty texts have no words, fail the base rule and are not kept. An unknown or null language takes the
-    band of the script of most letters, a text without letters the band "any". White space of over LONG_RUN characters is
-    encoded in pieces of that length. Repeated rows are measured alike; other columns pass through.
+    band of the script of most letters, a text without letters the band "any". Repeated rows are
+    measured alike; other columns pass through.
     """
     from pyspark.sql.types import StructType
 

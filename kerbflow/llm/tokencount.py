@@ -17,8 +17,9 @@ LIMIT = 512
 #: Characters whose class (letter, number, space, other) has been the same in every Unicode version since 6.0:
 #: for texts of these alone the rank file gives the library's own counts, several times as fast.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ȠΑ-Ρα-ωА-я‐-‧€]*")
-#: A run of white space of this many characters is too long for the rank file's own pattern matching.
-LONG_RUN = 1 << 16
+#: The rank file's own pattern matching takes time by the square of a run of white space, so texts with one of this many
+#: characters are left to the library; counts are the same either way.
+LONG_RUN = 1 << 8
 _LONG_RUN = re.compile(r"\s{%d}" % LONG_RUN)
 
 

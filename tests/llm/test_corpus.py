@@ -286,3 +286,36 @@ def test_pipeline(spark):
     assert "@mail" not in text and not re.search(r"\(\d{3}\) 555-", text)
     out = P.run(spark, sf)
     assert out.count() == P.STAGES[-1][1](spark, kept, sf).count() > 0 and "mix_copy" in out.columns
+
+
+#: Text, and the parts of it that must go.
+LEAKS = [
+    ("Anna Maria Schmidt lives", "Anna Maria Schmidt"), ("Prof Dr Adams asked", "Adams"), ("Dr. O'Brien said", "O'Brien Brien"), ("Mr. van der Berg came, Berg left", "Berg"), ("ask JANE SMITH", "JANE SMITH"),
+    ("John, Mary and Peter went", "John Mary Peter"), ("at fe80::1 now", "fe80::1"), ("call 020 7946 0958", "7946 0958"), ("John F. Kennedy and F. stayed", "John Kennedy"), ("Mrs Dr Ingrid von Hohen-Stein", "Ingrid Hohen Stein"), ("SARAH O'NEIL", "SARAH NEIL"), ("Maria de la Cruz", "Maria Cruz"), ("Mary's house", "Mary"),
+]
+
+
+def test_names_and_numbers_do_not_leak(docs):
+    got = {r.doc_id: r for r in pii.pseudonymise(docs([t for t, _ in LEAKS]), key="k").collect()}
+    for i, (text, gone) in enumerate(LEAKS):
+        assert got[i].pii_count and not any(re.search(rf"(?<!\w){re.escape(g)}(?!\w)", got[i].text) for g in gone.split()), got[i].text
+    assert got[1].text.startswith("Prof Dr ") and got[3].text.startswith("Mr. van der ") and got[4].text[4:].isupper() and re.fullmatch(r"call 0\d\d \d{4} \d{4}", got[7].text) and got[11].text.split()[1:3] == ["de", "la"]
+    words = got[3].text.replace(",", "").split()
+    assert words[3] == words[5]
+
+
+def test_clean_words_and_country_codes_stay(docs):
+    rows = ["Christian values, a Frank word, Annabel and std::map a::b1 at 12::30", "call +44 20 7946 0958 or +1 202 555 0143"]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(docs(rows), key="k").collect()}
+    assert got[0] == rows[0] and re.fullmatch(r"call \+44 \d\d \d{4} \d{4} or \+1 \d{3} \d{3} \d{4}", got[1]) and "7946" not in got[1]
+
+
+def test_a_session_without_a_key_gets_a_secret_one(spark):
+    before = spark.conf.get(pii.KEY, None)
+    spark.conf.unset(pii.KEY)
+    try:
+        assert len(pii.surrogate_key(spark)) == 64 and pii.surrogate_key(spark) == pii.surrogate_key(spark)
+    finally:
+        spark.conf.unset(pii.KEY)
+        if before:
+            spark.conf.set(pii.KEY, before)

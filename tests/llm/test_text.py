@@ -332,3 +332,33 @@ def test_hot_passage_is_found_in_all_documents(docs):
     rows = [(i, f"{i} start {i * 7} {passage} end {i * 13} {i}") for i in range(400)] + [(1000 + i, f"clean {i} " + " ".join(f"x{i}y{k}" for k in range(40))) for i in range(100)]
     found = chunks.repeated_passages(docs(rows)).collect()
     assert {r.doc_id for r in found} == set(range(400)) and {r.first_doc for r in found} == {0}
+
+
+def test_prose_behind_a_tag_ends_the_expression():
+    found = licenses.automaton()
+    cases = {
+        "Apache-2.0 and we also accept": ("apache-2.0", "spdx:apache-2.0", True), "MIT or see below": ("mit", "spdx:mit", True), "MIT with much love": ("mit", "spdx:mit", True),
+        "(MIT or x) and BSD-3-Clause. Thanks": ("(mit or x) and bsd-3-clause", "spdx-unknown,spdx:bsd-3-clause,spdx:mit", True), "python": ("python", "spdx-unknown", False),
+        "GPL-2.0-only WITH Classpath-exception-2.0": ("gpl-2.0-only with classpath-exception-2.0", "spdx:gpl-2.0-only", False), "mit/apache-2.0": ("mit", "spdx:mit", True),
+    }
+    for text, want in cases.items():
+        got = licenses.scan(f"SPDX-License-Identifier: {text}", found)
+        assert (got["expressions"][0], got["labels"], got["allowed"]) == want, text
+
+
+def test_white_space_takes_no_square_of_its_length():
+    import time
+
+    import public_tokenizers as P
+
+    from kerbflow.llm import quality, tokencount
+
+    fertility = quality.Fertility(P.path("byte_bpe_multi_50k.tiktoken"))
+    count = tokencount.Counter(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"))
+    start = time.time()
+    for n in (60_000, 65_535, 300_000):
+        assert len(fertility.tokens(("a" + " " * n) * 5)) > 5 and count(("a" + " " * n) * 5) > 5
+    assert time.time() - start < 10
+    for gap in (" " * 255, " " * 256, "\n" * 300, " \t" * 200, " " * 260, "\x1c" * 300, "\xa0" * 256 + " "):
+        for text in (f"a{gap}b", f"a{gap}", f"{gap}b", f"{gap}!{gap}7{gap}", gap, f"a {gap}\n b"):
+            assert fertility.tokens(text).tolist() == fertility.encoding.encode_ordinary(text), repr(text)
