@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalar as S
 from ..operators import ordered as O
-from ..operators import motion, place, robust, similarity, spatial, tracking
+from ..operators import motion, place, robust, similarity, spatial, synthetic, tracking
 from ..operators.graph import components as connected
 from ..scratch import Workspace
-from .fixtures import ctes, table
+from ..sources import documents, images, sinks
+from .fixtures import TABLES, ctes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,7 +36,7 @@ def query(name: str, tables: str = "", oracle: str | None = None):
         names = tables.split()
         QUERIES[name] = lambda spark, sf_dir: f(spark, {t: table(spark, sf_dir, t) for t in names})
         if oracle:
-            fixtures = [t for t in names if t not in ("events", "lineitem", "orders", "customer", "part", "embeddings")]
+            fixtures = [t for t in names if t not in TABLES]
             body = oracle.strip()
             first = ctes(*fixtures) if fixtures else ""
             if body.startswith("with recursive "):
@@ -626,7 +627,6 @@ def bootstrap_ci(spark, t):
 
 shared("tallies", "detections", "select color, cls, count(*) n, count(case when side = 'left' then 1 end) n_left, min(bh) low, max(bh) high, median(bh) mid from {detections} group by color, cls")
 shared("survey_counts", "survey", "select vid, count(*) samples, max(kerb) most, median(kerb) mid, count(case when kerb >= 3 then 1 end) hot from {survey} group by vid")
-shared("median_rgb", "", "select p_size, cast(floor(coalesce(median(p_partkey * 37 % 256), 110)) as int) r, cast(floor(coalesce(median(p_partkey * 73 % 256), 115)) as int) b from {part} group by p_size", "part")
 shared("bounds", "anchors", "select zone, min(lat) south, max(lat) north, min(lon) west, max(lon) east, count(*) n from {anchors} group by zone")
 shared("motion_percentile", "odometry", "select vid, round(percentile_cont(0.8) within group (order by mag), 6) p80 from {odometry} group by vid")
 shared("top_n_per_zone", "anchors", "select zone, anchor from (select zone, anchor, row_number() over (partition by zone order by lat desc, anchor) k from {anchors}) t where k <= 2")
@@ -634,10 +634,101 @@ shared("union_sides", "detections", "select ord, side from {detections} where si
 shared("distinct_frames", "detections", "select distinct segment, frame from {detections}")
 
 
+# --- replay
+_U = lambda k: f"((('0x' || substr(md5(id || ':7:{k}'), 1, 13))::bigint + 0.5e0) / 4503599627370496e0)"
+_NOISE = lambda k: f"sqrt(-2e0 * ln({_U(2 * k)})) * cos(2e0 * pi() * {_U(2 * k + 1)}) * 1.2e0"
+_SECOND = f"""select * replace (case when {_U(100)} > 0.4 then color else ['black', 'white', 'red', 'silver', 'blue'][(floor({_U(102)} * 5) + 1)::int] end as color, ts + 2400 as ts,
+ lat + (case when {_U(100)} > 0.4 then 0 else ({_U(101)} * 2 - 1) * 30 end + {_NOISE(0)}) / 110540e0 as lat, lon + {_NOISE(1)} / (cos(radians(lat)) * 111320e0) as lon), {_U(100)} > 0.4 stayed from sightings"""
+
+
+@query("synthetic_pass", "sightings", f"select id, stayed, color, ts, round(lat, 8) lat, round(lon, 8) lon from ({_SECOND})")
+def synthetic_pass(spark, t):
+    """The street again after 40 minutes: two in five cars replaced, every place noisy."""
+    return synthetic.second_pass(t["sightings"]).select("id", "stayed", "color", "ts", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
+
+
+@query("synthetic_overstay", "sightings", f"with two as ({_SECOND}), " + _MATCH[5:].split("\nselect")[0].replace("join sightings b", "join two b").replace("a.pass = 1 and b.pass = 2", "a.pass = 1 and b.pass = 1") + """
+select count(*) n_found, count(case when a_id = b_id and stayed then 1 end) n_true, (select count(*) from two where pass = 1 and stayed) n_stayed from m join two on two.id = m.b_id where ra = 1 and rb = 1 and gap_s >= 1200""")
+def synthetic_overstay(spark, t):
+    """Loiterers found again in the synthetic pass, and how many there are."""
+    first = t["sightings"].where("pass = 1")
+    second = synthetic.second_pass(first)
+    found = spatial.overstay(first, second, 1200.0).join(second.select(F.col("id").alias("b_id"), "stayed"), "b_id")
+    counts = found.agg(F.count("*").alias("n_found"), F.count_if((F.col("a_id") == F.col("b_id")) & F.col("stayed")).alias("n_true"))
+    return counts.crossJoin(second.agg(F.count_if("stayed").alias("n_stayed")))  # one row each
+
+
+# --- pixels: the bytes of a page are a frame of 32 pixels a row, or a grey frame
+@query("median_rgb", "pages", """with f as (select page_id, hex(encode(html)) h, floor(strlen(html) / 96e0)::int rows, page_id % 8 l, least(20 + page_id % 15, 32) - page_id % 8 w, page_id % 5 t from pages where html is not null),
+g as (select *, greatest(rows - page_id % 3 - t, 0) hh from f),
+i as (select page_id, h, (l + floor(w * 0.2))::int x0, (l + floor(w * 0.8))::int x1, (t + floor(hh * 0.25))::int y0, (t + floor(hh * 0.75))::int y1 from g),
+p as (select page_id, ((y * 32 + x) * 3 * 2 + 1)::int k, h from (select *, unnest(range(y0, y1)) y from i), unnest(range(x0, x1)) u(x)),
+v as (select page_id, ('0x' || substr(h, k, 2))::int r, ('0x' || substr(h, k + 2, 2))::int g, ('0x' || substr(h, k + 4, 2))::int b from p),
+m as (select page_id, floor(median(r))::int r, floor(median(g))::int g, floor(median(b))::int b from v group by page_id)
+select pages.page_id box, coalesce(r, 110) r, coalesce(g, 112) g, coalesce(b, 115) b from pages left join m using (page_id)""")
+def median_rgb(spark, t):
+    """Dominant colour of a box in every frame, each frame in two strips."""
+    p = t["pages"].selectExpr("page_id frame", "cast(html as binary) content", "cast(octet_length(html) div 96 as int) height").where("content is not null")
+    cut = F.floor(F.col("height") / 2).cast("int")
+    strips = p.withColumn("part", F.explode(F.array(F.struct(F.lit(0).alias("start"), cut.alias("n")), F.struct(cut.alias("start"), (F.col("height") - cut).alias("n")))))
+    strips = strips.select("frame", "part.start", F.lit(32).alias("width"), "height", F.substring("content", F.col("part.start") * 96 + 1, F.col("part.n") * 96).alias("content"))
+    boxes = t["pages"].selectExpr("page_id box", "page_id frame", "page_id % 8 * 1e0 x1", "page_id % 5 * 1e0 y1", "20e0 + page_id % 15 x2", "coalesce(octet_length(html) div 96, 0) - page_id % 3 * 1e0 y2")
+    return images.dominant_rgb(strips, boxes)
+
+
+_TAP = lambda y, x: f"('0x' || substr(h, 2 * (({y}) * 128 + {x}) + 1, 2))::int"
+
+
+@query("frame_descriptors", "pages", f"""with f as (select page_id t, hex(encode(repeat(html, (9216 // strlen(html) + 1)::int))) h from pages where strlen(html) > 0),
+g as (select t, h, i, j, floor(2.75e0 * i + 0.875e0)::int y, 2.75e0 * i + 0.875e0 - floor(2.75e0 * i + 0.875e0) fy, 4 * j + 1 x from f, unnest(range(0, 16)) a(i), unnest(range(0, 32)) b(j)),
+d as (select t, (i * 32 + j + 1)::int k, round_even((1 - fy) * ({_TAP('y', 'x')} + {_TAP('y', 'x + 1')}) / 2e0 + fy * ({_TAP('least(y + 1, 43)', 'x')} + {_TAP('least(y + 1, 43)', 'x + 1')}) / 2e0, 0) v from g),
+c as (select t, k, v - avg(v) over (partition by t) v from d), n as (select t, k, v / (sqrt(sum(v * v) over (partition by t)) + 0.000001e0) v from c)
+select t, count(*) n, round(max(case when k = 1 then v end), 5) first, round(max(case when k = 512 then v end), 5) last, round(sum(v * k), 3) turned from n group by t""")
+def frame_descriptors(spark, t):
+    """Descriptors of grey frames: the upper part of each, resampled, centred and brought to length one."""
+    raw = t["pages"].where("octet_length(html) > 0").selectExpr("page_id t", "substring(cast(repeat(html, cast(9216 div octet_length(html) + 1 as int)) as binary), 1, 9216) content")
+    d = images.descriptors(raw)
+    turned = F.aggregate(F.transform("vec", lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, b: a + b)
+    return d.select("t", F.size("vec").cast("long").alias("n"), F.round(F.col("vec")[0], 5).alias("first"), F.round(F.col("vec")[511], 5).alias("last"), F.round(turned, 3).alias("turned"))
+
+
 # --- export text
-_WKT = "'POLYGON ((' || round(alon, 5) || ' ' || round(alat, 5) || ', ' || round(blon, 5) || ' ' || round(blat, 5) || '))'"
-_PLACE = "'<Placemark><name>' || replace(replace(street, '&', '&amp;'), '<', '&lt;') || '</name><Point><coordinates>' || cast(way as varchar(9)) || ',' || cast(idx as varchar(9)) || ',0</coordinates></Point></Placemark>'"
-_GEO = "'{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"Point\",\"coordinates\":[' || cast(way as varchar(9)) || ',' || cast(idx as varchar(9)) || ']}},\"properties\":{{\"street\":\"' || street || '\"}}}}'"
-shared("kml_placemark", "segments", f"select way, idx, {_PLACE} kml from {{segments}}")
-shared("geojson_features", "segments", f"select way, idx, {_GEO} feature from {{segments}}")
-shared("wkt_csv", "segments", "select way, idx, 'LINESTRING (' || cast(way as varchar(9)) || ' ' || cast(idx as varchar(9)) || ', ' || cast(way + 1 as varchar(9)) || ' ' || cast(idx + 1 as varchar(9)) || ')' wkt, cast(floor((alat + blat) * 5000000e0) as bigint) mid_lat from {segments}")
+_LON = lambda k: f"alon + c{k}x / (cos(radians(alat)) * 111320e0)"
+_LAT = lambda k: f"alat + c{k}y / 110540e0"
+_RING = (0, 1, 2, 3, 0)
+_TITLE = "'zone ' || zone || ' · ' || street || ' (' || side || ')'"
+
+
+def _rings(t) -> DataFrame:
+    return spatial.box_rings(_boxes(t))
+
+
+@query("kml_placemark", "anchors segments", _BOXES + f""" select way, idx, side, '<Placemark><name>' || replace(replace(replace({_TITLE}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</name><description><![CDATA[<b>spaces</b>: ' || {S.spaces('(len_m - 15.2e0)')} || ']]></description><styleUrl>#box</styleUrl><Polygon><outerBoundaryIs><LinearRing><coordinates>' ||
+ {" || ' ' || ".join(f"printf('%.7f,%.7f,0', {_LON(k)}, {_LAT(k)})" for k in _RING)} || '</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>' kml from zb""")
+def kml_placemark(spark, t):
+    title = F.concat(F.lit("zone "), "zone", F.lit(" · "), "street", F.lit(" ("), "side", F.lit(")"))
+    return _rings(t).select("way", "idx", "side", sinks.polygon_placemark(title, F.col("ring"), {"spaces": F.col("spaces")}, "box").alias("kml"))
+
+
+@query("geojson_features", "anchors segments", _BOXES + f""" select way, idx, side, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' || {" || ',' || ".join(f"'[' || round({_LON(k)}, 6)::varchar || ',' || round({_LAT(k)}, 6)::varchar || ']'" for k in _RING)} ||
+ ']]}},"properties":{{"zone":"' || zone || '","est_spaces":' || {S.spaces('(len_m - 15.2e0)')} || '}}}}' feature from zb""")
+def geojson_features(spark, t):
+    ring = F.transform("ring", lambda p: F.struct(F.round(p.lon, 6).alias("lon"), F.round(p.lat, 6).alias("lat")))
+    return _rings(t).select("way", "idx", "side", sinks.polygon_feature(ring, zone=F.col("zone"), est_spaces=F.col("spaces")).alias("feature"))
+
+
+@query("wkt_csv", "anchors segments", _BOXES + f""" select way, idx, side, {_TITLE} || ',"POLYGON((' || {" || ', ' || ".join(f"printf('%.7f %.7f', {_LON(k)}, {_LAT(k)})" for k in _RING)} || '))"' line from zb""")
+def wkt_csv(spark, t):
+    title = F.concat(F.lit("zone "), "zone", F.lit(" · "), "street", F.lit(" ("), "side", F.lit(")"))
+    return _rings(t).select("way", "idx", "side", documents.csv_line(title, sinks.wkt(F.col("ring"))).alias("line"))
+
+
+@query("export_documents", "anchors segments", _BOXES + f" select way || ':' || idx || ':' || side box_id, zone, {S.spaces('(len_m - 15.2e0)')} est_spaces, round({_LON(2)}, 6) lon, round({_LAT(2)}, 6) lat from zb")
+def export_documents(spark, t):
+    """Zone boxes written as one FeatureCollection beside KML and CSV, and read back."""
+    work = Workspace(spark, "export")
+    files = documents.write_boxes(_rings(t), f"{work.path}/lanes")
+    kind = "features array<struct<geometry: struct<coordinates: array<array<array<double>>>>, properties: struct<box_id: string, zone: string, est_spaces: bigint>>>"
+    rows = spark.read.schema(kind).option("multiLine", True).json(files["geojson"]).select(F.explode("features").alias("f"))
+    corner = lambda k: F.round(F.col("f.geometry.coordinates")[0][2][k], 6)
+    return rows.select("f.properties.*", corner(0).alias("lon"), corner(1).alias("lat"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "pages")
 
 SIGHTINGS = """select event_id id, cast(event_id % 2 + 1 as int) pass, cast(floor(event_id / 200e0) as bigint) street,
  25e0 + floor(event_id / 200e0) * 0.005e0 + ((user_id % 50) * 6e0 + ((event_id * 7919) % 1000) / 250e0) / 110540e0 lat,

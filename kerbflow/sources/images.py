@@ -69,11 +69,25 @@ def dominant_rgb(strips: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def read_grey(spark: SparkSession, path: str, size: int = GREY_W * GREY_H) -> DataFrame:
-    """(t, content) of raw frames of ``size`` bytes each, numbered within a file; files are split between frames, so one long
-    recording is read by many tasks. A rest of less than a frame is left out."""
-    conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(size)}
-    raw = spark.sparkContext.newAPIHadoopFile(path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
-    return spark.createDataFrame(raw.map(lambda kv: (kv[0], bytearray(kv[1]))), "t long, content binary")
+    """(t, content) of raw frames of ``size`` bytes each, numbered within a file of the path (a file, a folder or a pattern).
+
+    Files are split between frames, so one long recording is read by many tasks. A file that ends inside a frame cannot be
+    split (one task reads it, 2 GB at most); what is left of its last frame is left out.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [f for found in fs.globStatus(at) for f in (fs.listStatus(found.getPath()) if found.isDirectory() else [found]) if f.getLen() >= size]
+    even, cut = ([f.getPath().toString() for f in files if (f.getLen() % size == 0) is whole] for whole in (True, False))
+    kind = "t long, content binary"
+    out = spark.createDataFrame([], kind)
+    if even:
+        conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(size)}
+        raw = spark.sparkContext.newAPIHadoopFile(",".join(even), "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+        out = out.union(spark.createDataFrame(raw.map(lambda kv: (kv[0], bytearray(kv[1]))), kind))
+    if cut:
+        rows = spark.read.format("binaryFile").load(cut).select("content", F.explode(F.sequence(F.lit(0), (F.length("content") / size).cast("int") - 1)).alias("t"))
+        out = out.union(rows.select(F.col("t").cast("long"), F.substring("content", F.col("t") * size + 1, F.lit(size))))
+    return out
 
 
 def _weights(source: int, target: int) -> np.ndarray:
