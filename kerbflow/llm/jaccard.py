@@ -8,7 +8,8 @@ Links are wanted as components, so copies are never paired with each other: equa
 class, and each token's bucket is compared with one class only, that in the middle of its group, so a group of near
 copies becomes one component by as many links as it has members. Buckets that still span several components are
 compared pair by pair inside the join, by bounds and sketches: small ones at once, large ones after further rounds with
-other picks. No link between different components is ever skipped.
+other picks and then part by part, in as many tasks as they have pairs of parts. No link between different components is
+ever skipped.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ MARKS = 1 << 27
 #: ROUNDS rounds and while these leave a quarter less to compare.
 LARGE = 32
 ROUNDS = 4
+#: Members of a bucket that are compared with so many others in one place: a larger bucket is dealt to parts, and each two of its
+#: parts meet under a key of their own.
+PART = 512
 
 
 def _frequent(k: int, column: str):
@@ -211,13 +215,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         members, large, left = bucket.agg(F.count("*"), F.count_if("large"), F.sum(F.expr("if(large, c * (c - 1) div 2, 0)"))).first()
         if not members:
             break
-        places = work.table(places.join(bucket.select("token", "large"), "token"), f"places-{step}")
+        places = work.table(places.join(bucket.select("token", "large", "c"), "token"), f"places-{step}")
         work.drop(f"places-{step - 1}")
         if not large or step == ROUNDS or (before and 4 * left > 3 * before):
             join.links_of(join.all_pairs(places.drop("large")), "rest")
             break
         before = left
-        some, places = places.where("not large").drop("large"), places.where("large").drop("large")
+        some, places = places.where("not large").drop("large"), places.where("large").drop("large", "c")
         join.links_of(join.all_pairs(some).union(join.with_picks(places, step)).distinct(), f"picks-{step}")
     comp = join.comp
     # the least id of a component from its classes, so that rows are joined once, by class
@@ -279,12 +283,20 @@ class _Join:
         return self._ordered(pairs.where(f"x.cls <> y.cls and x.comp <> y.comp and {_reachable('x', 'y', self.num, self.den)}"))
 
     def all_pairs(self, places: DataFrame) -> DataFrame:
-        """Pairs of each bucket's members in different components; what the sketches tell apart never becomes a row."""
+        """Pairs of each bucket's members in different components; what the sketches tell apart never becomes a row.
+
+        places also have c, the size of their bucket. A bucket of over PART members is no key of the join: its parts are,
+        two by two, so its comparisons spread over tasks.
+        """
         num, den = self.num, self.den
         mine = self.placed(places).join(self.first.select("cls", "sketch"), "cls")
         most = f"x.n + y.n - 2 * (({num} * (x.n + y.n) + {num + den - 1}) div {num + den})"
-        could = f"x.cls < y.cls and x.comp <> y.comp and {_reachable('x', 'y', num, den)} and {_differing('x.sketch', 'y.sketch')} <= {most}"
-        return self._ordered(mine.alias("x").join(mine.alias("y"), F.expr(f"x.token = y.token and {could}")))
+        could = f"(x.part < x.other or x.cls < y.cls) and x.comp <> y.comp and {_reachable('x', 'y', num, den)} and {_differing('x.sketch', 'y.sketch')} <= {most}"
+        parts = F.ceil(F.col("c") / PART).cast("int")
+        mine = mine.withColumn("own", F.pmod(F.xxhash64("cls", F.lit(5)), parts).cast("int"))
+        left = mine.select("*", F.col("own").alias("part"), F.explode(F.sequence(F.col("own"), parts - 1)).alias("other"))
+        right = mine.select("*", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("part"), F.col("own").alias("other"))
+        return self._ordered(left.alias("x").join(right.alias("y"), F.expr(f"x.token = y.token and x.part = y.part and x.other = y.other and {could}")))
 
     def _ordered(self, pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(*(F.col(f"{t}.{c}").alias(n) for t, c, n in (("x", "cls", "a"), ("y", "cls", "b"), ("x", "n", "na"), ("y", "n", "nb"))))

@@ -114,6 +114,26 @@ def test_near_misses_and_dense_groups_at_the_threshold(docs, k, num, den, edits)
     assert got == want and len({c for _, c in want.values()}) > 20
 
 
+@pytest.mark.parametrize("large, part", [(4, 8), (300, 8)])
+def test_parts_of_large_buckets_lose_no_link(docs, monkeypatch, large, part):
+    from kerbflow.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "PART", part)
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(110)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for at in rng.sample(range(len(w)), (1, 2, 3, 4)[i % 4]):
+            w[at] = word()
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(rows), k=3, num=9, den=10).collect()}
+    assert got == brute_components(rows, 3, 9, 10)
+
+
 def test_components_of_nothing_and_null_ids(docs):
     assert jaccard_components(docs([])).count() == 0
     got = jaccard_components(docs([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")])).collect()
