@@ -36,16 +36,17 @@ def with_cells(df: DataFrame, size_m: float | Column, lat: str = "lat", lon: str
     return df.withColumns({"_row": row, "_col": F.floor(F.col(lon) * _scale(row, size))})
 
 
-def _cells_near(lat: Column, lon: Column, size: Column) -> Column:
-    """Cells within size of a point: three rows of cells, in each the columns that the span of longitude touches."""
-    span = size / M_LON / F.cos(F.radians(F.least(F.abs(lat), F.lit(89.0))))
+def _cells_near(lat: Column, lon: Column, size: Column, rows: int = 1) -> Column:
+    """Cells within ``rows`` times size of a point: so many rows to either side, in each the columns that the span of longitude
+    touches."""
+    span = size * rows / M_LON / F.cos(F.radians(F.least(F.abs(lat), F.lit(89.0))))
 
     def columns(k: Column) -> Column:
         row = F.floor(lat * (F.lit(M_LAT) / size)) + k
         scale = _scale(row, size)
         return F.transform(F.sequence(F.floor((lon - span) * scale), F.floor((lon + span) * scale)), lambda c: F.struct(row.alias("_row"), c.alias("_col")))
 
-    return F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), columns))
+    return F.flatten(F.transform(F.array(*map(F.lit, range(-rows, rows + 1))), columns))
 
 
 def near_cells(df: DataFrame, size_m: float | Column, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -53,6 +54,25 @@ def near_cells(df: DataFrame, size_m: float | Column, lat: str = "lat", lon: str
     return df.select("*", F.inline(_cells_near(F.col(lat), F.col(lon), _lit(size_m))))
 
 
+def linked_points(points: DataFrame, key: str, group: str, link_m: float, work: Workspace) -> DataFrame:
+    """(key, comp): single-linkage pieces, within a group, of points(key, group, lat, lon) under link_m; comp is the least key of a piece.
+
+    Points of one group in a cell whose diagonal is shorter than link_m are linked for certain, so such a cell is one node: only
+    points of different cells nearby are compared, and all that leaves that join is one row per pair of cells.
+    """
+    from .graph import components
+
+    size = link_m / 1.5
+    at = work.table(with_cells(points.select(key, group, "lat", "lon"), size), "cells")
+    nodes = at.groupBy(group, "_row", "_col").agg(F.min(key).alias("_node"))  # a cell's node is its least key
+    left = at.join(nodes, [group, "_row", "_col"]).select(group, "_row", "_col", "_node", "lat", "lon")
+    right = left.select(group, F.col("_node").alias("_other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.inline(_cells_near(F.col("lat"), F.col("lon"), F.lit(float(size)), 2)))
+    pairs = left.join(right, [group, "_row", "_col"]).where("_node <> _other").where(F.expr(S.metres("lat", "lon", "lat2", "lon2")) < link_m)
+    found = components(pairs.select(F.col("_node").alias("u"), F.col("_other").alias("v")).distinct(), work)
+    of = nodes.join(found, nodes["_node"] == found["node"], "left").select(group, "_row", "_col", F.coalesce("comp", "_node").alias("comp"))
+    return at.join(of, [group, "_row", "_col"]).select(key, "comp")
+
+
 def segment_cells(df: DataFrame, size_m: float) -> DataFrame:
     """A row per cell within 3/4 of size_m of each segment (alat, alon)-(blat, blon), however long: the cells near points
     half a size apart along it, each cell once."""

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalar as S
 from ..operators import ordered as O
-from ..operators import motion, place, robust, similarity, spatial, synthetic, tracking
-from ..operators.graph import components as connected
+from ..operators import motion, place, robust, similarity, spatial, survey as overhead, synthetic, tracking
 from ..scratch import Workspace
 from ..sources import documents, images, sinks
 from .fixtures import TABLES, ctes, table
@@ -551,6 +550,32 @@ def survey_cells(spark, t):
     return cells.agg(F.count("*").alias("n"), F.min("r").alias("r0"), F.max("c").alias("c1"))
 
 
+_RINGED = ", ".join(f"alon + c{k}x / (cos(radians(alat)) * 111320e0) l{k}, alat + c{k}y / 110540e0 b{k}" for k in range(4))
+_CELLS = f""", rb as (select way, idx, side, {_RINGED} from zb), ce as (select way, idx, side, (0e0 + l0 + l1 + l2 + l3) / 4 lon, (0e0 + b0 + b1 + b2 + b3) / 4 lat from rb),
+wc as (select trunc(lon / 0.0004e0)::bigint cell_x, trunc(lat / 0.0004e0)::bigint cell_y, min({{'way': way, 'idx': idx, 'side': side, 'lon': lon, 'lat': lat}}) f from ce group by 1, 2),
+wd as (select cell_x, cell_y, f.lon lon, f.lat lat from wc),
+we as (select *, floor({S.tile_x('(lon - 0.0004e0)', 20)})::bigint x0, floor({S.tile_y('(lat + 0.00032e0)', 20)})::bigint y0, floor({S.tile_x('(lon + 0.0004e0)', 20)})::bigint x1, floor({S.tile_y('(lat - 0.00032e0)', 20)})::bigint y1 from wd)"""
+
+
+@query("survey_mosaics", "anchors segments", _BOXES + _CELLS + f" select cell_x, cell_y, x0, y0, (x1 - x0 + 1) * 256 width, (y1 - y0 + 1) * 256 height, round({S.tile_lon('x0', 20)}, 8) west, round({S.tile_lat('(y1 + 1)', 20)}, 8) south from we")
+def survey_mosaics(spark, t):
+    """Work cells over the zone boxes with the whole tiles of their mosaics and the extent these really cover."""
+    return overhead.work_cells(spatial.box_rings(_boxes(t))).select("cell_x", "cell_y", "x0", "y0", "width", "height", F.round("west", 8).alias("west"), F.round("south", 8).alias("south"))
+
+
+@query("survey", "anchors segments", _BOXES + _CELLS + f""", de as (select cell_x * 1000000000 + cell_y * 1000 + k id, x0 + (k * 97 + abs(cell_x) * 31) % ((x1 - x0 + 1) * 256) / 256e0 x, y0 + (k * 61 + abs(cell_y) * 17) % ((y1 - y0 + 1) * 256) / 256e0 y from we, range(0, 40) r(k)),
+fixes as (select id, {S.tile_lon('x', 20)} lon, {S.tile_lat('y', 20)} lat from de), """ + _judged(1.0) + " select f.id, coalesce(verdict, 'outside') verdict, case when coalesce(verdict, 'outside') <> 'outside' then round(margin, 5) else 0 end margin, coalesce(case when verdict <> 'outside' then zone end, '') zone from fixes f left join j on j.id = f.id and k = 1")
+def survey(spark, t):
+    """Detections on every cell's mosaic, forty a cell, placed through its tiles and judged against all boxes."""
+    work = Workspace(spark, "survey")
+    boxes = work.table(spatial.box_rings(_boxes(t)), "boxes")
+    seen = overhead.work_cells(boxes).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    seen = seen.selectExpr("cell_x", "cell_y", "cell_x * 1000000000 + cell_y * 1000 + k id", "(k * 97 + abs(cell_x) * 31) % width px", "(k * 61 + abs(cell_y) * 17) % height py")
+    out = overhead.survey(boxes, seen, "id")
+    hit = F.col("verdict") != "outside"
+    return out.select("id", "verdict", F.when(hit, F.round("margin", 5)).otherwise(0.0).alias("margin"), F.when(hit, F.col("zone")).otherwise("").alias("zone"))
+
+
 _JUNCTIONS = "select node from (select node, count(*) + sum(case when idx in (0, last_idx) then 1 else 0 end) n from vertices group by node) where n > 1"
 
 
@@ -587,13 +612,8 @@ def nearest_face(spark, t):
 
 @query("components", "anchors", f"with recursive e as (select a.anchor u, b.anchor v from anchors a join anchors b on a.zone = b.zone and {S.metres('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 300), r as (select anchor, anchor comp from anchors union select r.anchor, e.v from r join e on e.u = r.comp) select anchor, min(comp) comp from r group by anchor")
 def components(spark, t, link_m: float = 300.0):
-    """Single-linkage pieces of each zone under link_m, by star steps over the links."""
-    a = t["anchors"]
-    left = spatial.with_cells(a, link_m)
-    right = spatial.near_cells(a.select(F.col("anchor").alias("v"), "zone", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), link_m, "lat2", "lon2")
-    edges = left.join(right, ["_row", "_col", "zone"]).where(F.expr(S.metres("lat", "lon", "lat2", "lon2")) < link_m).select(F.col("anchor").alias("u"), "v").where("u <> v")
-    found = connected(edges, Workspace(spark, "components"))
-    return a.select("anchor").join(found, a.anchor == found.node, "left").select("anchor", F.coalesce("comp", "anchor").alias("comp"))
+    """Single-linkage pieces of each zone under link_m."""
+    return spatial.linked_points(t["anchors"].select("anchor", "zone", "lat", "lon"), "anchor", "zone", link_m, Workspace(spark, "components"))
 
 
 # --- aggregates
