@@ -1,8 +1,10 @@
 """WARC archives with an external index merge.
 
 Writing tasks append gzip members to archives in the shared folder and spill their index entries as locally sorted
-runs. Ranges of the key (URL key, timestamp, record) are then merged independently: each range opens just the run
-blocks that reach into it and merges them with a loser tree, which gives globally ordered capture histories.
+runs. Passes of bounded fan-in merge groups of runs into longer ones until no key has more than FAN_IN of them; ranges of the
+key (URL key, timestamp, record) are then merged independently: each range opens just the run blocks that reach into it.
+Every merge is a loser tree over streams, so a task holds one block of each of its runs, and the ranges in their order
+are the globally ordered capture histories.
 """
 
 from __future__ import annotations
@@ -13,18 +15,25 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..scratch import Workspace
+from .skew import hot_keys, split_join
 
 ARCHIVE_BYTES = 256 << 20
 RUN_ENTRIES = 50_000
 BLOCK_ENTRIES = 1024
 RANGE_ENTRIES = 200_000
-#: Block keys looked at to place the range borders; only the balance of the ranges depends on it.
+#: Block keys looked at to place borders; only the balance of the ranges depends on it. There are fewer ranges than keys, so beyond some
+#: 4e9 entries ranges grow, which makes tasks longer, not larger.
 BORDER_SAMPLE = 20_000
+#: Runs that a merge opens (twice as many where pieces of runs meet), entries that a task of a merge pass has on average.
+FAN_IN = 64
+PASS_ENTRIES = 1 << 21
+OUT_ENTRIES = 4096
 DATE = "2024-01-01T00:00:00Z"
 
 ENTRY = pa.schema([("urlkey", pa.string()), ("ts", pa.string()), ("record", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string()), ("digest", pa.string())])
@@ -131,6 +140,16 @@ def _key(e: dict) -> tuple[str, str, str]:
     return e["urlkey"], e["ts"], e["record"]
 
 
+def _store_run(store, base: str, entries: Iterator[dict], block_entries: int) -> pa.RecordBatch:
+    """Writes ordered entries as a run and returns its blocks."""
+    path, made = f"{base}/run-{uuid.uuid4().hex}.arrow", []
+    with store.open_output_stream(path) as sink, pa.ipc.new_file(sink, ENTRY) as w:
+        while b := list(islice(entries, block_entries)):
+            w.write_batch(pa.RecordBatch.from_pylist(b, ENTRY))
+            made.append({"run": path, "block": len(made), "entries": len(b), "first_key": list(_key(b[0])), "last_key": list(_key(b[-1]))})
+    return pa.RecordBatch.from_pylist(made, BLOCK)
+
+
 def _write(root: str, block_entries: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(root)
@@ -139,14 +158,9 @@ def _write(root: str, block_entries: int):
 
         def spill() -> pa.RecordBatch:
             entries.sort(key=_key)
-            path = f"{base}/run-{uuid.uuid4().hex}.arrow"
-            blocks = [entries[i : i + block_entries] for i in range(0, len(entries), block_entries)]
-            with store.open_output_stream(path) as sink, pa.ipc.new_file(sink, ENTRY) as w:
-                for b in blocks:
-                    w.write_batch(pa.RecordBatch.from_pylist(b, ENTRY))
-            made = [{"run": path, "block": i, "entries": len(b), "first_key": list(_key(b[0])), "last_key": list(_key(b[-1]))} for i, b in enumerate(blocks)]
+            made = _store_run(store, base, iter(entries), block_entries)
             entries.clear()
-            return pa.RecordBatch.from_pylist(made, BLOCK)
+            return made
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -183,32 +197,58 @@ def _deal(borders: list[tuple]):
             first, last = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("first_key", "last_key"))
             hits = [(i, r) for i, (a, b) in enumerate(zip(first, last)) for r in range(bisect.bisect_right(borders, tuple(a)), bisect.bisect_right(borders, tuple(b)) + 1)]
             took = batch.take(pa.array([i for i, _ in hits], pa.int64()))
-            yield pa.record_batch([pa.array([r for _, r in hits], pa.int32()), took.column(0), took.column(1)], ["history_range", "run", "block"])
+            yield pa.record_batch([took.column(took.schema.get_field_index("lane")), pa.array([r for _, r in hits], pa.int32()), took.column(0), took.column(1)], ["lane", "part", "run", "block"])
+
+    return run
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, dict[str, list[int]]]]:
+    """(lane, part, blocks by run) of each stretch of rows with one lane and part."""
+    now, held = None, {}
+    for batch in batches:
+        for lane, part, path, block in zip(*(c.to_pylist() for c in batch.columns)):
+            if (lane, part) != now:
+                if held:
+                    yield *now, held
+                now, held = (lane, part), {}
+            held.setdefault(path, []).append(block)
+    if held:
+        yield *now, held
+
+
+def _merged(store, by_run: dict[str, list[int]], borders: list[tuple], part: int) -> Iterator[dict]:
+    """Entries of one range of some runs, in order; each run is read block by block."""
+    low, high = (borders[part - 1] if part else None), (borders[part] if part < len(borders) else None)
+
+    def read(path: str, which: list[int]) -> Iterator[dict]:
+        with store.open_input_file(path) as f:
+            reader = pa.ipc.open_file(f)
+            for b in sorted(which):
+                for e in reader.get_batch(b).to_pylist():
+                    if (low is None or _key(e) >= low) and (high is None or _key(e) < high):
+                        yield e
+
+    return iter(LoserTree([read(p, b) for p, b in sorted(by_run.items())], _key))
+
+
+def _pass(root: str, borders: list[tuple], block_entries: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = filesystem(root)
+        for lane, part, by_run in _cells(batches):
+            made = _store_run(store, base, _merged(store, by_run, borders, part), block_entries)
+            yield made.append_column("lane", pa.array([lane] * made.num_rows, pa.int64()))
 
     return run
 
 
 def _merge(root: str, borders: list[tuple]):
-    def run(blocks: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = filesystem(root)
-        at = blocks["history_range"][0].as_py()
-        low, high = (borders[at - 1] if at else None), (borders[at] if at < len(borders) else None)
-        by_run: dict[str, list[int]] = {}
-        for path, b in zip(blocks["run"].to_pylist(), blocks["block"].to_pylist()):
-            by_run.setdefault(path, []).append(b)
-
-        def read(path: str, which: list[int]) -> Iterator[dict]:
-            with store.open_input_file(path) as f:
-                reader = pa.ipc.open_file(f)
-                for b in sorted(which):
-                    for e in reader.get_batch(b).to_pylist():
-                        if (low is None or _key(e) >= low) and (high is None or _key(e) < high):
-                            yield e
-
-        merged = list(LoserTree([read(p, b) for p, b in sorted(by_run.items())], _key))
-        for i, e in enumerate(merged):
-            e["history_range"], e["history_seq"] = at, i
-        return pa.Table.from_pylist(merged, PLACED)
+        for _, part, by_run in _cells(batches):
+            entries, seq = _merged(store, by_run, borders, part), 0
+            while some := list(islice(entries, OUT_ENTRIES)):
+                yield pa.RecordBatch.from_pylist([e | {"history_range": part, "history_seq": seq + i} for i, e in enumerate(some)], PLACED)
+                seq += len(some)
 
     return run
 
@@ -256,19 +296,46 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     date = F.coalesce(F.date_format(F.col(date_col), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(DATE)) if date_col else F.lit(DATE)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), date.alias("date"), F.sha1(payload).alias("sha"))
-    same = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("sha", "keep")
-    tagged = rows.join(same, "sha", "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("keep"), F.col("keep"))).drop("keep")
+    same = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
+    same = Workspace(pages.sparkSession, "payloads").table(same, "same")
+    # a payload that many pages hold is dealt to many tasks
+    tagged = split_join(rows, same.select("sha", "keep"), "sha", hot_keys(same, "sha"), ["page_id", "url"], "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("keep"), F.col("keep"))).drop("keep")
     return tagged.mapInArrow(_write(root, block_entries), BLOCKS)
 
 
-def merge_index(blocks: DataFrame, root: str, range_entries: int = RANGE_ENTRIES) -> DataFrame:
-    """Globally ordered capture histories: by (history_range, history_seq) in order of URL key, timestamp and record."""
-    entries = blocks.agg(F.sum("entries")).first()[0] or 0
-    wanted = -(-entries // range_entries)
+def _borders(blocks: DataFrame, wanted: int) -> list[tuple]:
+    """At most wanted - 1 keys that part the entries about evenly."""
+    if wanted < 2:
+        return []
     keys = sorted(tuple(r[0]) for r in blocks.select("first_key").orderBy(F.xxhash64("run", "block")).limit(BORDER_SAMPLE).collect())
-    borders = sorted({keys[len(keys) * i // wanted] for i in range(1, wanted)})
-    dealt = blocks.select("run", "block", "first_key", "last_key").mapInArrow(_deal(borders), "history_range int, run string, block int")
-    return dealt.groupBy("history_range").applyInArrow(_merge(root, borders), HISTORY)
+    return sorted({keys[len(keys) * i // wanted] for i in range(1, wanted)}) if keys else []
+
+
+def _dealt(blocks: DataFrame, borders: list[tuple]) -> DataFrame:
+    """(lane, part, run, block), the rows of a lane and part beside each other in one task."""
+    dealt = blocks.select("run", "block", "first_key", "last_key", "lane").mapInArrow(_deal(borders), "lane long, part int, run string, block int")
+    return dealt.repartition("lane", "part").sortWithinPartitions("lane", "part", "run", "block")
+
+
+def merge_index(blocks: DataFrame, root: str, range_entries: int = RANGE_ENTRIES, fan_in: int = FAN_IN, pass_entries: int = PASS_ENTRIES, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """Globally ordered capture histories: by (history_range, history_seq) in order of URL key, timestamp and record.
+
+    A lane is a set of runs of which a key has one at most. While there are more than fan_in lanes, a pass merges each fan_in of them
+    into one, cut into pieces of about pass_entries entries, one task a piece. So no task opens more than about fan_in runs,
+    and an entry is written once more for each power of fan_in in the number of runs.
+    """
+    work = Workspace(blocks.sparkSession, "lanes")
+    entries, runs = blocks.agg(F.sum("entries"), F.countDistinct("run")).first()
+    numbered = blocks.select("run").distinct().withColumn("lane", F.row_number().over(Window.orderBy("run")).cast("long") - 1)  # a row a run
+    blocks = blocks.join(numbered, "run").select("run", "block", "entries", "first_key", "last_key", "lane")
+    lanes, step = runs, 0
+    while lanes > fan_in:
+        lanes, step = -(-lanes // fan_in), step + 1
+        borders = _borders(blocks, -(-entries // (lanes * pass_entries)))
+        next_lane = blocks.withColumn("lane", F.floor(F.col("lane") / fan_in).cast("long"))
+        blocks = work.table(_dealt(next_lane, borders).mapInArrow(_pass(root, borders, block_entries), BLOCKS + ", lane long"), f"pass-{step}")
+    borders = _borders(blocks, -(-(entries or 0) // range_entries))
+    return _dealt(blocks.withColumn("lane", F.lit(0).cast("long")), borders).mapInArrow(_merge(root, borders), HISTORY)
 
 
 def read_archives(history: DataFrame, root: str) -> DataFrame:

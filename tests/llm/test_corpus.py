@@ -176,11 +176,17 @@ def test_archives_round_trip(spark):
     rows = [(i, f"http://h{i % 7}.org/{i % 3}", t) for i, t in enumerate(["<p>é</p>", "", None, "\r\n\r\nx", "<p>é</p>"] * 40)] + [(None, None, "<p>é</p>"), (199, "http://z", "<p>é</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     work = Workspace(spark, "warc-test")
-    blocks = work.table(warc.write_archives(pages, work.path + "/a", block_entries=8), "blocks")
+    blocks = work.table(warc.write_archives(pages.repartition(11), work.path + "/a", block_entries=8), "blocks")
+    assert blocks.select("run").distinct().count() > 9
     history = work.table(warc.merge_index(blocks, work.path + "/a", range_entries=40), "history")
     order = [(r.urlkey, r.ts, r.record) for r in history.orderBy("history_range", "history_seq").collect()]
     assert order == sorted(order) and len(order) == len(rows) and history.select("history_range").distinct().count() > 1
     got = warc.read_archives(history, work.path + "/a").collect()
+    # many lanes: passes of fan-in 3, in pieces, give the same histories
+    for pass_entries in (25, 10**6):
+        again = work.table(warc.merge_index(blocks, work.path + "/a", range_entries=40, fan_in=3, pass_entries=pass_entries, block_entries=8), f"again-{pass_entries}")
+        rows_of = lambda h: [(r.urlkey, r.ts, r.record, r.file, r.offset) for r in h.orderBy("history_range", "history_seq").collect()]
+        assert sorted(rows_of(again)) == sorted(rows_of(history)) and [r[:3] for r in rows_of(again)] == order
     import base64
     import hashlib
 
