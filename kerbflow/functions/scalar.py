@@ -138,3 +138,49 @@ def signed_margin(corners: list[tuple[str, str]], x: str, y: str, ccw_only: bool
 
 def verdict(margin: str, sigma: str) -> str:
     return f"case when abs({margin}) <= {sigma} then 'ambiguous' when {margin} > 0 then 'inside' else 'outside' end"
+
+
+def dead_reckon(lat: str, lon: str, speed: str, course: str, seconds: str) -> tuple[str, str]:
+    """Latitude and longitude after so many seconds at a constant speed and course."""
+    n, e = f"{speed} * cos(radians({course})) * {seconds}", f"{speed} * sin(radians({course})) * {seconds}"
+    return f"({lat} + {n} / ({EARTH} * pi() / 180))", f"({lon} + {e} / ({EARTH} * pi() / 180 * cos(radians({lat}))))"
+
+
+def glance(bearing: str, lateral_m: float = 7.0) -> str:
+    """Metres ahead of the camera at which a car lies that a single view shows at ``bearing`` degrees to the left (negative), lateral_m
+    beside the course."""
+    return f"({float(lateral_m):g}e0 / tan(radians(-({bearing}))))"
+
+
+def glance_place(lat: str, lon: str, course: str, along: str, lateral_m: float = 7.0) -> tuple[str, str]:
+    """Latitude and longitude of such a car: ``along`` metres ahead, then lateral_m to the left, in the flat frame of the camera."""
+    n = f"({along} * cos(radians({course})) + {float(lateral_m):g}e0 * cos(radians({course} - 90)))"
+    e = f"({along} * sin(radians({course})) + {float(lateral_m):g}e0 * sin(radians({course} - 90)))"
+    return f"({lat} + {n} / 110540e0)", f"({lon} + {e} / (111320e0 * cos(radians({lat}))))"
+
+
+def forward(alat: str, alon: str, blat: str, blon: str, lat0: str) -> tuple[str, str]:
+    """East and north part of the unit vector from a to b, in the flat frame of latitude lat0; its left is (-north, east). Null where both
+    coincide."""
+    e, n = f"(({blon} - {alon}) * 111320e0 * cos(radians({lat0})))", f"(({blat} - {alat}) * 110540e0)"
+    size = f"nullif(sqrt({e} * {e} + {n} * {n}), 0)"
+    return f"({e} / {size})", f"({n} / {size})"
+
+
+def compass(east: str, north: str) -> str:
+    """Course of a vector, 0 to 360."""
+    return f"((degrees(atan2({east}, {north})) + 360e0) % 360)"
+
+
+def both_sigmas(along: str, across: str) -> str:
+    """One number for an ellipse's two sigmas."""
+    return f"sqrt({along} * {along} + {across} * {across})"
+
+
+def on_street(kind: str) -> str:
+    return f"(lower({kind}) = 'onstreet')"
+
+
+def span_m(south: str, north: str, west: str, east: str) -> tuple[str, str]:
+    """Metres from west to east, at the middle latitude, and from south to north."""
+    return f"(({east} - {west}) * 111320e0 * cos(radians(({south} + {north}) / 2)))", f"(({north} - {south}) * 110540e0)"

@@ -115,6 +115,21 @@ def presence(log: DataFrame, probes: DataFrame, gate: float = 2.0, window_s: flo
     return out.select("probe", "id", "distance")
 
 
+def nearest_first(hits: DataFrame, per: str = "probe") -> DataFrame:
+    """Hits of presence with ``rank`` within each probe: the nearest first, the smaller id of equals."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy("distance", "id")))
+
+
+def zone_extents(anchors: DataFrame, zone: str = "zone", kind: str | None = None) -> DataFrame:
+    """(zone, south, north, west, east, width_m, height_m, anchors[, on_street]) of the anchors of each zone; anchors without a place
+    count for none of it."""
+    known = anchors.where("lat is not null and lon is not null")
+    street = [F.bool_or(F.expr(S.on_street(kind))).alias("on_street")] if kind else []
+    box = known.groupBy(zone).agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.count("*").alias("anchors"), *street)
+    width, height = S.span_m("south", "north", "west", "east")
+    return box.withColumns({"width_m": F.expr(width), "height_m": F.expr(height)})
+
+
 def match(a: DataFrame, b: DataFrame, gate: float = 2.5, appearance: bool = True) -> DataFrame:
     """Mutual nearest pairs (a_id, b_id, cost, gap_s) with cost max(a to b, b to a) within the gate.
 

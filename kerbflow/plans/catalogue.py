@@ -58,7 +58,10 @@ shared("swatch_map", "boxes", f"select ord, {S.lookup('class_id', S.VEHICLES)} v
 shared("box_points", "boxes", "select ord, (x1 + x2) / 2 cx, (y1 + y2) / 2 cy, (x1 + x2) / 2 bottom_x, y2 bottom_y, x2 - x1 bw, y2 - y1 bh from {boxes}")
 shared("box_iou", "boxes", f"select a.ord a_ord, b.ord b_ord, round({S.iou('a', 'b')} + 0.0000000001e0, 6) iou from {{boxes}} a join {{boxes}} b on a.image = b.image and a.ord < b.ord")
 shared("heading", "segments", f"select way, idx, round({S.heading('alat', 'alon', 'blat', 'blon')}, 6) heading from {{segments}}")
-shared("dead_reckon", "anchors", "select anchor, round(lat + 5e0 * cos(radians(anchor % 360)) * 3e0 / (6378137e0 * pi() / 180), 6) lat, round(lon + 5e0 * sin(radians(anchor % 360)) * 3e0 / (6378137e0 * pi() / 180 * cos(radians(lat))), 6) lon, 3e0 t from {anchors}")
+_RECKON = S.dead_reckon("lat", "lon", "5e0", "(anchor % 360)", "3e0")
+shared("dead_reckon", "anchors", f"select anchor, round({_RECKON[0]}, 6) lat, round({_RECKON[1]}, 6) lon, 3e0 t from {{anchors}}")
+_UNIT = S.forward("alat", "alon", "blat", "blon", "alat")
+shared("unit_vectors", "segments", f"select way, idx, round({_UNIT[0]} + 0.0000000001e0, 6) east, round({_UNIT[1]} + 0.0000000001e0, 6) north, round({S.compass(*_UNIT)} + 0.0000000001e0, 4) course from {{segments}}")
 shared("timestamp_at", "", "select event_id, timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id % 1000) ts from {events}", "events")
 ORACLE["timestamp_at"] = "select event_id, timestamp '2024-01-01 00:00:00' + to_seconds(event_id % 1000) ts from events"
 shared("sighting_offset", "sightings", f"select id, round({S.along('s', 'lat + 0.00002e0', 'lon + 0.00001e0')}, 6) along, round({S.across('s', 'lat + 0.00002e0', 'lon + 0.00001e0')}, 6) across, round({S.mahalanobis('s', 'lat + 0.00002e0', 'lon + 0.00001e0')}, 6) distance from {{sightings}} s")
@@ -67,7 +70,8 @@ shared("pixel_to_lonlat", "anchors", f"select anchor, round({S.tile_lon(S.tile_x
 shared("confidence", "", f"select l_orderkey, count(*) n, {S.confidence('count(*)')} confidence from {{lineitem}} group by l_orderkey", "lineitem")
 shared("spaces", "segments", f"select way, idx, {S.spaces('greatest(' + S.metres('alat', 'alon', 'blat', 'blon') + ' - 15.2e0, 0e0)')} spaces from {{segments}}")
 shared("plausible", "ways", f"select way, {S.plausible('highway', 'lanes')} plausible from {{ways}}")
-shared("range_gate", "detections", "select ord, round(7e0 / tan(radians(-bearing)), 6) along from {detections} where bearing <= -22 and bh >= 90 and 7e0 / tan(radians(-bearing)) <= 45")
+_GLANCE = S.glance_place("25.77e0", "-80.19e0", "(ord % 360)", "along")
+shared("range_gate", "raw", f"select ord, round(along, 6) along, round({_GLANCE[0]}, 7) lat, round({_GLANCE[1]}, 7) lon from (select ord, {S.glance('bearing')} along from (select ord, bh, {S.bearing('cx')} bearing from {{raw}}) b where bearing <= -22 and bh >= 90) g where along <= 45")
 shared("sawtooth_sigma", "track", "select event_id, round(sqrt(power(0.25e0 * least(event_id % 100, 100 - event_id % 100), 2) + power(2.24e0 * (1 + event_id % 5), 2)), 6) sigma from {track}")
 shared("baseline_offset", "track", "select event_id, round(lat + (event_id % 101) / 100e0 * 0.001e0, 6) lat, round(lon - 4e0 / (111320e0 * cos(radians(lat))), 6) lon from {track}")
 shared("street_class", "ways", f"select way, coalesce({S.lookup('highway', {'primary': 'arterial', 'secondary': 'arterial', 'tertiary': 'collector', 'residential': 'residential'})}, 'other') class from {{ways}}")
@@ -649,6 +653,23 @@ shared("tallies", "detections", "select color, cls, count(*) n, count(case when
 shared("survey_counts", "survey", "select vid, count(*) samples, max(kerb) most, median(kerb) mid, count(case when kerb >= 3 then 1 end) hot from {survey} group by vid")
 shared("bounds", "anchors", "select zone, min(lat) south, max(lat) north, min(lon) west, max(lon) east, count(*) n from {anchors} group by zone")
 shared("motion_percentile", "odometry", "select vid, round(percentile_cont(0.8) within group (order by mag), 6) p80 from {odometry} group by vid")
+_SPAN = S.span_m("south", "north", "west", "east")
+
+
+@query("zone_extents", "anchors", f"select zone, round({_SPAN[0]}, 4) width_m, round({_SPAN[1]}, 4) height_m, n anchors, on_street from (select zone, min(lat) south, max(lat) north, min(lon) west, max(lon) east, count(*) n, bool_or(anchor % 50 = 7) on_street from anchors group by zone)")
+def zone_extents(spark, t):
+    """Extent of each zone in metres, and whether any of its anchors is on the street."""
+    out = spatial.zone_extents(t["anchors"].withColumn("kind", F.expr("if(anchor % 50 = 7, 'OnStreet', 'garage')")), "zone", "kind")
+    return out.select("zone", F.round("width_m", 4).alias("width_m"), F.round("height_m", 4).alias("height_m"), "anchors", "on_street")
+
+
+@query("presence_rank", "sightings", ORACLE["presence"].split(") select p.anchor", 1)[1].join(["select probe, id, row_number() over (partition by probe order by d, id) rank from (select p.anchor", ")"]).replace("p.anchor probe, s.id, round(", "p.anchor probe, s.id, (").replace(", 6) distance", ") d"))
+def presence_rank(spark, t):
+    """What stands near each probe, the nearest first."""
+    probes = t["sightings"].selectExpr("id probe", "lat + 0.00001e0 plat", "lon + 0.000005e0 plon", "ts pts")
+    return spatial.nearest_first(spatial.presence(t["sightings"], probes, 2.0, 600.0)).select("probe", "id", F.col("rank").cast("long").alias("rank"))
+
+
 shared("top_n_per_zone", "anchors", "select zone, anchor from (select zone, anchor, row_number() over (partition by zone order by lat desc, anchor) k from {anchors}) t where k <= 2")
 shared("union_sides", "detections", "select ord, side from {detections} where side = 'left' union all select ord, side from {detections} where side = 'right'")
 shared("distinct_frames", "detections", "select distinct segment, frame from {detections}")

@@ -51,6 +51,63 @@ def detect(frames: DataFrame, detector, schema: str) -> DataFrame:
     return frames.mapInPandas(run, schema)
 
 
+#: Side of a detector tile in pixels, share that tiles overlap, least score, least side of a box, most overlap.
+TILE, OVERLAP, LEAST_SCORE, LEAST_SIDE, MOST_IOU = 320, 0.25, 0.30, 2, 0.55
+
+
+def tile_starts(size: int, tile: int = TILE, overlap: float = OVERLAP) -> list[int]:
+    """Where tiles begin along a side: at even steps, and one flush with the far end if these leave a rest."""
+    step = max(1, int(tile * (1 - overlap)))
+    starts = list(range(0, max(size - tile, 0) + 1, step))
+    return starts if starts[-1] + tile >= size else [*starts, size - tile]
+
+
+def tile_boxes(frames: DataFrame, detector, tile: int = TILE, overlap: float = OVERLAP) -> DataFrame:
+    """(image, ord, x1, y1, x2, y2, score, class_id) of all that a detector finds in overlapping tiles of frames(frame as long, width,
+    height, content), raw RGB rows, in pixels of the whole frame.
+
+    ``detector`` is a factory called once a worker; it gives a function from an array (height, width, 3) to rows
+    (x1, y1, x2, y2, class_id, score). ord numbers the finds of a frame. A tile is no larger than the frame's shorter side.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        find = detector()
+        for b in batches:
+            rows = []
+            for frame, width, height, content in zip(b["frame"], b["width"], b["height"], b["content"]):
+                pixels = np.frombuffer(content, np.uint8).reshape(height, width, 3)
+                side, n = min(tile, width, height), 0
+                for y in tile_starts(height, side, overlap):
+                    for x in tile_starts(width, side, overlap):
+                        for x1, y1, x2, y2, kind, score in find(pixels[y : y + side, x : x + side]):
+                            rows.append((frame, n, float(x1 + x), float(y1 + y), float(x2 + x), float(y2 + y), float(score), int(kind)))
+                            n += 1
+            yield pd.DataFrame(rows, columns=["image", "ord", "x1", "y1", "x2", "y2", "score", "class_id"])
+
+    return frames.select("frame", "width", "height", "content").mapInPandas(run, "image long, ord long, x1 double, y1 double, x2 double, y2 double, score double, class_id int")
+
+
+def vehicles(boxes: DataFrame, least_score: float = LEAST_SCORE, most_iou: float = MOST_IOU) -> DataFrame:
+    """The vehicles of tile_boxes, each once, with ``cls``: other classes, low scores and boxes of under two pixels go, and of those that
+    overlapping tiles show several times the surest stays."""
+    from ..functions import scalar as S
+    from ..operators.tracking import box_nms
+
+    named = boxes.withColumn("cls", F.expr(S.lookup("class_id", S.VEHICLES)))
+    some = named.where(F.col("cls").isNotNull() & (F.col("score") >= least_score) & (F.col("x2") - F.col("x1") >= LEAST_SIDE) & (F.col("y2") - F.col("y1") >= LEAST_SIDE))
+    return box_nms(some, most_iou)
+
+
+def labels(boxes: DataFrame) -> DataFrame:
+    """(label, n) of every class a detector found, vehicle or not: the first thing to look at when it finds none."""
+    from ..functions import scalar as S
+
+    return boxes.groupBy(F.coalesce(F.expr(S.lookup("class_id", S.VEHICLES)), F.concat(F.lit("id"), F.col("class_id"))).alias("label")).agg(F.count("*").alias("n"))
+
+
 def straight_track(spark: SparkSession, lat: float, lon: float, heading: float, speed: float, seconds: float) -> DataFrame:
     """Constant-velocity trajectory as its two end points."""
     return spark.sql(f"select t, {lat} + t * {speed} * cos(radians({heading})) / (6378137e0 * pi() / 180) lat, {lon} + t * {speed} * sin(radians({heading})) / (6378137e0 * pi() / 180 * cos(radians({lat}))) lon from values (0e0), ({float(seconds)}e0) as v(t)")

@@ -381,3 +381,69 @@ def test_metrics_reach_a_callback(spark):
     got, done = {}, threading.Event()
     df = watched(spark.range(100).repartition(3), lambda m: (got.update(m), done.set()), rows=F.count(F.lit(1)), most=F.max("id"))
     assert df.where("id > 90").count() == 9 and done.wait(20) and got == {"rows": 100, "most": 99}
+
+
+# --- detector path, survey, command line
+def test_tiles_shift_filter_and_suppress(spark):
+    from kerbflow.sources import files
+
+    assert files.tile_starts(320) == [0] and files.tile_starts(700) == [0, 240, 380] and files.tile_starts(560) == [0, 240] and files.tile_starts(10, 10) == [0]
+    picture = np.zeros((400, 700, 3), np.uint8)
+    picture[100:140, 300:360], picture[200:201, 10:40], picture[350:390, 600:660] = (255, 3, 90), (255, 3, 90), (255, 1, 90)
+
+    def detector():
+        def find(tile):
+            from collections import defaultdict
+
+            out, seen = [], defaultdict(list)
+            for y, x in zip(*np.nonzero(tile[..., 0])):
+                seen[int(tile[y, x, 1]), int(y) // 60].append((int(x), int(y)))
+            for (kind, _), at in seen.items():
+                xs, ys = zip(*at)
+                out.append((min(xs), min(ys), max(xs) + 1, max(ys) + 1, kind, 0.5 + len(at) / 10_000))
+            return out
+
+        return find
+
+    frames = spark.createDataFrame([(7, 700, 400, bytearray(picture.tobytes())), (8, 20, 10, bytearray(600))], "frame long, width int, height int, content binary")
+    raw = files.tile_boxes(frames, detector)
+    got = [(r.image, r.x1, r.y1, r.x2, r.y2, r.cls) for r in files.vehicles(raw).collect()]
+    assert (7, 300.0, 100.0, 360.0, 140.0, "car") in got and all(g[5] == "car" for g in got) and not any(g[4] - g[2] < 2 for g in got)
+    assert {r.label for r in files.labels(raw).collect()} == {"car", "id1"}
+
+
+def test_survey_cells_and_the_tile_limit(spark):
+    from kerbflow.operators import survey
+
+    ring = lambda lon, lat: [(lon, lat), (lon + 1e-5, lat), (lon + 1e-5, lat + 1e-5), (lon, lat + 1e-5), (lon, lat)]
+    boxes = spark.createDataFrame([(2, 0, "left", ring(-80.19005, 25.77002)), (1, 0, "left", ring(-80.19003, 25.77003)), (3, 0, "left", ring(-80.1960, 25.7701))], "way int, idx int, side string, ring array<struct<lon: double, lat: double>>")
+    cells = survey.work_cells(boxes).orderBy("cell_x").collect()
+    assert len(cells) == 2 and cells[1].lon == pytest.approx(-80.190025) and all(c.west < c.lon - 0.0004 + 1e-9 and c.east > c.lon + 0.0004 - 1e-9 and c.south < c.lat < c.north for c in cells)
+    c = cells[1]
+    spot = survey.located(spark.createDataFrame([(c.cell_x, c.cell_y, 0.0, 0.0), (c.cell_x, c.cell_y, float(c.width), float(c.height))], "cell_x long, cell_y long, px double, py double"), survey.work_cells(boxes)).orderBy("px").collect()
+    assert (spot[0].lon, spot[0].lat) == (pytest.approx(c.west), pytest.approx(c.north)) and (spot[1].lon, spot[1].lat) == (pytest.approx(c.east), pytest.approx(c.south))
+    with pytest.raises(Exception, match="tiles requested"):
+        survey.work_cells(boxes, pad=0.05).collect()
+
+
+def test_zone_command(spark, tmp_path, capsys):
+    from kerbflow import cli
+
+    (tmp_path / "z.json").write_text(json.dumps([{"id": "1", "signageCode": "40701", "type": "OnStreet", "geometry": [{"latitude": 25.0, "longitude": -80.0}, {"latitude": 25.001, "longitude": -80.0}]}]))
+    (tmp_path / "s.json").write_text(json.dumps({"elements": [{"type": "way", "id": 5, "nodes": [1, 2], "geometry": [{"lat": 25.0, "lon": -80.0001}, {"lat": 25.002, "lon": -80.0001}], "tags": {"highway": "residential"}}]}))
+    cli.main(["zone", str(tmp_path / "z.json"), "--streets", str(tmp_path / "s.json"), "--kml", str(tmp_path / "z.kml")])
+    shown = capsys.readouterr().out
+    assert "110.54" in shown and "true" in shown and len(ET.parse(tmp_path / "z.kml").getroot().findall(".//{*}Placemark")) == 2
+
+
+def test_scalar_places(spark):
+    from kerbflow.functions import scalar as S
+
+    one = lambda e: spark.sql(f"select {e} v").first().v
+    lat, lon = S.dead_reckon("25e0", "-80e0", "10e0", "90e0", "60e0")
+    assert one(lat) == pytest.approx(25.0) and (one(lon) + 80) * math.radians(1) * 6378137 * math.cos(math.radians(25)) == pytest.approx(600)
+    assert one(S.glance("-45e0")) == pytest.approx(7.0) and one(S.both_sigmas("3e0", "4e0")) == 5.0 and one(S.on_street("'OnStreet'")) and not one(S.on_street("'garage'"))
+    lat, lon = S.glance_place("25e0", "-80e0", "0e0", "10e0")
+    assert (one(lat) - 25) * 110_540 == pytest.approx(10) and (one(lon) + 80) * 111_320 * math.cos(math.radians(25)) == pytest.approx(-7)
+    e, n = S.forward("0e0", "0e0", "1e0", "0e0", "0e0")
+    assert (one(e), one(n), one(S.compass(e, n))) == (0.0, 1.0, 0.0) and one(S.forward("1e0", "1e0", "1e0", "1e0", "0e0")[0]) is None
