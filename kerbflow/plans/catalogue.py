@@ -241,11 +241,15 @@ def judge(spark, t):
     return out.select("id", "verdict", F.when(hit, F.round("margin", 6)).alias("margin"), F.when(hit, F.col("zone")).alias("zone"))
 
 
-@query("summarise", "anchors segments", _BOXES + _FIXES + _judged(1.0) + " select coalesce(verdict, 'outside') verdict, count(*) n, round(count(*) / (select count(*)::double from fixes), 6) share from fixes f left join j on j.id = f.id and k = 1 group by 1")
+@query("summarise", "anchors segments", _BOXES + _FIXES + _judged(1.0) + """, r as (select coalesce(verdict, 'outside') v, margin, zone from fixes f left join j on j.id = f.id and k = 1)
+select count(*) cars, count(case when v = 'inside' then 1 end) in_paid_zone, count(case when v = 'outside' then 1 end) outside_any_zone, count(case when v = 'ambiguous' then 1 end) ambiguous,
+ round(count(case when v = 'ambiguous' then 1 end) / count(*)::double, 6) ambiguous_share, (select string_agg(zone || '=' || n, ',' order by zone) from (select zone, count(*) n from r where v = 'inside' group by zone)) by_zone,
+ round(median(case when v = 'inside' then margin end), 6) median_margin_inside from r""")
 def summarise(spark, t):
-    out = spatial.judge(t["anchors"].selectExpr(*_FIX), _boxes(t), "id", 1.0)
-    counts = out.groupBy("verdict").agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    """Counts an operator would act on, with the refusals kept visible."""
+    out = spatial.summarise(spatial.judge(t["anchors"].selectExpr(*_FIX), _boxes(t), "id", 1.0))
+    zones = F.array_join(F.transform(F.map_entries("by_zone"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return out.select("cars", "in_paid_zone", "outside_any_zone", "ambiguous", F.round("ambiguous_share", 6).alias("ambiguous_share"), zones.alias("by_zone"), F.round("median_margin_inside", 6).alias("median_margin_inside"))
 
 
 @query("occupancy", "anchors segments", _BOXES + _FIXES + _judged(1.0) + f" select zb.way, zb.idx, zb.side, count(j.id) cars, {S.spaces('(max(len_m) - 15.2e0)')} spaces, round(count(j.id) / nullif({S.spaces('(max(len_m) - 15.2e0)')}, 0)::double, 6) rate from zb left join j on k = 1 and verdict = 'inside' and j.way = zb.way and j.idx = zb.idx and j.side = zb.side group by 1, 2, 3")
@@ -381,11 +385,15 @@ def interp_clamped(spark, t):
     return out.selectExpr("event_id", "round(lat + (lat_2 - lat) * greatest(least((q - t) / nullif(t_2 - t, 0), 1), 0) + 0.0000000001e0, 6) lat")
 
 
-@query("arc_position", "track", f"with a as (select *, lead(arc) over (partition by vid order by t) arc2 from (select x.vid, x.arc, k.t from ({_ARC}) x join track k using (event_id))) select vid, max(case when arc <= 5000e0 then t end) t from a group by vid")
+@query("arc_position", "track", f"""with arc as (select x.vid, x.arc t, k.lat, k.lon from ({_ARC.replace("round(coalesce(", "coalesce(").replace("0e0), 3) arc", "0e0) arc")}) x join track k using (event_id)),
+s as (select *, lead(t) over o t_2, lead(lat) over o lat_2, lead(lon) over o lon_2, row_number() over o k, count(*) over (partition by vid) n from arc window o as (partition by vid order by t)),
+a as (select q.vid, q.q, s.* exclude (vid) from (select distinct vid, 5000e0 + vid % 7 * 250 q from track) q join s on q.vid = s.vid and s.k < s.n and (q.q >= s.t or s.k = 1) and (q.q < s.t_2 or s.k = s.n - 1))
+select vid, {_LERP} from a""")
 def arc_position(spark, t):
-    """Last fix at or before five kilometres of travel."""
-    a = _arc(t["track"]).withColumn("arc", F.round("arc", 3))
-    return a.groupBy("vid").agg(F.max(F.when(F.col("arc") <= 5000.0, F.col("t"))).alias("t"))
+    """Where each vehicle is after some five kilometres of travel."""
+    asked = t["track"].select("vid").distinct().withColumn("s", F.lit(5000.0) + F.col("vid") % 7 * 250)
+    at = place.position_at_arc(asked, t["track"].select("vid", "t", "lat", "lon"), "vid", "s")
+    return at.selectExpr("vid", "round(at_lat + 0.0000000001e0, 6) lat", "round(at_lon + 0.0000000001e0, 6) lon")
 
 
 @query("scale_calibration", "odometry", "select vid, round(abs(sum(case when frame >= 2 and frame < 20 then mag end)) / (pi() / 2), 6) yaw, round(100 / nullif(sum(case when frame >= 2 and frame < 20 then mag end) * 0.25e0, 0), 6) speed from odometry group by vid")
