@@ -21,8 +21,6 @@ GIVEN = {
     "she": "Alice|Amanda|Angela|Anna|Anne|Barbara|Carol|Carmen|Catherine|Charlotte|Christine|Claudia|Deborah|Elena|Elizabeth|Emily|Emma|Eva|Hannah|Helen|Ingrid|Isabel|Jane|Jennifer|Jessica|Julia|Karen|Katharina|Laura|Linda|Lisa|Margaret|Maria|Marie|Mary|Michelle|Monika|Nancy|Nicole|Olivia|Patricia|Petra|Rachel|Rosa|Sabine|Sandra|Sarah|Sophie|Stephanie|Susan|Ursula",
     "he": "Alexander|Andrew|Anthony|Antonio|Carlos|Charles|Christian|Christopher|Daniel|David|Diego|Edward|Fernando|François|Frank|George|Hans|Heinrich|Henry|Jack|James|Javier|Jean|John|Jorge|Joseph|Juan|Jürgen|Klaus|Luis|Manuel|Matthew|Michael|Miguel|Nicolas|Oliver|Patrick|Paul|Pedro|Peter|Philippe|Pierre|Richard|Robert|Samuel|Stefan|Steven|Thomas|William|Wolfgang",
 }
-#: Given names that are ordinary words too: persons only before another name or behind a title.
-WORDS_TOO = "Carol|Christian|Frank|Jack|Jean|Rosa"
 #: Particles between given and family name.
 PARTICLES = "van|von|vom|de|da|del|della|di|du|la|le|den|der|ter|ten|zu|zum|zur|bin|ibn|al|el|dos|das|do"
 #: A name in small or capital letters, with its own hyphens and apostrophes; O', D', Mc and Mac may stand before it.
@@ -45,17 +43,20 @@ _BOTH = {k: _words(v, v.upper()) for k, v in GIVEN.items()}
 ANY_GIVEN = _words(*GIVEN.values(), *(v.upper() for v in GIVEN.values()))
 #: Another name of the same person: with particles before it, or an initial.
 _MORE = rf"(?: (?:(?:{PARTICLES}) ){{0,3}}{NAME}| \p{{Lu}}\.(?= ))"
+#: What stands between the names of a list.
+_LIST = "(?:,|,? (?:and|und|et|y|or|oder|&))"
 
 
 def _person(kind: str) -> str:
     """Titles and one to three names; a given name, any further ones and initials, and one or two other names; or a given name
-    alone. Particles belong to the name behind them."""
+    that is listed beside another. Particles belong to the name behind them."""
     titled = rf"{_words(TITLES[kind])}\.? (?:{ANY_TITLE}\.? ){{0,3}}(?:\p{{Lu}}\. )?(?:(?:{PARTICLES}) ){{0,3}}{NAME}{_MORE}{{0,2}}"
     if kind not in GIVEN:
         return rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{titled})"
     full = rf"{_BOTH[kind]}(?!\p{{L}})(?:(?: {ANY_GIVEN}(?!\p{{L}})| \p{{Lu}}\.(?= ))*+{_MORE}{{1,2}}|(?: {ANY_GIVEN}(?!\p{{L}}))++)"
-    alone = rf"(?!(?:{WORDS_TOO})(?!\p{{L}})){_BOTH[kind]}(?![\p{{L}}-])"
-    return rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{titled}|{full}|{alone})"
+    own = rf"{_BOTH[kind]}(?![\p{{L}}-])"
+    listed = rf"(?<=(?<!\p{{L}}){ANY_GIVEN}{_LIST} ){own}|{own}(?={_LIST} {ANY_GIVEN}(?!\p{{L}}))"
+    return rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{titled}|{full}|{listed})"
 
 
 #: Type and pattern, the first that matches at a place wins. Patterns have no capturing groups.
@@ -89,6 +90,11 @@ MORE_SYLLABLES, MORE_LETTERS = 6, 8
 BROADCAST_TEXTS = 20_000
 
 
+def _alone(patterns: dict[str, str]) -> dict[str, str]:
+    """Patterns for an entity by itself, where a given name of a list has no list around it."""
+    return {k: rf"{p}|{_BOTH[k]}" if k in _BOTH and p == PATTERNS[k] else p for k, p in patterns.items()}
+
+
 def kind_of(entity: Column, patterns: dict[str, str]) -> Column:
     """Type of a detected entity. Look-arounds see only the entity here, which every pattern allows."""
     return F.coalesce(*(F.when(entity.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in patterns.items()), F.lit("other"))
@@ -274,7 +280,7 @@ def _detected(docs: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame
     every = F.lit(_either(patterns))
     hinted = F.col(text).rlike(HINT) if patterns is PATTERNS else F.lit(True)
     d = docs.withColumn("pii_first", F.when(hinted, F.regexp_extract_all(F.col(text), every, F.lit(0))))
-    kinds = [k for k in PERSON if k in patterns]
+    kinds, patterns = [k for k in PERSON if k in patterns], _alone(patterns)
     named = lambda e: reduce(lambda rest, k: F.when(e.rlike(f"^(?:{patterns[k]})$"), F.lit(k)).otherwise(rest), reversed(kinds), F.lit(None).cast("string"))
     # each step of a mention is a field that the next one reads, so that nothing is worked out twice
     people = F.filter(F.transform("pii_first", lambda e: F.struct(e.alias("e"), named(e).alias("kind"))), lambda x: x.kind.isNotNull())

@@ -297,7 +297,7 @@ def test_pipeline(spark):
 #: Text, and the parts of it that must go.
 LEAKS = [
     ("Anna Maria Schmidt lives", "Anna Maria Schmidt"), ("Prof Dr Adams asked", "Adams"), ("Dr. O'Brien said", "O'Brien Brien"), ("Mr. van der Berg came, Berg left", "Berg"), ("ask JANE SMITH", "JANE SMITH"),
-    ("John, Mary and Peter went", "John Mary Peter"), ("at fe80::1 now", "fe80::1"), ("call 020 7946 0958", "7946 0958"), ("John F. Kennedy and F. stayed", "John Kennedy"), ("Mrs Dr Ingrid von Hohen-Stein", "Ingrid Hohen Stein"), ("SARAH O'NEIL", "SARAH NEIL"), ("Maria de la Cruz", "Maria Cruz"), ("Mary's house", "Mary"),
+    ("John, Mary and Peter went", "John Mary Peter"), ("at fe80::1 now", "fe80::1"), ("call 020 7946 0958", "7946 0958"), ("John F. Kennedy and F. stayed", "John Kennedy"), ("Mrs Dr Ingrid von Hohen-Stein", "Ingrid Hohen Stein"), ("SARAH O'NEIL", "SARAH NEIL"), ("Maria de la Cruz", "Maria Cruz"), ("Anne, David or Eva?", "Anne David Eva"),
 ]
 
 
