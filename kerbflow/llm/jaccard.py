@@ -291,12 +291,13 @@ class _Join:
         num, den = self.num, self.den
         mine = self.placed(places).join(self.first.select("cls", "sketch"), "cls")
         most = f"x.n + y.n - 2 * (({num} * (x.n + y.n) + {num + den - 1}) div {num + den})"
-        could = f"(x.part < x.other or x.cls < y.cls) and x.comp <> y.comp and {_reachable('x', 'y', num, den)} and {_differing('x.sketch', 'y.sketch')} <= {most}"
+        could = f"x.own = x.part and y.own = y.other and (x.part < x.other or x.cls < y.cls) and x.comp <> y.comp and {_reachable('x', 'y', num, den)} and {_differing('x.sketch', 'y.sketch')} <= {most}"
         parts = F.ceil(F.col("c") / PART).cast("int")
-        mine = mine.withColumn("own", F.pmod(F.xxhash64("cls", F.lit(5)), parts).cast("int"))
-        left = mine.select("*", F.col("own").alias("part"), F.explode(F.sequence(F.col("own"), parts - 1)).alias("other"))
-        right = mine.select("*", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("part"), F.col("own").alias("other"))
-        return self._ordered(left.alias("x").join(right.alias("y"), F.expr(f"x.token = y.token and x.part = y.part and x.other = y.other and {could}")))
+        own = F.pmod(F.xxhash64("cls", F.lit(5)), parts).cast("int")
+        # both sides are one table, shuffled once: a row goes to every two parts that its own is one of
+        met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("own", k).alias("part"), F.greatest("own", k).alias("other")))
+        mine = mine.select("token", "cls", "n", "m", "u", "last", "comp", "sketch", own.alias("own"), parts.alias("parts")).select("*", F.inline(met)).drop("parts")
+        return self._ordered(mine.alias("x").join(mine.alias("y"), F.expr(f"x.token = y.token and x.part = y.part and x.other = y.other and {could}")))
 
     def _ordered(self, pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(*(F.col(f"{t}.{c}").alias(n) for t, c, n in (("x", "cls", "a"), ("y", "cls", "b"), ("x", "n", "na"), ("y", "n", "nb"))))
