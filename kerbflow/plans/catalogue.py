@@ -769,7 +769,7 @@ def geojson_features(spark, t):
 @query("wkt_csv", "anchors segments", _BOXES + f""" select way, idx, side, {_TITLE} || ',"POLYGON((' || {" || ', ' || ".join(f"printf('%.7f %.7f', {_LON(k)}, {_LAT(k)})" for k in _RING)} || '))"' line from zb""")
 def wkt_csv(spark, t):
     title = F.concat(F.lit("zone "), "zone", F.lit(" · "), "street", F.lit(" ("), "side", F.lit(")"))
-    return _rings(t).select("way", "idx", "side", documents.csv_line(title, sinks.wkt(F.col("ring"))).alias("line"))
+    return _rings(t).select("way", "idx", "side", documents.csv_line(title, sinks.polygon_wkt(F.col("ring"))).alias("line"))
 
 
 @query("export_documents", "anchors segments", _BOXES + f" select way || ':' || idx || ':' || side box_id, zone, {S.spaces('(len_m - 15.2e0)')} est_spaces, round({_LON(2)}, 6) lon, round({_LAT(2)}, 6) lat from zb")

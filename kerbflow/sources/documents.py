@@ -97,7 +97,7 @@ def write_csv(rows: DataFrame, columns: dict[str, Column], order: list[str], pat
 def write_polygons_csv(features: DataFrame, name: Column, ring: Column, properties: dict[str, Column], order: list[str], path: str) -> str:
     """Named latitude and longitude (mean of the first four corners), WKT, then the properties."""
     mean = lambda axis: F.format_string("%.7f", F.aggregate(F.slice(ring, 1, 4), F.lit(0.0), lambda s, p: s + p[axis]) / 4)
-    return write_csv(features, {"name": name, "latitude": mean("lat"), "longitude": mean("lon"), "wkt": sinks.wkt(ring), **properties}, order, path)
+    return write_csv(features, {"name": name, "latitude": mean("lat"), "longitude": mean("lon"), "wkt": sinks.polygon_wkt(ring), **properties}, order, path)
 
 
 # --- KML

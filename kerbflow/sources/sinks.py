@@ -38,6 +38,11 @@ def polygon_feature(ring: Column, **properties: Column) -> Column:
 
 
 def wkt(ring: Column) -> Column:
+    return F.concat(F.lit("POLYGON (("), F.array_join(F.transform(ring, lambda p: F.concat_ws(" ", p.lon, p.lat)), ", "), F.lit("))"))
+
+
+def polygon_wkt(ring: Column) -> Column:
+    """The form of the CSV export: seven places, whatever the numbers."""
     return F.concat(F.lit("POLYGON(("), F.array_join(F.transform(ring, lambda p: F.format_string("%.7f %.7f", p.lon, p.lat)), ", "), F.lit("))"))
 
 
@@ -57,6 +62,13 @@ def polygon_placemark(name: Column, ring: Column, properties: dict[str, Column]
     return _placemark(name, properties or {}, style, F.concat(F.lit("<Polygon><outerBoundaryIs><LinearRing><coordinates>"), path, F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon>")))
 
 
+def placemark(name: Column, ring: Column, colour: Column) -> Column:
+    """A polygon that carries its own filling instead of a shared style."""
+    path = F.array_join(F.transform(ring, lambda p: F.concat_ws(",", p.lon, p.lat, F.lit("0"))), " ")
+    style = F.concat(F.lit("<Style><PolyStyle><color>"), kml_colour(colour), F.lit("</color></PolyStyle></Style>"))
+    return _placemark(name, {}, None, F.concat(style, F.lit("<Polygon><outerBoundaryIs><LinearRing><coordinates>"), path, F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon>")))
+
+
 def point_placemark(name: Column, lon: Column, lat: Column, properties: dict[str, Column] | None = None, style: str | Column | None = None) -> Column:
     return _placemark(name, properties or {}, style, F.concat(F.lit("<Point><coordinates>"), coordinate(lon, lat), F.lit("</coordinates></Point>")))
 
