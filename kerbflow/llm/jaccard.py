@@ -31,6 +31,7 @@ FREQUENT = 1000
 #: Frequent tokens in the order table: at most this many, the most frequent first. Others count as rare; results stay.
 TABLE = 1 << 18
 BITS = 1024
+FOLDED = 512
 #: A scan leaves out texts that no candidate needs: by a broadcast of up to WANTED hashed ids (16 MB), then by a filter of up
 #: to MARKS bits (16 MB); beyond it texts are joined by id.
 WANTED = 1_000_000
@@ -94,9 +95,14 @@ def _sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(_U)
 
 
-def _differing(a: str, b: str) -> str:
+def _differing(a: str, b: str, bits: int = BITS) -> str:
     """SQL for the number of sketch bits in which two sets differ."""
-    return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(BITS // 64))
+    return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(bits // 64))
+
+
+def _unlike(a: str, b: str, na: str, nb: str, num: int, den: int, bits: int = BITS) -> str:
+    """SQL: two sets of na and nb tokens differ in more sketch bits than sets as alike as num/den can."""
+    return f"{_differing(a, b, bits)} > {na} + {nb} - 2 * (({num} * ({na} + {nb}) + {num + den - 1}) div {num + den})"
 
 
 def _reachable(a: str, b: str, num: int, den: int) -> str:
@@ -289,9 +295,10 @@ class _Join:
         two by two, so its comparisons spread over tasks.
         """
         num, den = self.num, self.den
-        mine = self.placed(places).join(self.first.select("cls", "sketch"), "cls")
-        most = f"x.n + y.n - 2 * (({num} * (x.n + y.n) + {num + den - 1}) div {num + den})"
-        could = f"x.own = x.part and y.own = y.other and (x.part < x.other or x.cls < y.cls) and x.comp <> y.comp and {_reachable('x', 'y', num, den)} and {_differing('x.sketch', 'y.sketch')} <= {most}"
+        # the sketch folded in half is a sketch too, and half the bytes of a row; links_of looks at all of it
+        folded = F.expr("array(" + ", ".join(f"sketch[{i}] ^ sketch[{i + FOLDED // 64}]" for i in range(FOLDED // 64)) + ")")
+        mine = self.placed(places).join(self.first.select("cls", folded.alias("sketch")), "cls")
+        could = f"x.own = x.part and y.own = y.other and (x.part < x.other or x.cls < y.cls) and x.comp <> y.comp and {_reachable('x', 'y', num, den)} and not {_unlike('x.sketch', 'y.sketch', 'x.n', 'y.n', num, den, FOLDED)}"
         parts = F.ceil(F.col("c") / PART).cast("int")
         own = F.pmod(F.xxhash64("cls", F.lit(5)), parts).cast("int")
         # both sides are one table, shuffled once: a row goes to every two parts that its own is one of
@@ -327,8 +334,8 @@ class _Join:
     def links_of(self, pairs: DataFrame, name: str) -> None:
         """Verifies pairs(a, b, na, nb): orders 2 and 3, before any set is read, then the sets."""
         num, den, work, first = self.num, self.den, self.work, self.first
-        side = lambda x: first.select(F.col("cls").alias(x), F.col("p2").alias(f"p2{x}"), F.col("p3").alias(f"p3{x}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where("arrays_overlap(p2a, p2b) and arrays_overlap(p3a, p3b)").select("a", "b", "na", "nb")
+        side = lambda x: first.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("sketch", "p2", "p3")))
+        near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"not {_unlike('sketcha', 'sketchb', 'na', 'nb', num, den)} and arrays_overlap(p2a, p2b) and arrays_overlap(p3a, p3b)").select("a", "b", "na", "nb")
         near = work.table(near, f"near-{name}")
         work.settle()
         sets = self.sets(near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct(), name)
