@@ -15,16 +15,16 @@ DEFAULT = (110, 112, 115)
 GREY_W, GREY_H, UPPER, DESC_W, DESC_H = 128, 72, 44, 32, 16
 
 
-def inner_crops(frames: DataFrame, boxes: DataFrame) -> DataFrame:
+def inner_crops(frames: DataFrame, boxes: DataFrame, or_whole: bool = True) -> DataFrame:
     """(box, frame, left, top, right, bottom) in whole pixels: boxes(box, frame, x1, y1, x2, y2) cut at the edges of frames(frame, width,
-    height) and reduced to the middle 60 % of their width and 50 % of their height, or whole where that is nothing."""
+    height) and reduced to the middle 60 % of their width and 50 % of their height; where that is nothing, the whole box if or_whole."""
     b = boxes.join(frames, "frame")
     edge = lambda low, high, size: (F.greatest(F.col(low), F.lit(0.0)).cast("int"), F.least(F.greatest(F.col(high).cast("int"), F.lit(0)), F.col(size)))
     (left, right), (top, bottom) = edge("x1", "x2", "width"), edge("y1", "y2", "height")
     b = b.select("box", "frame", left.alias("l"), top.alias("t"), F.greatest(right - left, F.lit(0)).alias("w"), F.greatest(bottom - top, F.lit(0)).alias("h"))
     part = lambda c, share: (F.col(c) * F.lit(share)).cast("int")
     some = (part("w", 0.8) > part("w", 0.2)) & (part("h", 0.75) > part("h", 0.25))
-    pick = lambda at, c, share, whole: F.col(at) + F.when(some, part(c, share)).otherwise(whole)
+    pick = lambda at, c, share, whole: F.col(at) + (F.when(some, part(c, share)).otherwise(whole) if or_whole else part(c, share))
     return b.select("box", "frame", pick("l", "w", 0.2, F.lit(0)).alias("left"), pick("t", "h", 0.25, F.lit(0)).alias("top"), pick("l", "w", 0.8, F.col("w")).alias("right"), pick("t", "h", 0.75, F.col("h")).alias("bottom"))
 
 
@@ -46,16 +46,16 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(box, pa.int64()), pa.array(channel, pa.int32()), pa.array(value, pa.int32()), pa.array(n, pa.int64())], ["box", "channel", "value", "n"])
 
 
-def dominant_rgb(strips: DataFrame, boxes: DataFrame) -> DataFrame:
+def dominant_rgb(strips: DataFrame, boxes: DataFrame, or_whole: bool = True) -> DataFrame:
     """(box, r, g, b): the median of each channel over the inner part of every box, halves cut off.
 
     strips(frame, start, width, height, content): rows of a frame from ``start`` on, 3 bytes a pixel, height that of the frame; a
     frame may be one strip or many. boxes(box as long, frame, x1, y1, x2, y2). Medians are read off histograms of 256 values,
     which add up over strips, so no task needs a whole frame. A box outside its frame, or of a frame that is not there, has the
-    default colour.
+    default colour; so has one too thin for an inner part, unless or_whole counts all of it.
     """
     frames = strips.groupBy("frame").agg(F.max("width").alias("width"), F.max("height").alias("height"))
-    crops = inner_crops(frames, boxes).groupBy("frame").agg(F.collect_list(F.struct("box", "left", "top", "right", "bottom")).alias("crops"))
+    crops = inner_crops(frames, boxes, or_whole).groupBy("frame").agg(F.collect_list(F.struct("box", "left", "top", "right", "bottom")).alias("crops"))
     bins = strips.join(crops, "frame").select("start", "width", "content", "crops").mapInArrow(_histograms, "box long, channel int, value int, n long")
     whole = bins.groupBy("box", "channel", "value").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("box", "channel")
