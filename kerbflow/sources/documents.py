@@ -119,16 +119,21 @@ def write_kml(features: DataFrame, line: Column, order: list[str], path: str, na
 
 
 def write_boxes(boxes: DataFrame, stem: str, name: str = "parking lanes", colour: str = "#4ec9b0") -> dict[str, str]:
-    """Zone boxes (spatial.box_rings) as KML, CSV and GeoJSON beside each other; order is by street segment and side."""
+    """Zone boxes (spatial.box_rings) as KML, CSV and GeoJSON beside each other; order is by street segment and side. Boxes are
+    worked out once, not for every sort and document."""
+    work = Workspace(boxes.sparkSession, "boxes")
+    boxes = work.table(boxes, "boxes")
     order = ["way", "idx", "side"]
     title = F.concat_ws("", F.lit("zone "), "zone", F.lit(" · "), "street", F.lit(" ("), "side", F.lit(")"))
     shown = {"zone": F.col("zone"), "street": F.col("street"), "side": F.col("side"), "length_m": F.round("len_m", 1), "est_spaces": F.col("spaces"), "ambiguous_band_m": F.round(F.col("width_m") / 2, 2)}
     tagged = {"box_id": F.concat_ws(":", "way", "idx", "side"), **{k: v for k, v in shown.items() if k != "ambiguous_band_m"}, "width_m": F.col("width_m"), "ambiguous_band_m": shown["ambiguous_band_m"]}
-    return {
+    out = {
         "kml": write_kml(boxes, sinks.polygon_placemark(title, F.col("ring"), shown, "box"), order, f"{stem}.kml", name, polygon_style("box", colour)),
         "csv": write_polygons_csv(boxes, title, F.col("ring"), shown, order, f"{stem}.csv"),
         "geojson": write_geojson(boxes, sinks.polygon_feature(F.col("ring"), **tagged), order, f"{stem}.geojson"),
     }
+    work.drop()
+    return out
 
 
 def write_faces(faces: DataFrame, geojson: str, csv: str) -> None:

@@ -374,3 +374,12 @@ def test_resamples_of_blocks_add_up(spark):
     for boot in (1, 2, 3):
         views = [sum(tracking.kept_frames(np.array([20 * k + i]), boot, 0.9, 7)[0] for i in range(4)) for k in range(30)]
         assert [counts[boot, t] for t in (2, 4)] == [sum(v >= t for v in views) for t in (2, 4)]
+
+
+def test_exported_boxes_are_worked_out_once(spark, monkeypatch):
+    """All three documents read one written table."""
+    from kerbflow.plans.catalogue import QUERIES
+
+    seen = recorded(monkeypatch)
+    out = QUERIES["export_documents"](spark, "/root/testdata/sf0.001")
+    assert seen["boxes"][0] == out.count() > 0
